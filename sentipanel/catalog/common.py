@@ -96,3 +96,21 @@ ds AS (SELECT *, {", ".join(f"{_mom('ft_' + c, L)} AS ft_{c}_{L}" for c in _FT)}
               {", ".join(f"stddev_samp(ft_{c}) OVER (w ROWS BETWEEN {L - 1} PRECEDING AND CURRENT ROW) AS vol_ft_{c}_{L}" for c in _FT)}
        FROM ft WINDOW w AS (PARTITION BY symbol ORDER BY dt))
 """
+
+
+# ----------------------------------------------------- article / post views --
+
+def article_score_expr():
+    """Deterministic stand-in model score in [-1, 1] for fixture articles."""
+    return ((F.length("text") % 101) - 50) / F.lit(50.0)
+
+
+ARTICLE_SCORE_SQL = "((length(text) % 101) - 50) / 50.0"
+
+
+def articles(fx: Fixtures) -> DataFrame:
+    return fx.fx_article.withColumn("score", article_score_expr())
+
+
+def dataset_cols(fx: Fixtures, *cols: str) -> DataFrame:
+    return dataset(fx, residualise=False).select("symbol", "dt", *cols)

@@ -44,11 +44,11 @@ def last_non_null_per_key(df: DataFrame, key: str, cols: list[str], order: list[
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
 
 
-def weighted_daily_sentiment(df: DataFrame, day: str, keys: list[str], value: str, weight: str,
+def weighted_daily_sentiment(df: DataFrame, day: str, keys: list[str], weighted: str, weight: str,
                              out: str = "avg_sentiment") -> DataFrame:
-    """sum(weight*value)/sum(weight) per (day, keys)."""
+    """sum(weighted)/sum(weight) per (day, keys); ``weighted`` = value*weight per row."""
     return (df.groupBy(day, *keys)
-              .agg(F.sum(weight).alias("score_sum"), F.sum(F.col(value) * F.col(weight)).alias("weighted_sum"))
+              .agg(F.sum(weight).alias("score_sum"), F.sum(F.col(weighted)).alias("weighted_sum"))
               .withColumn(out, safe_div(F.col("weighted_sum"), F.col("score_sum"))))
 
 
