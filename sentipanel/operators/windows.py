@@ -142,7 +142,7 @@ def detrend(c: str, n: int = 90, min_periods: int | None = None, key="symbol", o
 
 def calendar_rolling_mean(c: str, days: int = 30, key="symbol", order="dt") -> Column:
     """Time-based frame (t - days, t] on a date column."""
-    w = Window.partitionBy(key).orderBy(F.col(order).cast("date")).rangeBetween(-(days - 1), 0)
+    w = Window.partitionBy(key).orderBy(F.unix_date(F.col(order).cast("date"))).rangeBetween(-(days - 1), 0)
     return F.avg(c).over(w)
 
 
@@ -154,3 +154,83 @@ def rebase_series(c: str, key=None, order="dt", base: float = 10000.0) -> Column
 def drawdown(c: str, key=None, order="dt") -> Column:
     w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order).rowsBetween(UNB_P, 0)
     return F.col(c) / F.max(c).over(w) - 1
+
+
+# ------------------------------------------------------- calendar ops ----
+
+def resample_mean(df: DataFrame, cols: list[str], days: int = 30, key: str = "symbol", day: str = "dt") -> DataFrame:
+    """Tumbling ``days`` bins per key, origin = the key's first day, label = bin
+    start; empty bins between the first and last are kept with NULL means."""
+    first = F.min(day).over(Window.partitionBy(key))
+    binned = df.withColumn("__bin", F.floor(F.datediff(F.col(day), first) / days).cast("int")) \
+               .withColumn("__origin", first)
+    agg = binned.groupBy(key, "__bin").agg(F.first("__origin").alias("__origin"), *[F.avg(c).alias(c) for c in cols])
+    rng = agg.groupBy(key).agg(F.max("__bin").alias("__max"), F.first("__origin").alias("__origin"))
+    spine = rng.select(key, "__origin", F.explode(F.sequence(F.lit(0), F.col("__max"))).alias("__bin"))
+    out = spine.join(agg.drop("__origin"), [key, "__bin"], "left")
+    return out.select(key, F.date_add(F.col("__origin"), F.col("__bin") * days).alias(day), *cols)
+
+
+def rolling30_then_resample(df: DataFrame, cols: list[str], n: int = 30, days: int = 30,
+                            key: str = "symbol", day: str = "dt") -> DataFrame:
+    rolled = df.withColumns({c: rolling_mean(c, n, 1, key, day) for c in cols})
+    return resample_mean(rolled, cols, days, key, day)
+
+
+def reindex_daily(df: DataFrame, cols: list[str], key: str = "symbol", day: str = "dt", fill: float = 0.0) -> DataFrame:
+    """Dense daily series between each key's first and last day, gaps filled."""
+    rng = df.groupBy(key).agg(F.min(day).alias("__lo"), F.max(day).alias("__hi"))
+    spine = rng.select(key, F.explode(F.sequence("__lo", "__hi")).alias(day))
+    out = spine.join(df.select(key, day, *cols), [key, day], "left")
+    return out.fillna(fill, subset=cols)
+
+
+def consecutive_pairs(df: DataFrame, c: str, key: str = "symbol", day: str = "dt") -> DataFrame:
+    """(x_t, x_{t+1}) per key with both present."""
+    w = series_window(key, day)
+    return (df.select(key, day, F.col(c).alias("x_t"), F.lead(c, 1).over(w).alias("x_next"))
+              .filter(F.col("x_t").isNotNull() & F.col("x_next").isNotNull()))
+
+
+def downsample(df: DataFrame, n: int, key: str | None = "symbol", order: str = "dt") -> DataFrame:
+    """Rows 0, n, 2n, ... of each key in order."""
+    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
+    return df.withColumn("__rn", F.row_number().over(w) - 1).filter(F.col("__rn") % n == 0).drop("__rn")
+
+
+def cumulative_by_feature(df: DataFrame, feature: str, target: str, tiebreak: list[str],
+                          partitions: int | None = None) -> DataFrame:
+    """Sort by feature; running sum of target and running count.
+
+    Never a single-partition window: rows are range-partitioned on the full
+    sort key (feature + tiebreak, so even a hot feature value is spread), each
+    partition computes a local prefix sum, and per-partition totals (one row
+    per partition) are prefix-summed into offsets and broadcast back.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [feature, *tiebreak]
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn("__pid", F.spark_partition_id())
+    from ..session import cut_lineage
+    ranged = cut_lineage(ranged)  # pin the partition ids (deterministic on recompute)
+    wl = Window.partitionBy("__pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({"__cs": F.sum(target).over(wl), "__cn": F.count(F.lit(1)).over(wl)})
+    totals = ranged.groupBy("__pid").agg(F.sum(target).alias("__ts"), F.count(F.lit(1)).alias("__tn"))
+    wo = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows
+    offsets = totals.select("__pid", F.coalesce(F.sum("__ts").over(wo), F.lit(0.0)).alias("__os"),
+                            F.coalesce(F.sum("__tn").over(wo), F.lit(0)).alias("__on"))
+    out = local.join(F.broadcast(offsets), ["__pid"], "inner")
+    return (out.withColumn("cs_ret", F.col("__cs") + F.col("__os"))
+               .withColumn("cs_trades", F.col("__cn") + F.col("__on"))
+               .drop("__pid", "__cs", "__cn", "__os", "__on"))
+
+
+def nav_curve(df: DataFrame, price: str, signal: str, key: str = "strategy", day: str = "dt",
+              base: float = 10000.0) -> DataFrame:
+    """returns = p(t+1)/p(t) where signal == 1 else 1 (NULL -> 1);
+    nav = base * running product, as exp(running sum of logs)."""
+    w = series_window(key, day)
+    r = F.when(F.col(signal) == 1, safe_div(F.lead(price, 1).over(w), F.col(price))).otherwise(F.lit(1.0))
+    out = df.withColumn("returns", F.coalesce(r, F.lit(1.0)))
+    wc = w.rowsBetween(UNB_P, 0)
+    return out.withColumn("nav", F.lit(base) * F.exp(F.sum(F.log("returns")).over(wc)))
