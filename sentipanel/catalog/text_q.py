@@ -112,3 +112,54 @@ x AS (SELECT symbol, list_distinct(list_concat(
 SELECT DISTINCT symbol, unnest(terms) AS term FROM x""")
 def q_expand(fx):
     return T.expand_search_terms(fx.spark.sql(_STOCK_SRC)).distinct()
+
+
+# ---------------------------------------------------------------- threads --
+
+from ..operators import threads as TH  # noqa: E402
+
+_STARTS = ["", "AAA", "BBB", "CCC", "DDD", "EEE", "FFF", "GGG"]
+
+
+def _thread_frames(fx):
+    t = fx.fx_thread
+    posts = t.filter(F.col("turn") == 0).select("id", F.concat(F.lit("\n"), F.col("text")).alias("text"), "role")
+    comments = t.filter(F.col("turn") > 0).select("id", "parent_id", "post_id", F.col("turn").alias("dt"), "text")
+    return posts, comments
+
+
+THREAD_SQL = cte("fx_thread", "fx_terms").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+starts AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(_STARTS))}) AS t(s_idx, s)),
+posts AS (SELECT id, chr(10) || text AS text, role FROM fx_thread WHERE turn = 0),
+comments AS (SELECT id, parent_id, post_id, turn AS dt, text FROM fx_thread WHERE turn > 0),
+src AS (SELECT id * 10 + 9 AS doc_id, text, '' AS start FROM posts
+        UNION ALL SELECT c.id * 10 + s.s_idx, c.text, s.s FROM comments c, starts s)""" + tag_sql("src") + """,
+res AS (
+  SELECT p.id, CAST(NULL AS BIGINT) AS parent_id, '' AS start_ticker, d.dominant, 0 AS lvl FROM posts p JOIN dom d ON d.doc_id = p.id * 10 + 9
+  UNION ALL
+  SELECT c.id, c.parent_id, r.dominant, d.dominant, r.lvl + 1 FROM res r JOIN comments c ON c.parent_id = r.id
+    JOIN starts s ON s.s = r.dominant JOIN dom d ON d.doc_id = c.id * 10 + s.s_idx),
+resolved AS (SELECT id, parent_id, start_ticker, dominant FROM res WHERE lvl > 0)
+"""
+
+
+@register("propagate_thread_ticker", THREAD_SQL + "SELECT * FROM resolved")
+def q_propagate(fx):
+    posts, comments = _thread_frames(fx)
+    return TH.propagate_thread_ticker(posts, comments, fx.fx_terms)
+
+
+@register("thread_match_rate", THREAD_SQL + """SELECT count_if(start_ticker <> '') AS matches, count(*) AS comments,
+  count_if(start_ticker <> '') / count(*) AS rate FROM resolved""", dbl="rate")
+def q_match_rate(fx):
+    posts, comments = _thread_frames(fx)
+    return TH.thread_match_rate(TH.propagate_thread_ticker(posts, comments, fx.fx_terms))
+
+
+@register("tag_comments", THREAD_SQL + """SELECT r.id, sg.seg, sg.ticker, sg.text, r.parent_id, r.start_ticker,
+  coalesce(cast(p.id AS string), '') AS found_post_id, p.role AS post_role
+FROM resolved r JOIN starts s ON s.s = r.start_ticker JOIN segs sg ON sg.doc_id = r.id * 10 + s.s_idx
+JOIN comments c ON c.id = r.id LEFT JOIN posts p ON p.id = c.post_id WHERE sg.ticker <> ''""")
+def q_tag_comments(fx):
+    posts, comments = _thread_frames(fx)
+    return TH.tag_comments(posts, comments, fx.fx_terms, post_meta={"role": "post_role"})
