@@ -1 +1,103 @@
-"""placeholder"""
+"""Statistics on the panel."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import stats as S
+from . import common as C
+from . import register, cte
+
+FTS = ["ft_news_10", "ft_submissions_10", "ft_comments_10", "ft_combined_10"]
+TGTS = ["tgt_forward_returns_10", "tgt_resid_returns_10", "vol_tgt_10"]
+
+
+@register("pearson_r", C.DATASET_CTES + """SELECT symbol, corr(ft_news_10, tgt_forward_returns_10) AS r,
+  count(ft_news_10 + tgt_forward_returns_10) AS n,
+  corr(ft_news_10, tgt_forward_returns_10) * sqrt((count(ft_news_10 + tgt_forward_returns_10) - 2)
+    / nullif(1 - corr(ft_news_10, tgt_forward_returns_10) ^ 2, 0)) AS t_stat FROM ds GROUP BY symbol""", dbl="r t_stat")
+def q_pearson_r(fx):
+    return S.pearson_stats(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", "symbol")
+
+
+@register("pearson_test", None, note="p-values need the t tail; unit-tested against known tables")
+def q_pearson_test(fx):
+    return S.pearson_test(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", "symbol")
+
+
+def _pairs_sql(cols, key=None):
+    ks = f"{key}, " if key else ""
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT {ks}'{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM ds" + (f" GROUP BY {key}" if key else ""))
+    return "\nUNION ALL ".join(parts)
+
+
+@register("corr_matrix", C.DATASET_CTES + _pairs_sql(FTS + TGTS), dbl="r")
+def q_corr_matrix(fx):
+    return S.corr_matrix(C.dataset(fx), FTS + TGTS)
+
+
+@register("corr_matrix_by_symbol", C.DATASET_CTES + _pairs_sql(FTS[:2] + TGTS[:1], "symbol"), dbl="r")
+def q_corr_matrix_sym(fx):
+    return S.corr_matrix(C.dataset(fx), FTS[:2] + TGTS[:1], "symbol")
+
+
+_VOL_FTS = ["vol_ft_news_10", "vol_ft_comments_10"]
+
+
+@register("feature_target_corr", C.DATASET_CTES + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS r FROM ds"
+    for f, t in [(f, t) for f in FTS + _VOL_FTS for t in TGTS]), dbl="r")
+def q_ft_corr(fx):
+    return S.feature_target_corr(C.dataset(fx), FTS + _VOL_FTS, TGTS)
+
+
+@register("feature_corr_rank", C.DATASET_CTES + "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS feature, corr({f}, tgt_forward_returns_10) AS r FROM ds" for f in FTS) + ") ORDER BY r DESC, feature",
+    dbl="r")
+def q_ft_rank(fx):
+    return S.feature_corr_rank(C.dataset(fx, residualise=False), FTS, "tgt_forward_returns_10")
+
+
+@register("autocorr_by_symbol", cte("fx_event_day") + """, p AS (SELECT symbol, x AS x_t,
+  lead(x) OVER (PARTITION BY symbol ORDER BY dt) AS x_next FROM fx_event_day WHERE x IS NOT NULL)
+SELECT symbol, corr(x_t, x_next) AS r, count(*) AS n,
+  corr(x_t, x_next) * sqrt((count(*) - 2) / nullif(1 - corr(x_t, x_next) ^ 2, 0)) AS t_stat
+FROM p WHERE x_t IS NOT NULL AND x_next IS NOT NULL GROUP BY symbol""", dbl="r t_stat")
+def q_autocorr(fx):
+    return S.autocorr_by_symbol(fx.fx_event_day, "x").drop("p_value")
+
+
+_OLS_SQL = C.DATASET_CTES + """,
+o AS (SELECT * FROM ds WHERE ft_news IS NOT NULL AND ft_submissions IS NOT NULL AND ft_comments IS NOT NULL),
+mo AS (SELECT symbol, count(*) AS n, avg(ft_news) AS my, avg(ft_submissions) AS m1, avg(ft_comments) AS m2,
+  var_pop(ft_submissions) AS c11, var_pop(ft_comments) AS c22, covar_pop(ft_submissions, ft_comments) AS c12,
+  covar_pop(ft_submissions, ft_news) AS c1y, covar_pop(ft_comments, ft_news) AS c2y, var_pop(ft_news) AS cyy FROM o GROUP BY 1),
+b AS (SELECT *, c11 * c22 - c12 * c12 AS det FROM mo),
+b2 AS (SELECT *, (c22 * c1y - c12 * c2y) / det AS b1, (c11 * c2y - c12 * c1y) / det AS b2 FROM b WHERE det <> 0),
+b3 AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, n * (cyy - b1 * c1y - b2 * c2y) AS ssr FROM b2),
+b4 AS (SELECT *, ssr / (n - 3) AS s2, 1 - ssr / (n * cyy) AS r2 FROM b3),
+terms AS (
+  SELECT symbol, 'const' AS term, b0 AS coef, sqrt(s2 * (1.0 / n + (m1 * m1 * c22 - 2 * m1 * m2 * c12 + m2 * m2 * c11) / (n * det))) AS std_err, n, r2 FROM b4
+  UNION ALL SELECT symbol, 'ft_submissions', b1, sqrt(s2 * c22 / (n * det)), n, r2 FROM b4
+  UNION ALL SELECT symbol, 'ft_comments', b2, sqrt(s2 * c11 / (n * det)), n, r2 FROM b4)
+SELECT symbol, term, coef, std_err, coef / std_err AS t_stat, n, r2, 1 - (1 - r2) * (n - 1) / (n - 3) AS adj_r2,
+  (r2 / 2) / ((1 - r2) / (n - 3)) AS f_stat FROM terms"""
+
+
+@register("ols_by_symbol", _OLS_SQL, dbl="coef std_err t_stat r2 adj_r2 f_stat", digits=5)
+def q_ols(fx):
+    return S.ols_by_group(C.dataset(fx, residualise=False), "ft_news", ["ft_submissions", "ft_comments"], "symbol").drop(
+        "p_value", "f_p_value")
+
+
+@register("ols_by_symbol_pvalues", None, note="t/F tails; unit-tested")
+def q_ols_p(fx):
+    return S.ols_by_group(C.dataset(fx, residualise=False), "ft_news", ["ft_submissions", "ft_comments"], "symbol")
+
+
+@register("granger_by_symbol", None, note="SSR of up-to-9-regressor models; unit-tested against numpy lstsq")
+def q_granger(fx):
+    return S.granger_by_group(C.dataset(fx, residualise=False), "ft_news", "ft_comments", "symbol", "dt", 4)

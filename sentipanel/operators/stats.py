@@ -1,12 +1,185 @@
-"""Correlation and test statistics.  Sums are aggregated in Spark; only the
-tiny per-group result rows are touched by Python (p-values)."""
+"""Correlation, tests and per-group regressions.
+
+Pattern: Spark aggregates (corr / covar_pop / count, partial + final) produce
+one small row per group; the only Python is a vectorised pandas UDF or an
+``applyInPandas`` over those rows (k x k solves, distribution tails).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import linalg as LA
+from .windows import consecutive_pairs
+
+
+@F.pandas_udf(T.DoubleType())
+def _pearson_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([LA.pearson_p(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(r, n)], dtype="float64")
+
+
+def _keys(key):
+    return [] if key is None else ([key] if isinstance(key, str) else list(key))
+
+
+def corr_by_group(df: DataFrame, key, x: str, y: str) -> DataFrame:
+    return df.groupBy(*_keys(key)).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def pearson_stats(df: DataFrame, x: str, y: str, key=None) -> DataFrame:
+    """r, n (complete pairs) and t statistic per group."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    out = df.groupBy(*_keys(key)).agg(F.corr(x, y).alias("r"), F.count_if(both).alias("n"))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r")))
+    return out.withColumn("t_stat", t)
+
+
+def pearson_test(df: DataFrame, x: str, y: str, key=None) -> DataFrame:
+    """r and two-sided p (t with n-2 df), whole frame or per group."""
+    return pearson_stats(df, x, y, key).withColumn("p_value", _pearson_p_udf(F.col("r"), F.col("n").cast("double")))
+
+
+def corr_matrix(df: DataFrame, cols: list[str], key=None) -> DataFrame:
+    """Pairwise-complete Pearson r of every pair (long form: a, b, r)."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    wide = df.groupBy(*_keys(key)).agg(*[F.corr(a, b).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)])
+    stack = ", ".join(f"'{a}', '{b}', `__r{i}`" for i, (a, b) in enumerate(pairs))
+    return wide.selectExpr(*_keys(key), f"stack({len(pairs)}, {stack}) AS (a, b, r)")
+
+
+def feature_target_corr(df: DataFrame, features: list[str], targets: list[str], key=None) -> DataFrame:
+    """r of every (feature, target) pair, long form."""
+    pairs = [(f, t) for f in features for t in targets]
+    wide = df.groupBy(*_keys(key)).agg(*[F.corr(f, t).alias(f"__r{i}") for i, (f, t) in enumerate(pairs)])
+    stack = ", ".join(f"'{f}', '{t}', `__r{i}`" for i, (f, t) in enumerate(pairs))
+    return wide.selectExpr(*_keys(key), f"stack({len(pairs)}, {stack}) AS (feature, target, r)")
+
+
+def feature_corr_rank(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    return feature_target_corr(df, features, [target]).select("feature", "r").orderBy(F.desc("r"), "feature")
+
+
+def autocorr_by_symbol(df: DataFrame, c: str, key: str = "symbol", day: str = "dt") -> DataFrame:
+    """Pearson test of consecutive values per series (series with < 2 rows yield no pair)."""
+    pairs = consecutive_pairs(df.filter(F.col(c).isNotNull()), c, key, day)
+    return pearson_test(pairs, "x_t", "x_next", key)
+
+
+# ------------------------------------------------------------- OLS ----
+
+def ols_by_group(df: DataFrame, y: str, xs: list[str], key=None, dropna: bool = True) -> DataFrame:
+    """y ~ const + xs per group: coefficient table + model statistics.
+
+    Columns: keys, term, coef, std_err, t_stat, p_value, n, r2, adj_r2, f_stat, f_p_value.
+    """
+    keys = _keys(key)
+    cols = [y, *xs]
+    data = df.dropna(subset=cols) if dropna else df
+    mom = LA.moments(data, keys, cols)
+    k = len(cols)
+    terms = ["const", *xs]
+    key_fields = [f for f in mom.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + [T.StructField(n, t) for n, t in [
+        ("term", T.StringType()), ("coef", T.DoubleType()), ("std_err", T.DoubleType()), ("t_stat", T.DoubleType()),
+        ("p_value", T.DoubleType()), ("n", T.LongType()), ("r2", T.DoubleType()), ("adj_r2", T.DoubleType()),
+        ("f_stat", T.DoubleType()), ("f_p_value", T.DoubleType())]])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, row in pdf.iterrows():
+            n, mean, C = LA.unpack(row, k)
+            res = LA.ols_from_moments(n, mean, C, 0, list(range(1, k)))
+            if res is None:
+                continue
+            p = len(xs)
+            dfr = res["df_resid"]
+            r2 = 1 - res["ssr"] / res["sst"] if res["sst"] > 0 else np.nan
+            adj = 1 - (1 - r2) * (n - 1) / dfr if dfr > 0 else np.nan
+            fstat = (r2 / p) / ((1 - r2) / dfr) if (p > 0 and dfr > 0 and r2 < 1) else np.nan
+            fp = LA.f_sf(fstat, p, dfr) if np.isfinite(fstat) else np.nan
+            for i, term in enumerate(terms):
+                coef = res["coef"][i]
+                se = res["se"][i] if res["se"] is not None else np.nan
+                t = coef / se if se and se > 0 else np.nan
+                pv = LA.t_two_sided_p(t, dfr) if np.isfinite(t) else np.nan
+                rows.append({**{kk: row[kk] for kk in keys}, "term": term, "coef": coef, "std_err": se, "t_stat": t,
+                             "p_value": pv, "n": int(n), "r2": r2, "adj_r2": adj, "f_stat": fstat, "f_p_value": fp})
+        return pd.DataFrame(rows, columns=schema.fieldNames())
+
+    grouped = mom.groupBy(*keys) if keys else mom.groupBy(F.lit(0).alias("__g"))
+    if not keys:
+        mom = mom.withColumn("__g", F.lit(0))
+        grouped = mom.groupBy("__g")
+    return grouped.applyInPandas(solve, schema)
+
+
+# ----------------------------------------------------------- Granger ----
+
+def granger_by_group(df: DataFrame, y: str, x: str, key="symbol", order: str = "dt", maxlag: int = 4) -> DataFrame:
+    """Does x Granger-cause y?  For each lag L = 1..maxlag: restricted y ~ const +
+    y lags; unrestricted adds x lags; rows = complete rows after dropping the first
+    L (row lags after ``dropna``).  Returns F (ssr), chi2, LR and params-F tests.
+
+    One Spark pass builds all lag columns (windows per key) and one aggregate
+    builds the moments of every lag model (conditional aggregates per L).
+    """
+    keys = _keys(key)
+    base = df.select(*keys, order, y, x).dropna(subset=[y, x])
+    w = Window.partitionBy(*keys).orderBy(order)
+    lagcols = {}
+    for j in range(1, maxlag + 1):
+        lagcols[f"__y{j}"] = F.lag(y, j).over(w)
+        lagcols[f"__x{j}"] = F.lag(x, j).over(w)
+    data = base.withColumns({"__rn": F.row_number().over(w), **lagcols})
+    allv = [y] + [f"__y{j}" for j in range(1, maxlag + 1)] + [f"__x{j}" for j in range(1, maxlag + 1)]
+    aggs = []
+    for L in range(1, maxlag + 1):
+        cond = F.col("__rn") > L
+        aggs.append(F.count_if(cond).alias(f"n_{L}"))
+        for i, a in enumerate(allv):
+            aggs.append(F.avg(F.when(cond, F.col(a))).alias(f"m_{L}_{i}"))
+            for j in range(i, len(allv)):
+                aggs.append(F.covar_pop(F.when(cond, F.col(a)), F.when(cond, F.col(allv[j]))).alias(f"c_{L}_{i}_{j}"))
+    mom = data.groupBy(*keys).agg(*aggs) if keys else data.agg(*aggs)
+    key_fields = [f for f in mom.schema.fields if f.name in keys]
+    schema = T.StructType(key_fields + [T.StructField(n, t) for n, t in [
+        ("lag", T.IntegerType()), ("n", T.LongType()), ("ssr_r", T.DoubleType()), ("ssr_u", T.DoubleType()),
+        ("f_stat", T.DoubleType()), ("f_p_value", T.DoubleType()), ("chi2", T.DoubleType()), ("chi2_p_value", T.DoubleType()),
+        ("lr", T.DoubleType()), ("lr_p_value", T.DoubleType()), ("params_f", T.DoubleType()), ("params_f_p_value", T.DoubleType())]])
+    K = len(allv)
 
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in pdf.iterrows():
+            for L in range(1, maxlag + 1):
+                n = float(row[f"n_{L}"])
+                if n <= 2 * L + 1:
+                    continue
+                mean = np.array([row[f"m_{L}_{i}"] for i in range(K)], dtype=float)
+                C = np.zeros((K, K))
+                for i in range(K):
+                    for j in range(i, K):
+                        C[i, j] = C[j, i] = row[f"c_{L}_{i}_{j}"]
+                ylags = list(range(1, L + 1))
+                xlags = list(range(1 + maxlag, 1 + maxlag + L))
+                r = LA.ols_from_moments(n, mean, C, 0, ylags)
+                u = LA.ols_from_moments(n, mean, C, 0, ylags + xlags)
+                if r is None or u is None or u["ssr"] <= 0:
+                    continue
+                dfd = n - 2 * L - 1
+                f = ((r["ssr"] - u["ssr"]) / L) / (u["ssr"] / dfd)
+                chi2 = n * (r["ssr"] - u["ssr"]) / u["ssr"]
+                lr = n * np.log(r["ssr"] / u["ssr"])
+                out.append({**{kk: row[kk] for kk in keys}, "lag": L, "n": int(n), "ssr_r": r["ssr"], "ssr_u": u["ssr"],
+                            "f_stat": f, "f_p_value": LA.f_sf(f, L, dfd), "chi2": chi2, "chi2_p_value": LA.chi2_sf(chi2, L),
+                            "lr": lr, "lr_p_value": LA.chi2_sf(lr, L), "params_f": f, "params_f_p_value": LA.f_sf(f, L, dfd)})
+        return pd.DataFrame(out, columns=schema.fieldNames())
 
-def corr_by_group(df: DataFrame, key: str | list[str] | None, x: str, y: str) -> DataFrame:
-    keys = [] if key is None else ([key] if isinstance(key, str) else list(key))
-    return df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    if not keys:
+        mom = mom.withColumn("__g", F.lit(0))
+        return mom.groupBy("__g").applyInPandas(solve, schema)
+    return mom.groupBy(*keys).applyInPandas(solve, schema)
