@@ -162,7 +162,7 @@ def smooth_frame(fx):
                      (F.lit(100.0) * F.exp(F.sum(F.col("ft_news") / 10).over(w))).alias("close"))
 
 
-@register("signal_weighted_nav", SW_SQL + "SELECT * FROM swnav", dbl="ret nav")
+@register("signal_weighted_nav", SW_SQL + "SELECT * FROM swnav", dbl="ret nav", digits=5)
 def q_swnav(fx):
     ds = smooth_frame(fx).select(
         F.lit("news").alias("strategy"), "symbol", "dt", "close",

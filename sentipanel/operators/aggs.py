@@ -136,10 +136,16 @@ def market_features(df: DataFrame, day: str, feature_cols: list[str], market_col
                     order: str = "symbol") -> DataFrame:
     """Per day: mean of the features and the last (by ``order``) market value."""
     aggs = [F.avg(c).alias(c) for c in feature_cols]
-    aggs += [F.max_by(F.col(c), F.col(order)).alias(c) for c in market_cols]
+    aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in market_cols]
     return df.groupBy(day).agg(*aggs)
 
 
 def position_share(df: DataFrame, value: str, day: str = "dt", out: str = "share") -> DataFrame:
     """value / row total per day (window per day: one day's rows = #symbols)."""
     return df.withColumn(out, safe_div(F.col(value), F.sum(value).over(Window.partitionBy(day))))
+
+
+def row_mean(cols: list[str]) -> Column:
+    """Mean across columns skipping NULLs (pandas ``mean(axis=1)``)."""
+    arr = F.filter(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), F.size(arr))

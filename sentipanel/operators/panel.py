@@ -131,30 +131,39 @@ def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     return carried.filter(F.col("__side") == 1).drop("__side")
 
 
-def asof_monthly(left: DataFrame, monthly: DataFrame, left_on: str, month_col: str, cols: list[str],
-                 known_bound: int | None = None) -> DataFrame:
-    """As-of join against a monthly dimension with forward fill of every column.
-
-    The dimension (one row per month, 12 rows a year) is turned into validity
-    ranges [month, next month) with each column forward-filled, then range-
-    joined with an equi key on the month bucket.  The dimension is broadcast
-    only when its row count is proven small.
+def asof_dimension(left: DataFrame, dim: DataFrame, left_on: str, dim_on: str, cols: list[str],
+                   bucket: str = "month") -> DataFrame:
+    """Backward as-of join against a small dated dimension (e.g. monthly macro
+    figures), every dimension column forward-filled in date order first.
+
+    The dimension becomes validity ranges [from, next from); each range is
+    exploded to the calendar buckets (months) it overlaps and the left side is
+    equi-joined on its own bucket, then filtered to its range.  Left rows after
+    the last dimension date use the last range (bucket clamped to the last
+    bucket, read as a scalar subquery); rows before the first date get NULLs.
+    The dimension is a few hundred rows (one per month) and is broadcast only
+    behind a row-count check.  The ordered window below runs over that
+    dimension alone.
     """
-    w = Window.orderBy(month_col)
+    w = Window.orderBy(dim_on)
     wf = w.rowsBetween(Window.unboundedPreceding, 0)
-    dim = monthly.select(F.col(month_col).alias("__from"),
-                         F.lead(month_col).over(w).alias("__to"),
-                         *[F.last(c, ignorenulls=True).over(wf).alias(c) for c in cols])
-    # every left day maps to the month starting at or before it; months with no
-    # row take the previous range (expand ranges to month buckets)
-    dim = dim.select("*", F.explode(F.sequence(F.col("__from"),
-                                               F.coalesce(F.add_months(F.col("__to"), -1), F.col("__from")),
-                                               F.expr("INTERVAL 1 MONTH"))).alias("__bucket"))
-    b = bounded_broadcast(dim, known_bound=known_bound)
-    l2 = left.withColumn("__bucket", F.trunc(F.col(left_on), "month"))
-    last_bucket = F.max("__bucket")
-    out = l2.join(b.drop("__from", "__to"), ["__bucket"], "left")
-    return out.drop("__bucket")
+    ranges = dim.select(F.col(dim_on).alias("__from"), F.lead(dim_on).over(w).alias("__to"),
+                        *[F.last(c, ignorenulls=True).over(wf).alias(c) for c in cols])
+    last_from = F.trunc(F.coalesce(F.date_sub(F.col("__to"), 1), F.col("__from")), bucket)
+    ranges = ranges.select("*", F.explode(F.sequence(F.trunc("__from", bucket), last_from,
+                                                     F.expr("INTERVAL 1 MONTH"))).alias("__b"))
+    max_b = ranges.select(F.max("__b")).scalar()
+    l2 = left.withColumn("__b", F.least(F.trunc(F.col(left_on), bucket), max_b))
+    # ranges tile [first date, +inf) without overlap: each left row on or after
+    # the first dimension date matches exactly one range; earlier rows none
+    j = l2.join(bounded_broadcast(ranges), ["__b"], "inner")
+    ok = (F.col(left_on) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(left_on) < F.col("__to")))
+    lcols = left.columns
+    matched = j.filter(ok).select(*lcols, *cols)
+    first = dim.select(F.min(dim_on)).scalar()
+    unmatched = left.filter(F.col(left_on).isNull() | (F.col(left_on) < first)).select(
+        *lcols, *[F.lit(None).cast(t).alias(c) for c, t in dim.select(*cols).dtypes])
+    return matched.unionByName(unmatched)
 
 
 def top_child_join(posts: DataFrame, comments: DataFrame, post_key: str, child_key: str, score: str,
