@@ -83,11 +83,12 @@ def clean_security_name(c: ColumnOrName) -> Column:
 
 def tokenize_words(c: ColumnOrName) -> Column:
     """Unicode ``\\w+`` runs of the lower-cased text, re-joined by single spaces."""
-    return F.array_join(F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(?U)(\w+)"), 1), " ")
+    return F.array_join(word_array(c), " ")
 
 
 def word_array(c: ColumnOrName) -> Column:
-    return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(?U)(\w+)"), 1)
+    # Python's unicode \w: letters, numbers and underscore (no combining marks)
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 # ------------------------------------------------------------- numbers ----
