@@ -45,7 +45,7 @@ def ridge_fit(df: DataFrame, features: list[str], target: str, alpha: float = 1.
                 out.append({**{kk: row[kk] for kk in gkeys}, "term": term, "coef": float(c)})
         return pd.DataFrame(out, columns=schema.fieldNames())
 
-    out = mom.groupBy(*gkeys).applyInPandas(solve, schema)
+    out = mom.mapInPandas(lambda it: (solve(pdf) for pdf in it), schema)  # one row per group already
     return out.drop("__g") if not keys else out
 
 
@@ -83,7 +83,10 @@ def walk_forward_ridge(df: DataFrame, features: list[str], target: str, start, e
     day; (4) predictions as a join of per-day coefficients.
     """
     cols = [target, *features]
-    data = df.dropna(subset=cols)
+    # the input (a symbol x day panel) is read by several aggregates below:
+    # keep it once (memory, spilling to disk; lost blocks are recomputed)
+    from pyspark import StorageLevel
+    data = df.dropna(subset=cols).persist(StorageLevel.MEMORY_AND_DISK)
     # global means as scalar subqueries (merged into one aggregate job by the optimizer)
     mus = [data.select(F.avg(c)).scalar() for c in cols]
     sh = data
@@ -140,7 +143,7 @@ def walk_forward_ridge(df: DataFrame, features: list[str], target: str, start, e
             out.append({day: row[day], "b": [float(x) for x in res["coef"]]})
         return pd.DataFrame(out, columns=[day, "b"])
 
-    coefs = gram.groupBy(day).applyInPandas(solve, schema)
+    coefs = gram.select(day, "g", "mu").mapInPandas(lambda it: (solve(pdf) for pdf in it), schema)  # one row per day
     pred = F.col("b")[0]
     for i, f in enumerate(features, start=1):
         pred = pred + F.col("b")[i] * F.col(f)

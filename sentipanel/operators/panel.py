@@ -52,26 +52,44 @@ def calendar_spine_by_range(ranges: DataFrame, key: str = "symbol", day: str = "
     return ranges.select(key, F.explode(F.sequence(F.col(lo), F.col(hi))).alias(day))
 
 
-def join_panel(spine: DataFrame, channels: dict[str, DataFrame], prices: DataFrame | None,
+def join_panel(spine: DataFrame, channels: dict[str, DataFrame] | DataFrame, prices: DataFrame | None,
                index: DataFrame | None, key: str = "symbol", day: str = "dt",
-               sentiment_col: str = "roberta_normalised_compound") -> DataFrame:
+               sentiment_col: str = "roberta_normalised_compound", start=None, end=None) -> DataFrame:
     """spine LEFT JOIN each channel (symbol, dt) LEFT JOIN prices LEFT JOIN index (dt).
 
-    ``channels`` maps a channel name to a daily frame; the output column is
-    ``{name}_sentiment``.  All equi-joins share the (symbol, dt) key, so after
-    the first shuffle the rest are co-partitioned.
+    ``channels`` maps a channel name to a daily frame (output column
+    ``{name}_sentiment``), or is one wide daily frame that already carries the
+    ``*_sentiment`` columns.  All equi-joins share the (symbol, dt) key, so
+    after the first shuffle the rest are co-partitioned.
+
+    The index side is keyed by day: restricted to [start, end] and reduced to
+    one row per day, its size is bounded by the calendar length, which is the
+    proven bound used for the broadcast (no counting job).
     """
     out = spine
-    for name, ch in channels.items():
-        out = out.join(ch.select(key, day, F.col(sentiment_col).alias(f"{name}_sentiment")), [key, day], "left")
+    if isinstance(channels, DataFrame):
+        out = out.join(channels, [key, day], "left")
+    else:
+        for name, ch in channels.items():
+            out = out.join(ch.select(key, day, F.col(sentiment_col).alias(f"{name}_sentiment")), [key, day], "left")
     if prices is not None:
         out = out.join(prices.select(key, day, "open", "close", "high", "low"), [key, day], "left")
     if index is not None:
         idx = index.select(day, "sp500_open", "sp500_close")
-        out = out.join(bounded_broadcast(idx), [day], "left")
+        if start is not None and end is not None:
+            s_, e_ = _as_date(start), _as_date(end)
+            idx = (idx.filter(F.col(day).between(F.lit(s_), F.lit(e_)))
+                      .groupBy(day).agg(F.first("sp500_open").alias("sp500_open"), F.first("sp500_close").alias("sp500_close")))
+            out = out.join(bounded_broadcast(idx, known_bound=(e_ - s_).days + 1), [day], "left")
+        else:
+            out = out.join(bounded_broadcast(idx), [day], "left")
     return out
 
 
+def _as_date(d):
+    return _dt.date.fromisoformat(d) if isinstance(d, str) else d
+
+
 def pivot_sources(long: DataFrame, source: str, value: str, prefix: str, sources: list[str],
                   keys=("symbol", "dt")) -> DataFrame:
     """One pivot with explicit values (no extra job to discover them)."""

@@ -88,7 +88,7 @@ def ols_by_group(df: DataFrame, y: str, xs: list[str], key=None, dropna: bool =
         ("p_value", T.DoubleType()), ("n", T.LongType()), ("r2", T.DoubleType()), ("adj_r2", T.DoubleType()),
         ("f_stat", T.DoubleType()), ("f_p_value", T.DoubleType())]])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, row in pdf.iterrows():
             n, mean, C = LA.unpack(row, k)
@@ -110,11 +110,8 @@ def ols_by_group(df: DataFrame, y: str, xs: list[str], key=None, dropna: bool =
                              "p_value": pv, "n": int(n), "r2": r2, "adj_r2": adj, "f_stat": fstat, "f_p_value": fp})
         return pd.DataFrame(rows, columns=schema.fieldNames())
 
-    grouped = mom.groupBy(*keys) if keys else mom.groupBy(F.lit(0).alias("__g"))
-    if not keys:
-        mom = mom.withColumn("__g", F.lit(0))
-        grouped = mom.groupBy("__g")
-    return grouped.applyInPandas(solve, schema)
+    # one row per group already: solve partition-wise (no shuffle, no per-group call)
+    return mom.mapInPandas(lambda it: (solve_rows(pdf) for pdf in it), schema)
 
 
 # ----------------------------------------------------------- Granger ----
@@ -136,15 +133,11 @@ def granger_by_group(df: DataFrame, y: str, x: str, key="symbol", order: str = "
         lagcols[f"__x{j}"] = F.lag(x, j).over(w)
     data = base.withColumns({"__rn": F.row_number().over(w), **lagcols})
     allv = [y] + [f"__y{j}" for j in range(1, maxlag + 1)] + [f"__x{j}" for j in range(1, maxlag + 1)]
-    aggs = []
-    for L in range(1, maxlag + 1):
-        cond = F.col("__rn") > L
-        aggs.append(F.count_if(cond).alias(f"n_{L}"))
-        for i, a in enumerate(allv):
-            aggs.append(F.avg(F.when(cond, F.col(a))).alias(f"m_{L}_{i}"))
-            for j in range(i, len(allv)):
-                aggs.append(F.covar_pop(F.when(cond, F.col(a)), F.when(cond, F.col(allv[j]))).alias(f"c_{L}_{i}_{j}"))
-    mom = data.groupBy(*keys).agg(*aggs) if keys else data.agg(*aggs)
+    # one copy of each row per lag model it belongs to (rows after the first L),
+    # then ONE moments aggregate grouped by (keys, lag)
+    rows = data.withColumn("lag", F.explode(F.sequence(F.lit(1), F.least(F.col("__rn") - 1, F.lit(maxlag)))))
+    rows = rows.filter(F.col("__rn") > F.col("lag"))
+    mom = LA.moments(rows, [*keys, "lag"], allv)
     key_fields = [f for f in mom.schema.fields if f.name in keys]
     schema = T.StructType(key_fields + [T.StructField(n, t) for n, t in [
         ("lag", T.IntegerType()), ("n", T.LongType()), ("ssr_r", T.DoubleType()), ("ssr_u", T.DoubleType()),
@@ -152,18 +145,14 @@ def granger_by_group(df: DataFrame, y: str, x: str, key="symbol", order: str = "
         ("lr", T.DoubleType()), ("lr_p_value", T.DoubleType()), ("params_f", T.DoubleType()), ("params_f_p_value", T.DoubleType())]])
     K = len(allv)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            for L in range(1, maxlag + 1):
-                n = float(row[f"n_{L}"])
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for _, row in pdf.iterrows():
+                L = int(row["lag"])
+                n, mean, C = LA.unpack(row, K)
                 if n <= 2 * L + 1:
                     continue
-                mean = np.array([row[f"m_{L}_{i}"] for i in range(K)], dtype=float)
-                C = np.zeros((K, K))
-                for i in range(K):
-                    for j in range(i, K):
-                        C[i, j] = C[j, i] = row[f"c_{L}_{i}_{j}"]
                 ylags = list(range(1, L + 1))
                 xlags = list(range(1 + maxlag, 1 + maxlag + L))
                 r = LA.ols_from_moments(n, mean, C, 0, ylags)
@@ -177,9 +166,8 @@ def granger_by_group(df: DataFrame, y: str, x: str, key="symbol", order: str = "
                 out.append({**{kk: row[kk] for kk in keys}, "lag": L, "n": int(n), "ssr_r": r["ssr"], "ssr_u": u["ssr"],
                             "f_stat": f, "f_p_value": LA.f_sf(f, L, dfd), "chi2": chi2, "chi2_p_value": LA.chi2_sf(chi2, L),
                             "lr": lr, "lr_p_value": LA.chi2_sf(lr, L), "params_f": f, "params_f_p_value": LA.f_sf(f, L, dfd)})
-        return pd.DataFrame(out, columns=schema.fieldNames())
+            yield pd.DataFrame(out, columns=schema.fieldNames())
+
 
-    if not keys:
-        mom = mom.withColumn("__g", F.lit(0))
-        return mom.groupBy("__g").applyInPandas(solve, schema)
-    return mom.groupBy(*keys).applyInPandas(solve, schema)
+    # one row per (key, lag) already: solve partition-wise, no extra shuffle
+    return mom.mapInPandas(solve, schema)

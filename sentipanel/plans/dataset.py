@@ -34,9 +34,8 @@ def trim_to_price_coverage(df: DataFrame, price: str = "open", day: str = "dt")
     The bounds are scalar subqueries: one small aggregate job, no join.
     """
     priced = df.filter(F.col(price).isNotNull())
-    lo = priced.select(F.min(day)).scalar()
-    hi = priced.select(F.max(day)).scalar()
-    return df.filter((F.col(day) >= lo) & (F.col(day) <= hi))
+    b = priced.select(F.struct(F.min(day).alias("lo"), F.max(day).alias("hi"))).scalar()
+    return df.filter((F.col(day) >= b.getField("lo")) & (F.col(day) <= b.getField("hi")))
 
 
 def residual_beta(x: str, y: str, key: str = "symbol", beta: str = "reference"):

@@ -53,11 +53,16 @@ def cte_prefix(*names: str) -> str:
 class Fixtures:
     """Lazily registered base tables + fixture frames for one sf directory."""
 
+    _registered: dict = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        for t in BASE_TABLES:
-            spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        tag = (id(spark), spark.sparkContext.applicationId, self.sf_dir)
+        if Fixtures._registered.get(id(spark)) != tag or not spark.catalog.tableExists(BASE_TABLES[-1]):
+            for t in BASE_TABLES:
+                spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            Fixtures._registered[id(spark)] = tag
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
