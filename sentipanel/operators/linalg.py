@@ -179,3 +179,24 @@ def pearson_p(r: float, n: float) -> float:
     df = n - 2
     t = r * math.sqrt(df / (1 - r * r))
     return t_two_sided_p(t, df)
+
+
+def t_ppf(q: float, df: float) -> float:
+    """Quantile of Student's t by bisection on the tail function (q in (0.5, 1))."""
+    if df <= 0:
+        return float("nan")
+    target = 2 * (1 - q)  # two-sided p at the quantile
+    lo, hi = 0.0, 1.0
+    while t_two_sided_p(hi, df) > target and hi < 1e8:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if t_two_sided_p(mid, df) > target:
+            lo = mid
+        else:
+            hi = mid
+    return (lo + hi) / 2
+
+
+def normal_two_sided_p(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2.0))
