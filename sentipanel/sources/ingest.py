@@ -38,7 +38,8 @@ def _parse(lines: DataFrame, schema: T.StructType, value: str = "value") -> Data
 def _on_error(df: DataFrame, bad: Column, on_error: str, what: str):
     """'fail' -> raise at execution; 'reject' -> (good, rejected); 'skip' -> good."""
     if on_error == "fail":
-        return df.withColumn("__chk", F.when(bad, F.raise_error(F.lit(f"invalid {what}")))).drop("__chk"), None
+        # a filter (not a projected column, which column pruning would drop)
+        return df.filter(F.when(bad, F.raise_error(F.lit(f"invalid {what}"))).otherwise(F.lit(True))), None
     good, rejected = df.filter(~bad), df.filter(bad)
     return good, (rejected if on_error == "reject" else None)
 
