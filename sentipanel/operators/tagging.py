@@ -113,37 +113,49 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
 
     Output: (doc, seg, ticker, text) with ``seg`` the 0-based segment order.
     ``start`` names a column holding the start ticker ('' or NULL = none).
+
+    One pass: pieces (one shuffle by document for the look-ahead window) ->
+    LEFT join with the broadcast term table (keeps every piece) -> one window
+    per document ordered by (piece, match length) marks boundaries and segment
+    ids -> aggregate per (document, segment), which re-uses the document
+    partitioning (no further shuffle).
     """
-    base = docs.select(F.col(doc).alias("__doc"), F.coalesce(F.col(text), F.lit("")).alias("__text"),
-                       (F.coalesce(F.col(start), F.lit("")) if start else F.lit("")).alias("__start"))
-    pieces = _pieces(base.withColumnRenamed("__doc", "d"), "d", "__text")
-    mentions = find_mentions(None, terms, pieces=pieces)
-    starts = base.select("__doc", "__start")
-    wm = Window.partitionBy("__doc").orderBy("pos", "n")
-    m = mentions.join(starts, ["__doc"], "inner")
-    m = m.withColumn("__first", F.first("ticker").over(wm.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    prev = F.coalesce(F.lag("ticker").over(wm), F.nullif(F.col("__start"), F.lit("")), F.col("ticker"))
-    cuts = m.withColumn("__prev", prev).filter(F.col("ticker") != F.col("__prev")).select("__doc", "pos", "n", "ticker")
-    firsts = m.select("__doc", "__first").distinct()
-    init = starts.join(firsts, ["__doc"], "left").select(
-        "__doc", F.lit(0).alias("pos"), F.lit(0).alias("n"),
-        F.when(F.col("__start") != "", F.col("__start")).otherwise(F.coalesce(F.col("__first"), F.lit(""))).alias("ticker"))
-    bounds = init.unionByName(cuts)
-    # one stream per document: boundary rows sort before the piece at the same position
-    b = bounds.select("__doc", "pos", F.lit(0).alias("kind"), "n", "ticker", F.lit(None).cast("string").alias("piece"))
-    p = pieces.select(F.col("__doc"), "pos", F.lit(1).alias("kind"), F.lit(0).alias("n"),
-                      F.lit(None).cast("string").alias("ticker"), "piece")
-    s = b.unionByName(p)
-    ws = Window.partitionBy("__doc").orderBy("pos", "kind", "n")
-    s = s.withColumn("seg", F.sum(1 - F.col("kind")).over(ws.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    seg = (s.groupBy("__doc", "seg")
-             .agg(F.max("ticker").alias("ticker"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.struct("pos", "piece")))),
-                                           lambda x: x["piece"]), "").alias("text")))
-    wl = Window.partitionBy("__doc").orderBy(F.desc("seg"))
-    seg = seg.withColumn("__last", F.row_number().over(wl) == 1)
-    seg = seg.filter(~(F.col("__last") & (F.length("text") == 0))).drop("__last")
-    return seg.withColumnRenamed("__doc", doc)
+    k = _max_start_chars(terms) + 2
+    st = F.coalesce(F.col(start), F.lit("")) if start else F.lit("")
+    # a NULL marker piece first: segment 0 always has a row (it may be empty)
+    pieces = F.concat(F.array(F.lit(None).cast("string")), F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT_RE))
+    p = docs.select(F.col(doc).alias("__doc"), st.alias("__start"), F.posexplode(pieces).alias("pos", "piece"))
+    w = Window.partitionBy("__doc").orderBy("pos")
+    ctx = F.concat(F.col("piece"), *[F.coalesce(F.lead("piece", j).over(w), F.lit("")) for j in range(1, k)])
+    p = p.withColumn("ctx", ctx).withColumn("key", F.regexp_extract("piece", _KEY_RE, 0))
+    t = terms.select("term", "ticker").withColumn("key", F.regexp_extract("term", _KEY_RE, 0))
+    t = bounded_broadcast(t, max_rows=2_000_000)
+    j = p.join(t, ["key"], "left")
+    n = F.length("term")
+    nxt = F.substring(F.col("ctx"), n + 1, 1)
+    ok = F.col("term").isNotNull() & F.startswith(F.col("ctx"), F.col("term")) & ((nxt == "") | nxt.rlike("^" + _END_CLASS))
+    j = j.select("__doc", "__start", "pos", "piece",
+                 F.when(ok, n).otherwise(F.lit(0)).alias("n"), F.when(ok, F.col("ticker")).alias("mt"))
+    # candidate rows of one piece: keep every verified match; keep one row
+    # (the longest match, or the bare piece) to carry the piece text
+    wp = Window.partitionBy("__doc", "pos").orderBy(F.desc("n"))
+    j = j.withColumn("__r", F.row_number().over(wp)).filter(F.col("mt").isNotNull() | (F.col("__r") == 1))
+    j = j.withColumn("txt", F.when(F.col("__r") == 1, F.col("piece")))
+    wd = Window.partitionBy("__doc").orderBy("pos", "n")
+    prev = F.last("mt", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.first("mt", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    j = j.withColumn("__first", first).withColumn(
+        "__bound", F.col("mt").isNotNull() & (F.col("mt") != F.coalesce(prev, F.nullif(F.col("__start"), F.lit("")), F.col("mt"))))
+    j = j.withColumn("seg", F.sum(F.col("__bound").cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0)))
+    j = j.withColumn("__last", F.max("seg").over(Window.partitionBy("__doc")))
+    init = F.when(F.col("__start") != "", F.col("__start")).otherwise(F.coalesce(F.col("__first"), F.lit("")))
+    seg = (j.groupBy("__doc", "seg")
+             .agg(F.coalesce(F.max(F.when(F.col("__bound"), F.col("mt"))), F.first(init)).alias("ticker"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("txt").isNotNull(), F.struct("pos", "txt")))),
+                                           lambda x: x["txt"]), "").alias("text"),
+                  F.max(F.col("seg") == F.col("__last")).alias("__is_last")))
+    seg = seg.filter(~(F.col("__is_last") & (F.length("text") == 0))).drop("__is_last")
+    return seg.select(F.col("__doc").alias(doc), F.col("seg").cast("bigint").alias("seg"), "ticker", "text")
 
 
 def dominant_ticker(segments: DataFrame, doc: str = "doc_id") -> DataFrame:
