@@ -136,18 +136,20 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
     ok = F.col("term").isNotNull() & F.startswith(F.col("ctx"), F.col("term")) & ((nxt == "") | nxt.rlike("^" + _END_CLASS))
     j = j.select("__doc", "__start", "pos", "piece",
                  F.when(ok, n).otherwise(F.lit(0)).alias("n"), F.when(ok, F.col("ticker")).alias("mt"))
-    # candidate rows of one piece: keep every verified match; keep one row
-    # (the longest match, or the bare piece) to carry the piece text
-    wp = Window.partitionBy("__doc", "pos").orderBy(F.desc("n"))
-    j = j.withColumn("__r", F.row_number().over(wp)).filter(F.col("mt").isNotNull() | (F.col("__r") == 1))
-    j = j.withColumn("txt", F.when(F.col("__r") == 1, F.col("piece")))
+    # one ordered pass per document over (piece, match length): unverified
+    # candidates sort first within a piece (n = 0), the piece's last row
+    # carries the piece text
     wd = Window.partitionBy("__doc").orderBy("pos", "n")
+    full = wd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prev = F.last("mt", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1))
-    first = F.first("mt", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    j = j.withColumn("__first", first).withColumn(
-        "__bound", F.col("mt").isNotNull() & (F.col("mt") != F.coalesce(prev, F.nullif(F.col("__start"), F.lit("")), F.col("mt"))))
+    j = j.withColumns({
+        "__first": F.first("mt", ignorenulls=True).over(full),
+        "__lastpos": F.coalesce(F.lead("pos").over(wd), F.lit(-1)) != F.col("pos"),
+        "__bound": F.col("mt").isNotNull() & (F.col("mt") != F.coalesce(prev, F.nullif(F.col("__start"), F.lit("")), F.col("mt"))),
+    })
+    j = j.filter(F.col("mt").isNotNull() | F.col("__lastpos")).withColumn("txt", F.when(F.col("__lastpos"), F.col("piece")))
     j = j.withColumn("seg", F.sum(F.col("__bound").cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0)))
-    j = j.withColumn("__last", F.max("seg").over(Window.partitionBy("__doc")))
+    j = j.withColumn("__last", F.max("seg").over(full))
     init = F.when(F.col("__start") != "", F.col("__start")).otherwise(F.coalesce(F.col("__first"), F.lit("")))
     seg = (j.groupBy("__doc", "seg")
              .agg(F.coalesce(F.max(F.when(F.col("__bound"), F.col("mt"))), F.first(init)).alias("ticker"),
@@ -160,13 +162,13 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
 
 def dominant_ticker(segments: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Per document the ticker with the most UTF-8 bytes of (non-'') segment
-    text; '' when none has any bytes; ties -> smallest ticker."""
-    sizes = (segments.filter(F.col("ticker") != "")
-                     .groupBy(doc, "ticker").agg(F.sum(F.octet_length("text")).alias("size"))
-                     .filter(F.col("size") > 0))
-    best = sizes.groupBy(doc).agg(F.min_by("ticker", F.struct(-F.col("size"), F.col("ticker"))).alias("dominant"))
-    docs = segments.select(doc).distinct()
-    return docs.join(best, [doc], "left").select(doc, F.coalesce(F.col("dominant"), F.lit("")).alias("dominant"))
+    text; '' when none has any bytes; ties -> smallest ticker.  Two chained
+    aggregates (the second re-uses the first's partitioning by document)."""
+    sizes = segments.groupBy(doc, "ticker").agg(F.sum(F.octet_length("text")).alias("size"))
+    valid = (F.col("ticker") != "") & (F.col("size") > 0)
+    best = sizes.groupBy(doc).agg(F.min_by(F.when(valid, F.col("ticker")),
+                                           F.when(valid, F.struct(-F.col("size"), F.col("ticker")))).alias("dominant"))
+    return best.select(doc, F.coalesce(F.col("dominant"), F.lit("")).alias("dominant"))
 
 
 def tag_news(news: DataFrame, terms: DataFrame, doc: str = "url", title: str = "title", body: str = "body",
