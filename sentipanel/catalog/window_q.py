@@ -150,3 +150,9 @@ def q_past_return(fx):
 @register("sort_by_top_n", EV + "SELECT symbol, dt, x FROM fx_event_day ORDER BY x DESC, symbol, dt LIMIT 25", dbl="x")
 def q_top_n(fx):
     return _ev(fx).select("symbol", "dt", "x").orderBy(F.desc("x"), "symbol", "dt").limit(25)
+
+
+@register("downsample_global", cte("fx_event_day") + """SELECT symbol, dt, x FROM fx_event_day
+QUALIFY (row_number() OVER (ORDER BY dt, symbol) - 1) % 7 = 0""", dbl="x")
+def q_downsample_global(fx):
+    return W.downsample(fx.fx_event_day.select("symbol", "dt", "x"), 7, key=None, order=["dt", "symbol"])

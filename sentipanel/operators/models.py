@@ -86,7 +86,8 @@ def walk_forward_ridge(df: DataFrame, features: list[str], target: str, start, e
     # the input (a symbol x day panel) is read by several aggregates below:
     # keep it once (memory, spilling to disk; lost blocks are recomputed)
     from pyspark import StorageLevel
-    data = df.dropna(subset=cols).persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.dropna(subset=cols)
     # global means as scalar subqueries (merged into one aggregate job by the optimizer)
     mus = [data.select(F.avg(c)).scalar() for c in cols]
     sh = data

@@ -146,13 +146,14 @@ def calendar_rolling_mean(c: str, days: int = 30, key="symbol", order="dt") -> C
     return F.avg(c).over(w)
 
 
-def rebase_series(c: str, key=None, order="dt", base: float = 10000.0) -> Column:
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order).rowsBetween(UNB_P, UNB_F)
+def rebase_series(c: str, key: str, order="dt", base: float = 10000.0) -> Column:
+    """x * base / first(x) per series (key required: a series is bounded by its days)."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(UNB_P, UNB_F)
     return F.col(c) * F.lit(base) / F.first(c).over(w)
 
 
-def drawdown(c: str, key=None, order="dt") -> Column:
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order).rowsBetween(UNB_P, 0)
+def drawdown(c: str, key: str, order="dt") -> Column:
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(UNB_P, 0)
     return F.col(c) / F.max(c).over(w) - 1
 
 
@@ -192,10 +193,39 @@ def consecutive_pairs(df: DataFrame, c: str, key: str = "symbol", day: str = "dt
               .filter(F.col("x_t").isNotNull() & F.col("x_next").isNotNull()))
 
 
-def downsample(df: DataFrame, n: int, key: str | None = "symbol", order: str = "dt") -> DataFrame:
-    """Rows 0, n, 2n, ... of each key in order."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
-    return df.withColumn("__rn", F.row_number().over(w) - 1).filter(F.col("__rn") % n == 0).drop("__rn")
+def downsample(df: DataFrame, n: int, key: str | None = "symbol", order: str | list[str] = "dt") -> DataFrame:
+    """Rows 0, n, 2n, ... of each key in order; without a key, of the whole
+    frame in ``order`` (a global row index from range-partitioned offsets,
+    never a single-partition window).  ``order`` must be a total order."""
+    orders = [order] if isinstance(order, str) else list(order)
+    if key:
+        w = Window.partitionBy(key).orderBy(*orders)
+        return df.withColumn("__rn", F.row_number().over(w) - 1).filter(F.col("__rn") % n == 0).drop("__rn")
+    return global_row_index(df, orders, "__rn").filter(F.col("__rn") % n == 0).drop("__rn")
+
+
+def _ranged(df: DataFrame, keys: list[str], partitions: int | None):
+    from ..session import cut_lineage
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn("__pid", F.spark_partition_id())
+    return cut_lineage(ranged)  # pin partition ids (reliable checkpoint: identical on recompute)
+
+
+def global_row_index(df: DataFrame, order: list[str], out: str = "row_index", partitions: int | None = None) -> DataFrame:
+    """0-based position of each row in the global ``order`` (a total order).
+
+    Range partitioning on the full sort key spreads even a hot value; each
+    partition numbers its rows; per-partition counts (one row per partition)
+    become prefix offsets, broadcast back."""
+    ranged = _ranged(df, order, partitions)
+    wl = Window.partitionBy("__pid").orderBy(*order)
+    local = ranged.withColumn("__i", F.row_number().over(wl) - 1)
+    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    wo = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # <= #partitions rows
+    offsets = counts.select("__pid", F.coalesce(F.sum("__c").over(wo), F.lit(0)).alias("__o"))
+    return (local.join(F.broadcast(offsets), ["__pid"], "inner")
+                 .withColumn(out, F.col("__i") + F.col("__o")).drop("__pid", "__i", "__o"))
 
 
 def cumulative_by_feature(df: DataFrame, feature: str, target: str, tiebreak: list[str],
@@ -207,12 +237,8 @@ def cumulative_by_feature(df: DataFrame, feature: str, target: str, tiebreak: li
     partition computes a local prefix sum, and per-partition totals (one row
     per partition) are prefix-summed into offsets and broadcast back.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [feature, *tiebreak]
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys]).withColumn("__pid", F.spark_partition_id())
-    from ..session import cut_lineage
-    ranged = cut_lineage(ranged)  # pin the partition ids (deterministic on recompute)
+    ranged = _ranged(df, keys, partitions)
     wl = Window.partitionBy("__pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({"__cs": F.sum(target).over(wl), "__cn": F.count(F.lit(1)).over(wl)})
     totals = ranged.groupBy("__pid").agg(F.sum(target).alias("__ts"), F.count(F.lit(1)).alias("__tn"))

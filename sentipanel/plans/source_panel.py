@@ -10,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.panel import bounded_broadcast, calendar_spine_by_range, pivot_sources, union_symbols
+from ..operators.panel import bounded_broadcast, pivot_sources, union_symbols
+from ..session import cut_lineage
 
 
 def build_source_panel(kinds: dict[str, tuple[DataFrame, str]], sources: dict[str, list[str]],
                        prices: DataFrame | None, index: DataFrame | None, day: str = "date") -> DataFrame:
+    # the per-kind daily frames (symbol x day x source: small, already
+    # aggregated) feed the spine, the range and the pivots: materialise once
+    kinds = {k: (cut_lineage(f), src) for k, (f, src) in kinds.items()}
     frames = [f.select("symbol", F.col(day).alias("dt")) for f, _ in kinds.values()]
     syms, rng = union_symbols(frames)
-    lo = rng.select("lo").scalar()
-    hi = rng.select("hi").scalar()
+    b = rng.select(F.struct("lo", "hi")).scalar()
+    lo, hi = b.getField("lo"), b.getField("hi")
     spine = syms.select("symbol", F.explode(F.sequence(lo, hi)).alias("dt"))
     out = spine
     for kind, (f, src_col) in kinds.items():
