@@ -64,7 +64,7 @@ def oracle_text(spec: Spec) -> str | None:
 
 def load_all():
     # import for side effect: registration
-    from . import panel_q, text_q, stats_q, agg_q, ingest_q, window_q, model_q, join_q, scoring_q, causal_q  # noqa: F401
+    from . import panel_q, text_q, stats_q, agg_q, ingest_q, window_q, model_q, join_q, scoring_q, causal_q, io_q  # noqa: F401
     return REGISTRY
 
 

@@ -179,12 +179,23 @@ def ablation(df: DataFrame, features: list[str], target: str, sets: dict[str, li
     return mom.groupBy("__g").applyInPandas(solve, schema)
 
 
-def gbt_fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, max_iter: int = 300,
-                    step: float = 0.1, depth: int = 3, seed: int = 42, out: str = "prediction") -> DataFrame:
+def gbt_fit(train: DataFrame, features: list[str], target: str, max_iter: int = 300, step: float = 0.1,
+            depth: int = 3, seed: int = 42, out: str = "prediction"):
+    """Boosted-tree regressor (Spark ML: distributed histogram trees)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     va = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip")
-    model = GBTRegressor(featuresCol="__features", labelCol=target, maxIter=max_iter, stepSize=step, maxDepth=depth,
-                         seed=seed, predictionCol=out).fit(va.transform(train.dropna(subset=[target, *features])))
-    return model.transform(va.transform(test)).drop("__features")
+    return GBTRegressor(featuresCol="__features", labelCol=target, maxIter=max_iter, stepSize=step, maxDepth=depth,
+                        seed=seed, predictionCol=out).fit(va.transform(train.dropna(subset=[target, *features])))
+
+
+def gbt_predict(model, df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    va = VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="keep")
+    return model.transform(va.transform(df)).drop("__features")
+
+
+def gbt_fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, max_iter: int = 300,
+                    step: float = 0.1, depth: int = 3, seed: int = 42, out: str = "prediction") -> DataFrame:
+    return gbt_predict(gbt_fit(train, features, target, max_iter, step, depth, seed, out), test, features)
