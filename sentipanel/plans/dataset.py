@@ -55,8 +55,15 @@ def residual_beta(x: str, y: str, key: str = "symbol", beta: str = "reference"):
 def build_dataset(panel: DataFrame, target_horizons=(30,), lookback_periods=(30,), residualise_returns: bool = True,
                   start_date=None, end_date=None, sources: bool = False, group_sources: bool = False,
                   beta: str = "reference") -> DataFrame:
-    """Features (ft_*), volatility features (vol_ft_*) and targets (tgt_*, vol_tgt_*, sp_*)."""
-    df = filter_date_range(panel, start_date, end_date)
+    """Features (ft_*), volatility features (vol_ft_*) and targets (tgt_*, vol_tgt_*, sp_*).
+
+    The panel (symbols x days, small next to the raw text behind it) is
+    materialised once with a reliable checkpoint: the price-coverage bounds
+    and the windows both read it, so the upstream aggregation of raw text
+    runs once, and lineage stays short.
+    """
+    from ..session import cut_lineage
+    df = cut_lineage(filter_date_range(panel, start_date, end_date))
     df = trim_to_price_coverage(df)
     df = W.backfill_prices(df, [c for c in PRICE_COLS if c in df.columns])
 
