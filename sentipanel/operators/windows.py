@@ -25,9 +25,15 @@ def series_window(key: str | list[str] = "symbol", order: str = "dt"):
 # ------------------------------------------------------------ fills ----
 
 def backfill(c: str, key="symbol", order="dt") -> Column:
-    """Next known value (bfill) within the series."""
-    w = series_window(key, order).rowsBetween(0, UNB_F)
-    return F.first(F.col(c), ignorenulls=True).over(w)
+    """Next known value (bfill) within the series.
+
+    Written as a forward fill over the DESCENDING order: an unbounded-preceding
+    frame is evaluated incrementally (linear), whereas a
+    current-row..unbounded-following frame is re-aggregated for every row
+    (quadratic in the series length)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(UNB_P, 0)
+    return F.last(F.col(c), ignorenulls=True).over(w)
 
 
 def forward_fill_col(c: Column | str, key="symbol", order="dt") -> Column:
@@ -90,24 +96,56 @@ def _guard(value: Column, c: str, w, min_periods: int) -> Column:
     return F.when(F.count(F.col(c)).over(w) >= min_periods, value)
 
 
+# Frames at least this long are evaluated from running sums: Spark re-aggregates
+# a sliding row frame at every row (O(rows x frame)); running sums over an
+# unbounded-preceding frame plus a lag are O(rows).
+PREFIX_MIN_FRAME = 16
+
+
+def _prefix_moments(c: str, n: int, key, order):
+    """(count, sum, sum of squares) of non-null ``c`` over the last n rows."""
+    w = series_window(key, order)
+    run = w.rowsBetween(UNB_P, 0)
+    x = F.col(c).cast("double")
+    k1 = F.count(x).over(run)
+    s1 = F.coalesce(F.sum(x).over(run), F.lit(0.0))
+    s2 = F.coalesce(F.sum(x * x).over(run), F.lit(0.0))
+    # the running values n rows back (0 before the series start)
+    cnt = k1 - F.coalesce(F.lag(k1, n).over(w), F.lit(0))
+    sm = s1 - F.coalesce(F.lag(s1, n).over(w), F.lit(0.0))
+    sq = s2 - F.coalesce(F.lag(s2, n).over(w), F.lit(0.0))
+    return cnt, sm, sq
+
+
+def _rolling(kind: str, c: str, n: int, min_periods: int, key, order) -> Column:
+    if n < PREFIX_MIN_FRAME:
+        w = series_window(key, order).rowsBetween(-(n - 1), 0)
+        agg = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp}[kind](c).over(w)
+        return _guard(agg, c, w, min_periods)
+    cnt, sm, sq = _prefix_moments(c, n, key, order)
+    if kind == "mean":
+        val = F.when(cnt > 0, sm / cnt)
+    elif kind == "sum":
+        val = F.when(cnt > 0, sm)
+    else:
+        var = (sq - sm * sm / cnt) / (cnt - 1)
+        val = F.when(cnt > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
+    return val if min_periods <= 1 else F.when(cnt >= min_periods, val)
+
+
 def rolling_mean(c: str, n: int, min_periods: int | None = None, key="symbol", order="dt") -> Column:
-    w = series_window(key, order).rowsBetween(-(n - 1), 0)
-    return _guard(F.avg(c).over(w), c, w, n if min_periods is None else min_periods)
+    return _rolling("mean", c, n, n if min_periods is None else min_periods, key, order)
 
 
 def rolling_sum(c: str, n: int, min_periods: int | None = None, key="symbol", order="dt") -> Column:
     """pandas rolling sum: 0 for an all-null frame when min_periods = 0."""
-    w = series_window(key, order).rowsBetween(-(n - 1), 0)
     mp = n if min_periods is None else min_periods
-    s = F.sum(c).over(w)
-    if mp == 0:
-        return F.coalesce(s, F.lit(0.0))
-    return _guard(s, c, w, mp)
+    s = _rolling("sum", c, n, mp, key, order)
+    return F.coalesce(s, F.lit(0.0)) if mp == 0 else s
 
 
 def rolling_std(c: str, n: int, min_periods: int | None = None, key="symbol", order="dt") -> Column:
-    w = series_window(key, order).rowsBetween(-(n - 1), 0)
-    return _guard(F.stddev_samp(c).over(w), c, w, n if min_periods is None else min_periods)
+    return _rolling("std", c, n, n if min_periods is None else min_periods, key, order)
 
 
 def momentum_feature(c: str, L: int, key="symbol", order="dt") -> Column:
