@@ -151,10 +151,10 @@ def _strings(values) -> pa.Array:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   max_class_distance: float = 0.25, max_word_distance: float = 0.5, min_chars: int = 200,
-                  min_words: int = 50, min_lang_docs: int = 20, references: DataFrame | None = None) -> DataFrame:
+                  min_words: int = 50, min_lang_docs: int = 20, references: DataFrame | None = None, carry_text: bool = False) -> DataFrame:
     """Base counts, distances and verdict for every document.
 
-    Returns the input's columns without the text, plus ``n_words``, ``word_chars``, ``n_symbols``,
+    Returns the input's columns without the text (unless ``carry_text``), plus ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``class_distance``, ``word_distance`` (null where the length
     guards make no comparison), ``base_failed`` and ``kept``.  Null text counts as empty and fails
     (no words).  Null languages are one language of their own.  Repeated rows are judged alike;
@@ -163,7 +163,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ref = cut_lineage(references if references is not None else language_references(docs, text_col, lang_col))
     ref, _ = broadcast_if_small(ref, 2_000)  # at most 2,000 rows of 64 short words
     d = drop_clashing(docs, RESULTS)
-    keep = [c for c in d.columns if c != text_col]
+    keep = [c for c in d.columns if carry_text or c != text_col]
     d = (d.withColumns({"__t": text_of(text_col), "__lang": F.coalesce(F.col(lang_col), F.lit(""))})
           .join(ref, "__lang", "left").select(*keep, "__t", "__lang", "__classes", "__words", "__shares", "__docs"))
     added = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

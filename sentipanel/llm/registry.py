@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality, spm
+from . import chat, exact_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, spm, warc
 from .common import ensure_checkpoint_dir, read, text_of
 
 
@@ -15,6 +15,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.sanitise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"),
+                    listed(F.concat("base_spans", "term_spans")).alias("spans"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"))
     rows = plan.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
@@ -40,10 +47,39 @@ FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON z.d
 """
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+         CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id <> max(page_id) OVER (PARTITION BY coalesce(html, ''))
+              THEN max(page_id) OVER (PARTITION BY coalesce(html, '')) END AS refers_to
+  FROM pages)
+"""
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_decode(read(spark, sf_dir, "documents"), piece_model(), ids_out=False)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), shingle_words=3, num=90, den=100)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["pos"].cast("string"), r["keep_doc"].cast("string"))), ",")
+    return d.select("doc_id", "n_lines", "n_removed", listed.alias("removed"), F.sha2(text_of("text"), 256).alias("text_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(text_of("text"), 256).alias("text_sha256"))
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", "text_sha256")
@@ -56,12 +92,44 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+TOOLS = {
+    "label": {"type": "object", "required": ["text"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}}},
+    "reply": {"type": "object", "required": ["label", "prompt", "words"], "additionalProperties": False,
+              "properties": {"context": {"type": "string"}, "label": {"type": "string"}, "prompt": {"type": "string", "minLength": 1},
+                             "words": {"type": "integer", "minimum": 1}}},
+}
+
+
+def turns_with_calls(turns: DataFrame) -> DataFrame:
+    """The table's conversations with tool calls.
+
+    Its turns are prose.  Each user turn becomes a turn that calls ``reply``, which needs the result of a ``label`` call listed after
+    it and of the reply before it, and the assistant turn that follows is the result of that reply.
+    """
+    name = lambda tool, back: F.concat_ws("-", F.lit(tool), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    result = lambda tool, back: F.struct(name(tool, back).alias("$result"))
+    args = F.struct(F.when(F.col("turn") >= 2, result("reply", 2)).alias("context"), result("label", 0).alias("label"), text_of("text").alias("prompt"),
+                    F.size(F.split(text_of("text"), " ")).alias("words"))
+    # to_json leaves out null fields, so a first turn has no context
+    reply = F.to_json(F.struct(name("reply", 0).alias("id"), F.lit("reply").alias("name"), args.alias("arguments")))
+    label = F.to_json(F.struct(name("label", 0).alias("id"), F.lit("label").alias("name"), F.struct(text_of("text").alias("text")).alias("arguments")))
+    call = F.concat(F.lit('{"content":null,"tool_calls":['), reply, F.lit(","), label, F.lit("]}"))
+    answer = F.to_json(F.struct(name("reply", 1).alias("tool_call_id"), text_of("text").alias("content")))
+    role = F.col("role")
+    return turns.select("conv_id", "turn", F.when(role == "user", "assistant").when(role == "assistant", "tool").otherwise(role).alias("role"),
+                        F.when(role == "user", call).when(role == "assistant", answer).otherwise(text_of("text")).alias("text"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(turns_with_calls(read(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_sentencepiece, op8_exact_dedup, op10_quality_rules)}
-SQL = {"op2_mix_sources": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_html_extract, op4_warc, op5_sentencepiece, op6_ngram_join, op7_line_dedup, op8_exact_dedup, op9_chat_format, op10_quality_rules)}
+SQL = {"op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
 
 
 def _bind(fn):
