@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_c
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = 3, seed: int = 0,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             bucket_rows: int = 100_000) -> DataFrame:
+             bucket_rows: int = 50_000) -> DataFrame:
     """How often the mix takes each document.
 
     Returns (doc_id, source, size, n, source_size, target, copies): one row per distinct
@@ -60,7 +60,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies:
                         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
     sizes = cut_lineage(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = cut_lineage(source_targets(sizes, weights, max_copies))
-    buckets = max(1, sizes.count() // bucket_rows)
+    buckets = max(128, sizes.count() // bucket_rows)
 
     # null sources join by rank: the sources are numbered with nulls last
     named, _ = broadcast_if_small(targets, 100_000)
