@@ -5,18 +5,20 @@ most H = (den - num) / (den + num) * (|X| + |Y|) shingles.  Within a size band,
 segments.  With H + 1 segments one segment must agree exactly (its subset is the signature); with half as
 many, one must agree up to one deletion, and the signatures are the subset and all its one-deletion
 neighbours.  Each band takes the cheaper of the two: exact subsets are cheap to index, deletion
-neighbourhoods cost a row per shingle and collide far less, so a band changes over when its measured
-colliding pairs outweigh its shingles (``merge_ratio``).
+neighbourhoods cost a row per shingle and collide far less, so a band changes over when the rows its measured
+collisions bring into verification outweigh its shingles (``merge_ratio``).
 
 A set near the top of a band also indexes itself in the next band, for partners there.  An empty
 segment says little, so instead of it a set indexes itself once more under another seed: two sets
 that agree only in an empty segment under one seed both do so, and the argument holds for any seed.
 
-Candidates share a signature.  They are not paired off.  Each signature names a hub, its set with the
-fewest shingles of its own; hub and members are verified exactly, which joins true groups of copies in a
-linear number of pairs.  Then only members of different components are paired, and only if the shingles
-a set shares with other components could still reach the similarity; these pairs are verified too, so
-every link between different components is found and component ids are exact.
+Candidates share a signature.  They are not paired off.  Each signature names a hub, its set with the most live
+signatures; hub and members are verified exactly, which joins true groups of copies in a linear number of
+pairs.  What is left are links between two members of different components.  With D the symmetric difference from the
+hub, |X ^ Y| = |D(X)| + |D(Y)| - 2 |D(X) & D(Y)|, so two such members that share nothing in D would both be linked with the
+hub, and be in one component.  They are therefore found by an index on the rarest shingles of D (prefix
+filter), and the join's own condition is the exact similarity: it returns links, not candidates.
+Component ids are exact.
 
 Equal sets are one node, named by a 64-bit hash of its shingles (64-bit hashes as well): a false link
 needs two different sets with equal names, about 3 expected among 10^10 sets.
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +53,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        import xxhash
         if len(self) >= 400_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -75,7 +77,6 @@ def shingles(text: str, size: int, words: WordHash) -> np.ndarray:
 
 
 def set_name(s: np.ndarray) -> int:
-    import xxhash
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
@@ -135,19 +136,29 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__t"))
 
 
-def _sets(d: DataFrame, size: int) -> DataFrame:
-    """(__id, n, name) of every row; name is null for empty sets."""
-    schema = f"__id {d.schema['__id'].dataType.simpleString()}, n long, name long"
+def _sets(d: DataFrame, size: int, p: Partition) -> DataFrame:
+    """Every row's set: __id, n, name, its band, and its exact-subset signatures there and in the next band.  Name is null for empty sets."""
+    schema = f"__id {d.schema['__id'].dataType.simpleString()}, n long, name long, band int, keys array<long>, up array<long>"
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]).astype(np.int32), pa.int32()),
+                                                pa.array(np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in it:
-            n, names = [], []
+            n, names, bands, keys, up = [], [], [], [], []
             for t in b.column("__t"):
                 s = shingles(t.as_py(), size, words)
                 n.append(len(s))
                 names.append(set_name(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["__id", "n", "name"])
+                by: dict[int, list] = {}
+                for band, k, _ in (p.signatures(s, frozenset()) if len(s) else ()):
+                    by.setdefault(band, []).append(k)
+                home = min(by, default=0)
+                bands.append(home)
+                for out, band in ((keys, home), (up, home + 1)):
+                    out.append(np.concatenate(by[band]) if band in by else np.empty(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(bands, pa.int32()), listed(keys), listed(up)],
+                                             ["__id", "n", "name", "band", "keys", "up"])
     return d.mapInArrow(run, schema)
 
 
@@ -181,36 +192,53 @@ def _signatures(d: DataFrame, size: int, p: Partition, merged: frozenset[int], o
     return d.mapInArrow(run, "key long, name long, n long, band int, full boolean")
 
 
-def _members(d: DataFrame, size: int, p: Partition, merged: frozenset[int], only: frozenset[int] | None, broadcast_rows: int) -> DataFrame:
+def _members(sig: DataFrame, broadcast_rows: int) -> DataFrame:
     """Signatures that two or more sets share, one of them in full, with their sets."""
-    sig = _signatures(d, size, p, merged, only)
     live = (sig.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("full").alias("any_full"))
                .where("lo < hi and any_full").select("key"))
     live, _ = broadcast_if_small(cut_lineage(live), broadcast_rows)
-    return cut_lineage(sig.join(live, "key").distinct())
+    return cut_lineage(sig.join(live, "key").select("band", "key", "name", "n").distinct())
 
 
-def _reach(sets: DataFrame, tokens: DataFrame, label: str) -> DataFrame:
-    """Adds ``ext``: the shingles of a set that a set with another label has too."""
-    t = tokens.join(sets.select("name", label), "name").select("name", label, F.explode("tokens").alias("token"))
-    own = (t.groupBy("token").agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("c"), F.min("name").alias("name"))
-            .where("lo = hi"))
-    if label == "name":  # such a shingle belongs to one set, named in the row
-        lost = own.groupBy("name").agg(F.count(F.lit(1)).alias("lost"))
-    else:
-        lost = t.join(own.select("token"), "token").groupBy("name").agg(F.count(F.lit(1)).alias("lost"))
-    return sets.join(lost, "name", "left").withColumn("ext", F.col("n") - F.coalesce("lost", F.lit(0))).drop("lost")
+def _joined(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their shingles ta, tb."""
+    one = lambda c: tokens.select(F.col("name").alias(c), F.col("tokens").alias(f"t{c}"))
+    return skew_join(skew_join(pairs, one("b"), ["b"]), one("a"), ["a"])
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    one = lambda c: tokens.select(F.col("name").alias(c), F.col("tokens").alias(f"t{c}"))
-    both = skew_join(skew_join(pairs.select("a", "b"), one("b"), ["b"]), one("a"), ["a"])
-    common = F.size(F.array_intersect("ta", "tb"))
-    both = both.select("a", "b", common.alias("o"), (F.size("ta") + F.size("tb")).alias("s"))
+    both = _joined(pairs, tokens).select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"), (F.size("ta") + F.size("tb")).alias("s"))
     return both.where(F.col("o") * p.den >= (F.col("s") - F.col("o")) * p.num).select("a", "b")
 
 
+def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
+    """Links (a, b) between members of a hub that are in different components.
+
+    ``spokes`` holds (hub, name, n, label).  Of D(name) only the rarest shingles are indexed, as many as leave out fewer than any
+    partner must share; a shingle that one member of the hub has is no key.
+    """
+    num, den = p.num, p.den
+    d = _joined(spokes.withColumnsRenamed({"hub": "a", "name": "b"}), tokens).withColumnsRenamed({"a": "hub", "b": "name"})
+    d = d.select("hub", "name", "n", "label", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
+    d = cut_lineage(d)
+    each = d.select("hub", "name", F.explode("d").alias("token"))
+    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = skew_join(each, often, ["hub", "token"]).groupBy("hub", "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"))
+    size, reach = F.size("d"), F.floor(F.col("n") * (den - num) / num)
+    need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
+    x = d.join(shared, ["hub", "name"]).join(least, "hub")
+    alone = size - F.size("s")  # shingles of no other member come first in the order
+    x = x.select("hub", "name", "n", "label", "d", F.slice("s", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")).alias("s"))
+    x = cut_lineage(x.select("hub", "name", "n", "label", "d", F.explode("s.token").alias("token")))
+    one = lambda t: x.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "d")])
+    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    linked = apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & linked)
+    return pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
                        text_col: str = "text", merge_ratio: float = 4.0, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Component of every document under links of Jaccard similarity num / den or more.
@@ -222,47 +250,37 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     """
     p = Partition(num, den)
     d = _narrow(docs, id_col, text_col)
-    sets = cut_lineage(_sets(d, shingle_words).withColumn("name", F.coalesce("name", F.xxhash64(F.lit("empty"), "__id"))))
+    sets = cut_lineage(_sets(d, shingle_words, p).withColumn("name", F.coalesce("name", F.xxhash64(F.lit("empty"), "__id"))))
     reps = cut_lineage(sets.groupBy("name").agg(F.min("__id").alias("rep"), F.max("n").alias("n")))
+    sig = sets.select("name", "n", "band", F.explode("keys").alias("key")).union(
+        sets.select("name", "n", (F.col("band") + 1).alias("band"), F.explode("up").alias("key"))).withColumn("full", F.lit(True))
+    members = _members(sig, broadcast_rows)
 
-    members = _members(d, shingle_words, p, frozenset(), None, broadcast_rows)
-    load = members.groupBy("band", "key").count().groupBy("band").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"))
-    load = {r["band"]: r["pairs"] for r in load.collect()}  # one row per size band, at most some seventy
-    hot = frozenset()
+    load = members.groupBy("band", "key").count().groupBy("band").agg(F.sum(F.col("count") - 1).alias("rows"))
+    load = {r["band"]: r["rows"] for r in load.collect()}  # one row per size band, at most some seventy
     if load:
-        bounds = [(b, p.low[b], p.low[b + 1] - 1) for b in load]
-        mass = reps.agg(*[F.sum(F.when(F.col("n").between(lo, hi), F.col("n"))).alias(f"b{b}") for b, lo, hi in bounds]).first()
-        hot = frozenset(b for b, _, _ in bounds if load[b] > merge_ratio * (mass[f"b{b}"] or 0))
-    if hot:
-        near = _members(d, shingle_words, p, hot, hot, broadcast_rows)
-        members = members.where(~F.col("band").isin(sorted(hot))).unionByName(near)
-
-    cand = cut_lineage(members.select("name").distinct().join(reps, "name"))
-    ids, _ = broadcast_if_small(cand.select(F.col("rep").alias("__id")).distinct(), broadcast_rows)
-    tokens = cut_lineage(_token_sets(d.join(ids, "__id"), shingle_words).join(cand.select("name"), "name", "left_semi").dropDuplicates(["name"]))
-
-    bound = lambda e: F.col(e) * den >= F.col("n") * num
-    cand = cut_lineage(_reach(cand, tokens, "name").where(bound("ext")).select("name", "n", "ext"))
-    m = members.select("key", "name", "full").join(cand, "name")
-    hubs = m.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("ext")).alias("lost"), "name")).alias("h"), F.count(F.lit(1)).alias("c"))
-    hubs = hubs.where("c > 1").select("key", F.col("h.name").alias("a"))
-    tried = skew_join(m, hubs, ["key"]).where("a <> name").select("a", F.col("name").alias("b")).distinct()
-    tried = cut_lineage(tried)
-    links = cut_lineage(_verify(tried, tokens, p))
+        spans = {b: (p.low[b], p.low[b + 1] - 1) for b in load}
+        mass = reps.agg(*[F.sum(F.when(F.col("n").between(lo, hi), F.col("n"))).alias(f"b{b}") for b, (lo, hi) in spans.items()]).first()
+        hot = frozenset(b for b in load if load[b] > merge_ratio * (mass[f"b{b}"] or 0))
+        if hot:
+            near = _members(_signatures(d, shingle_words, p, hot, hot), broadcast_rows)
+            members = cut_lineage(members.where(~F.col("band").isin(sorted(hot))).unionByName(near))
+
+    names = cut_lineage(members.groupBy("name").agg(F.count(F.lit(1)).alias("live")).join(reps, "name"))
+    ids, _ = broadcast_if_small(names.select(F.col("rep").alias("__id")).distinct(), broadcast_rows)
+    tokens = cut_lineage(_token_sets(d.join(ids, "__id"), shingle_words).join(names.select("name"), "name", "left_semi").dropDuplicates(["name"]))
+
+    m = skew_join(members.select("key", "name", "n"), names.select("name", "live"), ["name"])
+    hubs = m.groupBy("key").agg(F.max(F.struct("live", "name", "n")).alias("h")).select("key", F.col("h.name").alias("hub"), F.col("h.n").alias("hub_n"))
+    m = cut_lineage(skew_join(m, hubs, ["key"]).where("name <> hub").select("key", "name", "n", "hub", "hub_n"))
+    fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
+    links = cut_lineage(_verify(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct(), tokens, p))
     label = components(links)
 
-    left = cand.select("name", "n").join(label.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-    left = cut_lineage(_reach(left, tokens, "label").where(bound("ext")).select("name", "n", "ext", "label"))
-    m = members.select("key", "name", "full").join(left, "name")
+    m = skew_join(m, label.withColumnRenamed("node", "name"), ["name"], "left").withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    m = cut_lineage(skew_join(m, mixed, ["key"]))
-    x, y = (m.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "ext", "label", "full")]) for s in "ab")
-    total = F.col("n_a") + F.col("n_b")
-    fits = (F.least("ext_a", "ext_b") * (num + den) >= total * num) & (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    rest = (x.join(y, "key").where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("full_a") | F.col("full_b")) & fits)
-             .select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct())
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut_lineage(_verify(rest.join(done, ["a", "b"], "left_anti"), tokens, p))
+    spokes = skew_join(m, mixed, ["key"]).select("hub", "name", "n", "label").distinct()
+    more = cut_lineage(_between_members(spokes, tokens, p))
     label = components(links.unionByName(more))
 
     comp = label.join(reps.select(F.col("name").alias("node"), "rep"), "node")
