@@ -12,7 +12,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 __all__ = ["SPACE", "WORD", "cut_lineage", "ensure_checkpoint_dir", "read", "text_of", "drop_clashing",
-           "broadcast_if_small", "skew_join", "let"]
+           "broadcast_if_small", "skew_join"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,7 +50,3 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     h = F.xxhash64(*[F.col(k) for k in keys])
     return rows.withColumn("__h", h).join(groups.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
 
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: a one-element ``transform``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))

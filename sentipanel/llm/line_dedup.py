@@ -18,76 +18,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, cut_lineage, drop_clashing, let, skew_join, text_of
+from .common import SPACE, broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
 from .components import components
 
 RESULTS = ["n_lines", "n_removed", "removed"]
 LETTERS = ["eE", "tTaA", "iInN", "oOsSrR", "hHlLdD", "cCuUmMfF", "pPgGwWyYbBvV", "0123456789"]  # groups of the count filter
 
 
-def _layout(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of an even cut; the last segments take the remainder."""
-    n = edits + 1
-    floor, first_long = F.floor(length / n).cast("int"), F.lit(n) - length % n
-    longer = F.greatest(F.lit(0), F.lit(i) - first_long).cast("int")
-    return floor * i + longer, floor + (F.lit(i) >= first_long).cast("int")
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(name, key, own): a line's own segments and the substrings it probes.
 
+    A line of length l is cut into ``edits + 1`` segments, the last ones a character longer.  Each (shorter, segment, shift) is one row of
+    a literal table, so the key is one small expression.  Lines are read in UTF-32, four bytes a character, which makes a substring a slice.
+    """
+    n = edits + 1
+    table = [F.struct(F.lit(shorter).alias("shorter"), F.lit(i).alias("i"), F.lit(shift).alias("shift"))
+             for shorter in range(n) for i in range(n)
+             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
+    wide = lines.select("name", F.encode("line", "UTF-32").alias("wide"))  # on its own, below the generator: once a line
+    rows = wide.select("name", "wide", F.explode(F.array(*table)).alias("p"))
+    target = F.shiftright(F.octet_length("wide"), 2) - F.col("p.shorter")
+    rows = rows.withColumn("t", target)
+    floor = F.floor(F.col("t") / n).cast("int")
+    first_long = n - F.col("t") % n  # segments from here on take one character of the remainder
+    start = floor * F.col("p.i") + F.greatest(F.lit(0), F.col("p.i") - first_long) + F.col("p.shift")
+    size = floor + (F.col("p.i") >= first_long).cast("int")
+    key = F.xxhash64("t", "p.i", F.substring("wide", F.shiftleft(start, 2) + 1, F.shiftleft(size, 2)))
+    return rows.select("name", key.alias("key"), ((F.col("p.shorter") == 0) & (F.col("p.shift") == 0)).alias("own"))
+
+
+def band_table(edits: int) -> list[int]:
+    """The step of the banded bit-parallel edit distance for every state and column.
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """Array of (key, own): a line's own segments and the substrings it probes."""
-    length, keys = F.length(line), []
-    for shorter in range(edits + 1):
-        target = length - shorter
-        for i in range(edits + 1):
-            start, size = _layout(target, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                own = shorter == 0 and shift == 0
-                key = F.xxhash64(target, F.lit(i), line.substr((start + shift + 1).cast("int"), size.cast("int")))
-                keys.append(F.struct(key.alias("key"), F.lit(own).alias("own")))
-    return F.array(*keys)
+    Bit k of a word stands for the cell edits - k above the main diagonal of the current column.  ``vp`` and ``vn`` mark
+    where the distance rises or falls from the cell above; ``same`` marks the cells whose characters agree.  Entry
+    (vp * 2^w + vn) * 2^w + same holds the next vp and vn and, above them, d0: the cells that continue a diagonal at no cost.
+    """
+    w = 2 * edits + 1
+    mask = (1 << w) - 1
+    table = []
+    for state in range(1 << 2 * w):
+        vp, vn = state >> w, state & mask
+        vp, vn = vp >> 1 | 1 << (w - 1), vn >> 1  # the band moves down one row
+        for same in range(1 << w):
+            d0 = ((((same & vp) + vp) ^ vp) | same | vn) & mask
+            hp, hn = vn | ~(d0 | vp) & mask, vp & d0
+            hp, hn = hp << 1 | 1, hn << 1
+            table.append(d0 << 2 * w | ((hn | ~(d0 | hp)) & mask) << w | hp & d0 & mask)
+    return table
 
 
 def edit_within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines whose lengths differ by at most ``edits`` are within ``edits`` edits.
+    """Whether two lines are within ``edits`` edits, by bit-parallel distance over the diagonal band.
 
-    Bit k of a word stands for the cell edits - k above the main diagonal of the current column.  ``vp`` and ``vn`` mark
-    where the distance rises or falls from the cell above.  ``same`` marks the cells whose characters agree, ``d0`` those
-    that continue a diagonal at no cost; the score follows the diagonal that ends at the last cell.
+    The words of a band fit a table (:func:`band_table`), so a character costs the comparisons of its band and one look-up.
+    The score follows the diagonal that ends at the last cell.
     """
-    width = 2 * edits + 1
-    mask = (1 << width) - 1
+    if not 1 <= edits <= 2:
+        raise ValueError("edits must be 1 or 2: the table grows with 64 to the power of edits")
+    w = 2 * edits + 1
     la, lb = F.length(a), F.length(b)
     pa, pb = F.split(a, ""), F.split(b, "")
     diagonal = la - lb
-
-    def column(acc, j):
-        shift = lambda v: F.shiftrightunsigned(v, 1)
-        char = F.get(pb, j)
-        same = None
-        for k in range(width):
-            row = j - edits + k
-            bit = F.when((row >= 0) & (F.get(pa, F.greatest(row, F.lit(0))) == char), F.lit(1 << k)).otherwise(F.lit(0))
-            same = bit if same is None else same.bitwiseOR(bit)
-        vp, vn = shift(acc["vp"]).bitwiseOR(F.lit(1 << (width - 1))), shift(acc["vn"])
-
-        def step(x):
-            d0 = ((x["same"].bitwiseAND(x["vp"]) + x["vp"]).bitwiseXOR(x["vp"])).bitwiseOR(x["same"]).bitwiseOR(x["vn"]).bitwiseAND(F.lit(mask))
-            return let(F.struct(d0.alias("d0"), x["vp"].alias("vp"), x["vn"].alias("vn"), x["score"].alias("score")), across)
-
-        def across(x):
-            hp = x["vn"].bitwiseOR(F.bitwise_not(x["d0"].bitwiseOR(x["vp"])).bitwiseAND(F.lit(mask)))
-            hn = x["vp"].bitwiseAND(x["d0"])
-            hp, hn = F.shiftleft(hp, 1).bitwiseOR(F.lit(1)), F.shiftleft(hn, 1)
-            return F.struct(hn.bitwiseOR(F.bitwise_not(x["d0"].bitwiseOR(hp))).bitwiseAND(F.lit(mask)).alias("vp"),
-                            hp.bitwiseAND(x["d0"]).bitwiseAND(F.lit(mask)).alias("vn"),
-                            (x["score"] + F.when(x["d0"].bitwiseAND(F.get(powers, diagonal + edits)) == 0, 1).otherwise(0)).alias("score"))
-        return let(F.struct(same.alias("same"), vp.alias("vp"), vn.alias("vn"), acc["score"].alias("score")), step)
-
-    powers = F.array(*[F.lit(1 << k) for k in range(width)])
-    start = F.struct(F.lit(sum(1 << k for k in range(edits + 1, width))).alias("vp"),
-                     F.lit(sum(1 << k for k in range(1, edits + 1))).alias("vn"), F.abs(diagonal).alias("score"))
-    score = F.aggregate(F.sequence(F.lit(0), lb - 1), start, column, lambda x: x["score"])
-    return F.when(F.abs(diagonal) > edits, False).when((la == 0) | (lb == 0), F.greatest(la, lb) <= edits).otherwise(score <= edits)
+    table = F.lit(band_table(edits))
+    state = (1 << 2 * w) - 1
+
+    def same(pair, j):
+        bits = [F.when(F.get(pa, j + (k - edits)) == pair, 1 << k).otherwise(0) for k in range(w)]
+        out = bits[0]
+        for x in bits[1:]:
+            out = out + x
+        return out
+    start = sum(1 << k for k in range(edits + 1, w)) << w | sum(1 << k for k in range(1, edits + 1))
+    # the accumulator holds the score above the two words of the state
+    step = lambda acc, s: F.get(table, F.shiftleft(acc.bitwiseAND(F.lit(state)), w) + s)
+    costs = F.get(F.array(*[F.lit(1 << (2 * w + k)) for k in range(w)]), diagonal + edits)
+
+    def column(acc, s):
+        e = step(acc, s)
+        return e.bitwiseAND(F.lit(state)) + F.shiftleft(F.shiftright(acc, 2 * w) + F.when(e.bitwiseAND(costs) == 0, 1).otherwise(0), 2 * w)
+    score = F.aggregate(F.transform(pb, same), F.lit(start) + F.shiftleft(F.abs(diagonal), 2 * w), column, lambda x: F.shiftright(x, 2 * w))
+    return (F.when(F.abs(diagonal) > edits, False).when((la == 0) | (lb == 0), F.greatest(la, lb) <= edits)
+             .otherwise(score <= edits))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -99,7 +111,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
 def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: int) -> DataFrame:
     """(node, label): classes of different lines linked by up to ``edits`` edits."""
     long = lines.where(F.length("line") >= near_chars)
-    keyed = long.select("name", F.explode(segment_keys(F.col("line"), edits)).alias("k")).select("name", "k.key", "k.own")
+    keyed = segment_keys(long, edits)
     live = (keyed.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("own").alias("own"))
                  .where("lo < hi and own").select("key"))
     live, _ = broadcast_if_small(cut_lineage(live), broadcast_rows)
