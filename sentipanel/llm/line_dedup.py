@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
+from .common import broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
 from .components import components
 
 RESULTS = ["n_lines", "n_removed", "removed"]
@@ -68,44 +68,52 @@ def band_table(edits: int) -> list[int]:
     return table
 
 
-def edit_within(a: Column, b: Column, edits: int) -> Column:
-    """Whether two lines are within ``edits`` edits, by bit-parallel distance over the diagonal band.
+def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """The pairs whose lines are within ``edits`` edits, by bit-parallel distance over the diagonal band.
 
-    The words of a band fit a table (:func:`band_table`), so a character costs the comparisons of its band and one look-up.
-    The score follows the diagonal that ends at the last cell.
+    What two lines share at their ends does not count, so the distance runs over the characters between.  The words of a band fit
+    a table (:func:`band_table`): a character costs the comparisons of its band and one look-up.  The score follows the
+    diagonal that ends at the last cell.  Arrays are columns of their own, as a lambda would compute them anew at each step.
     """
     if not 1 <= edits <= 2:
         raise ValueError("edits must be 1 or 2: the table grows with 64 to the power of edits")
     w = 2 * edits + 1
-    la, lb = F.length(a), F.length(b)
-    pa, pb = F.split(a, ""), F.split(b, "")
-    diagonal = la - lb
-    table = F.lit(band_table(edits))
     state = (1 << 2 * w) - 1
-
-    def same(pair, j):
-        bits = [F.when(F.get(pa, j + (k - edits)) == pair, 1 << k).otherwise(0) for k in range(w)]
-        out = bits[0]
-        for x in bits[1:]:
-            out = out + x
-        return out
+    keep = pairs.columns
+
+    def agreed(x: str, y: str) -> Column:  # characters before the first difference
+        at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+        return F.when(at == 0, F.least(F.size(x), F.size(y))).otherwise(at - 1).cast("int")
+    d = pairs.withColumns({"__a": F.split(a, ""), "__b": F.split(b, "")}).where(F.abs(F.size("__a") - F.size("__b")) <= edits)
+    d = d.withColumn("__pre", agreed("__a", "__b"))
+    d = d.withColumns({"__ra": F.reverse("__a"), "__rb": F.reverse("__b"), "__most": F.least(F.size("__a"), F.size("__b")) - F.col("__pre")})
+    d = d.withColumn("__suf", F.least(agreed("__ra", "__rb"), F.col("__most"))).drop("__ra", "__rb")
+    for c in ("__a", "__b"):
+        d = d.withColumn(c, F.slice(c, F.col("__pre") + 1, F.size(c) - F.col("__pre") - F.col("__suf")))
+    d = d.withColumn("__gap", F.size("__a") - F.size("__b"))
+
+    def same(char, j):
+        bits = [F.when(F.get("__a", j + (k - edits)) == char, 1 << k).otherwise(0) for k in range(w)]
+        return sum(bits[1:], bits[0])
+    d = d.withColumn("__same", F.transform("__b", same))
     start = sum(1 << k for k in range(edits + 1, w)) << w | sum(1 << k for k in range(1, edits + 1))
+    table = F.lit(band_table(edits))
     # the accumulator holds the score above the two words of the state
-    step = lambda acc, s: F.get(table, F.shiftleft(acc.bitwiseAND(F.lit(state)), w) + s)
-    costs = F.get(F.array(*[F.lit(1 << (2 * w + k)) for k in range(w)]), diagonal + edits)
+    entry = lambda acc, x: F.get(table, F.shiftleft(acc.bitwiseAND(F.lit(state)), w) + x)
+    d = d.withColumn("__cost", F.get(F.array(*[F.lit(1 << (2 * w + k)) for k in range(w)]), F.col("__gap") + edits))
 
-    def column(acc, s):
-        e = step(acc, s)
-        return e.bitwiseAND(F.lit(state)) + F.shiftleft(F.shiftright(acc, 2 * w) + F.when(e.bitwiseAND(costs) == 0, 1).otherwise(0), 2 * w)
-    score = F.aggregate(F.transform(pb, same), F.lit(start) + F.shiftleft(F.abs(diagonal), 2 * w), column, lambda x: F.shiftright(x, 2 * w))
-    return (F.when(F.abs(diagonal) > edits, False).when((la == 0) | (lb == 0), F.greatest(la, lb) <= edits)
-             .otherwise(score <= edits))
+    def column(acc, x):
+        e = entry(acc, x)
+        return e.bitwiseAND(F.lit(state)) + F.shiftleft(F.shiftright(acc, 2 * w) + F.when(e.bitwiseAND(F.col("__cost")) == 0, 1).otherwise(0), 2 * w)
+    score = F.aggregate("__same", F.lit(start) + F.shiftleft(F.abs("__gap"), 2 * w), column, lambda x: F.shiftright(x, 2 * w))
+    empty = (F.size("__a") == 0) | (F.size("__b") == 0)
+    return d.where(F.when(empty, F.abs("__gap") <= edits).otherwise(score <= edits)).select(*keep)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, __id, pos, line, name) of the lines that are compared."""
     return (docs.select("doc", "__id", F.posexplode(F.split("__t", "\n")).alias("pos", "line"))
-                .where((F.length("line") >= min_chars) & F.col("line").rlike(f"[^{SPACE}]")).withColumn("name", F.xxhash64("line")))
+                .where((F.length("line") >= min_chars) & (F.ltrim("line", F.lit(" \t\v\f\r")) != "")).withColumn("name", F.xxhash64("line")))
 
 
 def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: int) -> DataFrame:
@@ -130,7 +138,7 @@ def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: in
     def verify(pairs: DataFrame) -> DataFrame:
         one = lambda c: texts.select(F.col("name").alias(c), F.col("line").alias(f"l{c}"))
         both = skew_join(skew_join(pairs, one("b"), ["b"]), one("a"), ["a"])
-        return cut_lineage(both.where(edit_within(F.col("la"), F.col("lb"), edits)).select("a", "b"))
+        return cut_lineage(within_edits(both, "la", "lb", edits).select("a", "b"))
 
     m = members.join(texts.select("name", F.struct(*stats).alias("s")), "name")
     hubs = members.where("own").groupBy("key").agg(F.min("name").alias("hub")).join(
@@ -167,13 +175,14 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, near_chars:
     d = d.withColumns({"__id": F.col(id_col), "__t": text_of(text_col)}).withColumn("doc", F.xxhash64("__id", "__t"))
     lines = _lines(d, min_chars)
     near = near_lines(lines, edits, near_chars, broadcast_rows)
+    lines = cut_lineage(lines.select("doc", "__id", "pos", "name"))
     exact = cut_lineage(lines.groupBy("name").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
                              .join(near, F.col("name") == F.col("node"), "left").where("n > 1 or node is not null")
                              .select("name", F.coalesce("label", "name").alias("label"), "first"))
     first = exact.groupBy("label").agg(F.min("first").alias("keep_doc"))
     classes = exact.select("name", "label").join(first, "label")
 
-    at = skew_join(lines.select("doc", "__id", "pos", "name"), classes, ["name"])
+    at = skew_join(lines, classes, ["name"])
     mine = F.col("__id").eqNullSafe(F.col("keep_doc"))
     per = at.groupBy("doc", "label", mine.alias("mine"), "keep_doc").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     gone = F.when(F.col("mine"), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
