@@ -12,7 +12,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 __all__ = ["SPACE", "WORD", "cut_lineage", "ensure_checkpoint_dir", "read", "text_of", "drop_clashing",
-           "broadcast_if_small", "skew_join"]
+           "broadcast_if_small", "skew_join", "join_bounded"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,3 +50,9 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     h = F.xxhash64(*[F.col(k) for k in keys])
     return rows.withColumn("__h", h).join(groups.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
 
+
+
+def join_bounded(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", max_rows: int = 1_000_000) -> DataFrame:
+    """Join rows to a materialised table of narrow rows, one per key: by broadcast within ``max_rows`` rows, else by :func:`skew_join`."""
+    groups, small = broadcast_if_small(groups, max_rows)
+    return rows.join(groups, keys, how) if small else skew_join(rows, groups, keys, how)

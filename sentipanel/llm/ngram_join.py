@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
+from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, skew_join, text_of
 from .components import components
 
 LEVELS = 6  # seeds tried in place of empty segments
@@ -200,10 +200,16 @@ def _members(sig: DataFrame, broadcast_rows: int) -> DataFrame:
     return cut_lineage(sig.join(live, "key").select("band", "key", "name", "n").distinct())
 
 
-def _joined(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their shingles ta, tb."""
+def _joined(pairs: DataFrame, tokens: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Pairs (a, b) of a materialised table with their shingles ta, tb.
+
+    Within the bound the narrow pairs travel to the token sets; then only the sets that are some pair's a move.
+    """
     one = lambda c: tokens.select(F.col("name").alias(c), F.col("tokens").alias(f"t{c}"))
-    return skew_join(skew_join(pairs, one("b"), ["b"]), one("a"), ["a"])
+    narrow, small = broadcast_if_small(pairs, broadcast_rows)
+    rows = one("b").join(narrow, "b") if small else skew_join(pairs, one("b"), ["b"])
+    hubs, _ = broadcast_if_small(cut_lineage(pairs.select("a").distinct()), broadcast_rows)
+    return skew_join(rows, one("a").join(hubs, "a", "left_semi"), ["a"])
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
@@ -270,17 +276,17 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     ids, _ = broadcast_if_small(names.select(F.col("rep").alias("__id")).distinct(), broadcast_rows)
     tokens = cut_lineage(_token_sets(d.join(ids, "__id"), shingle_words).join(names.select("name"), "name", "left_semi").dropDuplicates(["name"]))
 
-    m = skew_join(members.select("key", "name", "n"), names.select("name", "live"), ["name"])
+    m = join_bounded(members.select("key", "name", "n"), names.select("name", "live"), ["name"], max_rows=broadcast_rows)
     hubs = m.groupBy("key").agg(F.max(F.struct("live", "name", "n")).alias("h")).select("key", F.col("h.name").alias("hub"), F.col("h.n").alias("hub_n"))
     m = cut_lineage(skew_join(m, hubs, ["key"]).where("name <> hub").select("key", "name", "n", "hub", "hub_n"))
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
-    links = cut_lineage(_verify(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct(), tokens, p))
+    links = cut_lineage(_verify(cut_lineage(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()), tokens, p))
     label = components(links)
 
-    m = skew_join(m, label.withColumnRenamed("node", "name"), ["name"], "left").withColumn("label", F.coalesce("label", "name"))
+    m = join_bounded(m, label.withColumnRenamed("node", "name"), ["name"], "left", broadcast_rows).withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    spokes = skew_join(m, mixed, ["key"]).select("hub", "name", "n", "label").distinct()
-    more = cut_lineage(_between_members(spokes, tokens, p))
+    spokes = join_bounded(m, cut_lineage(mixed), ["key"], max_rows=broadcast_rows).select("hub", "name", "n", "label").distinct()
+    more = cut_lineage(_between_members(cut_lineage(spokes), tokens, p))
     label = components(links.unionByName(more))
 
     comp = label.join(reps.select(F.col("name").alias("node"), "rep"), "node")
