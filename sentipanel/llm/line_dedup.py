@@ -47,38 +47,16 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     return rows.select("name", key.alias("key"), ((F.col("p.shorter") == 0) & (F.col("p.shift") == 0)).alias("own"))
 
 
-def band_table(edits: int) -> list[int]:
-    """The step of the banded bit-parallel edit distance for every state and column.
-
-    Bit k of a word stands for the cell edits - k above the main diagonal of the current column.  ``vp`` and ``vn`` mark
-    where the distance rises or falls from the cell above; ``same`` marks the cells whose characters agree.  Entry
-    (vp * 2^w + vn) * 2^w + same holds the next vp and vn and, above them, d0: the cells that continue a diagonal at no cost.
-    """
-    w = 2 * edits + 1
-    mask = (1 << w) - 1
-    table = []
-    for state in range(1 << 2 * w):
-        vp, vn = state >> w, state & mask
-        vp, vn = vp >> 1 | 1 << (w - 1), vn >> 1  # the band moves down one row
-        for same in range(1 << w):
-            d0 = ((((same & vp) + vp) ^ vp) | same | vn) & mask
-            hp, hn = vn | ~(d0 | vp) & mask, vp & d0
-            hp, hn = hp << 1 | 1, hn << 1
-            table.append(d0 << 2 * w | ((hn | ~(d0 | hp)) & mask) << w | hp & d0 & mask)
-    return table
-
-
 def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """The pairs whose lines are within ``edits`` edits, by bit-parallel distance over the diagonal band.
 
-    What two lines share at their ends does not count, so the distance runs over the characters between.  The words of a band fit
-    a table (:func:`band_table`): a character costs the comparisons of its band and one look-up.  The score follows the
+    What two lines share at their ends does not count, so the distance runs over the characters between, column by column.  Bit k of a
+    word stands for the cell edits - k above the main diagonal.  ``vp`` and ``vn`` mark where the distance rises or falls from the
+    cell above, ``same`` the cells whose characters agree, ``d0`` those that continue a diagonal at no cost; the score follows the
     diagonal that ends at the last cell.  Arrays are columns of their own, as a lambda would compute them anew at each step.
     """
-    if not 1 <= edits <= 2:
-        raise ValueError("edits must be 1 or 2: the table grows with 64 to the power of edits")
     w = 2 * edits + 1
-    state = (1 << 2 * w) - 1
+    mask = (1 << w) - 1
     keep = pairs.columns
 
     def agreed(x: str, y: str) -> Column:  # characters before the first difference
@@ -97,14 +75,19 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         return sum(bits[1:], bits[0])
     d = d.withColumn("__same", F.transform("__b", same))
     start = sum(1 << k for k in range(edits + 1, w)) << w | sum(1 << k for k in range(1, edits + 1))
-    table = F.lit(band_table(edits))
-    # the accumulator holds the score above the two words of the state
-    entry = lambda acc, x: F.get(table, F.shiftleft(acc.bitwiseAND(F.lit(state)), w) + x)
-    d = d.withColumn("__cost", F.get(F.array(*[F.lit(1 << (2 * w + k)) for k in range(w)]), F.col("__gap") + edits))
+    d = d.withColumn("__cost", F.get(F.array(*[F.lit(1 << k) for k in range(w)]), F.col("__gap") + edits))
 
     def column(acc, x):
-        e = entry(acc, x)
-        return e.bitwiseAND(F.lit(state)) + F.shiftleft(F.shiftright(acc, 2 * w) + F.when(e.bitwiseAND(F.col("__cost")) == 0, 1).otherwise(0), 2 * w)
+        # the accumulator holds the score above vp above vn; the band moves down one row with every column
+        vp = F.shiftright(acc, w + 1).bitwiseAND(F.lit(mask >> 1)).bitwiseOR(F.lit(1 << (w - 1)))
+        vn = F.shiftright(acc, 1).bitwiseAND(F.lit(mask >> 1))
+        d0 = (x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn).bitwiseAND(F.lit(mask))
+        hp = F.shiftleft(vn.bitwiseOR(d0.bitwiseOR(vp).bitwiseXOR(F.lit(mask))), 1).bitwiseOR(F.lit(1))
+        hn = F.shiftleft(vp.bitwiseAND(d0), 1)
+        next_vp = hn.bitwiseOR(d0.bitwiseOR(hp).bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(mask))).bitwiseAND(F.lit(mask))
+        next_vn = hp.bitwiseAND(d0)
+        paid = F.when(d0.bitwiseAND(F.col("__cost")) == 0, 1).otherwise(0)
+        return F.shiftleft(F.shiftright(acc, 2 * w) + paid, 2 * w) + F.shiftleft(next_vp, w) + next_vn
     score = F.aggregate("__same", F.lit(start) + F.shiftleft(F.abs("__gap"), 2 * w), column, lambda x: F.shiftright(x, 2 * w))
     empty = (F.size("__a") == 0) | (F.size("__b") == 0)
     return d.where(F.when(empty, F.abs("__gap") <= edits).otherwise(score <= edits)).select(*keep)
