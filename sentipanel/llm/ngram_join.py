@@ -218,6 +218,20 @@ def _verify(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     return both.where(F.col("o") * p.den >= (F.col("s") - F.col("o")) * p.num).select("a", "b")
 
 
+def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
+    """The spokes that can have a link in another component.
+
+    A set whose shingles of its own, among all sets of the spokes, are too many reaches the similarity with none of them.
+    """
+    names = cut_lineage(spokes.select("name", "n").distinct())
+    each = join_bounded(tokens, names.select("name"), ["name"]).select("name", F.explode("tokens").alias("token"))
+    own = each.groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("hi")).where("name = hi").groupBy("name").agg(F.count(F.lit(1)).alias("own"))
+    able = names.join(own, "name", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * p.den >= F.col("n") * p.num)
+    spokes = cut_lineage(join_bounded(spokes, cut_lineage(able.select("name")), ["name"]))
+    mixed = spokes.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("hub")
+    return cut_lineage(join_bounded(spokes, cut_lineage(mixed), ["hub"]))
+
+
 def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     """Links (a, b) between members of a hub that are in different components.
 
@@ -236,10 +250,11 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> Data
     need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
     x = d.join(shared, ["hub", "name"]).join(least, "hub")
     alone = size - F.size("s")  # shingles of no other member come first in the order
-    x = x.select("hub", "name", "n", "label", "d", F.slice("s", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")).alias("s"))
-    x = cut_lineage(x.select("hub", "name", "n", "label", "d", F.explode("s.token").alias("token")))
-    one = lambda t: x.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "d")])
-    apart = F.size("d_a") + F.size("d_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
+    # only what other members have too can be in an intersection
+    x = x.select("hub", "name", "n", "label", size.alias("size"), F.col("s.token").alias("d"), F.slice("s", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")).alias("s"))
+    x = cut_lineage(x.select("hub", "name", "n", "label", "size", "d", F.explode("s.token").alias("token")))
+    one = lambda t: x.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size", "d")])
+    apart = F.col("size_a") + F.col("size_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
     linked = apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
     pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & linked)
     return pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
@@ -286,7 +301,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     m = join_bounded(m, label.withColumnRenamed("node", "name"), ["name"], "left", broadcast_rows).withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     spokes = join_bounded(m, cut_lineage(mixed), ["key"], max_rows=broadcast_rows).select("hub", "name", "n", "label").distinct()
-    more = cut_lineage(_between_members(cut_lineage(spokes), tokens, p))
+    more = cut_lineage(_between_members(_partnered(cut_lineage(spokes), tokens, p), tokens, p))
     label = components(links.unionByName(more))
 
     comp = label.join(reps.select(F.col("name").alias("node"), "rep"), "node")
