@@ -47,13 +47,14 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     return rows.select("name", key.alias("key"), ((F.col("p.shorter") == 0) & (F.col("p.shift") == 0)).alias("own"))
 
 
-def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """The pairs whose lines are within ``edits`` edits, by bit-parallel distance over the diagonal band.
+def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """Adds ``distance``, right up to ``edits`` and larger beyond: bit-parallel edit distance over the diagonal band.
 
     What two lines share at their ends does not count, so the distance runs over the characters between, column by column.  Bit k of a
     word stands for the cell edits - k above the main diagonal.  ``vp`` and ``vn`` mark where the distance rises or falls from the
     cell above, ``same`` the cells whose characters agree, ``d0`` those that continue a diagonal at no cost; the score follows the
-    diagonal that ends at the last cell.  Arrays are columns of their own, as a lambda would compute them anew at each step.
+    diagonal that ends at the last cell.  Arrays are columns of their own, as a lambda would compute them anew at each step;
+    for the same reason a filter on the distance belongs behind a checkpoint, or it is pushed below them.
     """
     w = 2 * edits + 1
     mask = (1 << w) - 1
@@ -62,7 +63,7 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     def agreed(x: str, y: str) -> Column:  # characters before the first difference
         at = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
         return F.when(at == 0, F.least(F.size(x), F.size(y))).otherwise(at - 1).cast("int")
-    d = pairs.withColumns({"__a": F.split(a, ""), "__b": F.split(b, "")}).where(F.abs(F.size("__a") - F.size("__b")) <= edits)
+    d = pairs.where(F.abs(F.length(a) - F.length(b)) <= edits).withColumns({"__a": F.split(a, ""), "__b": F.split(b, "")})
     d = d.withColumn("__pre", agreed("__a", "__b"))
     d = d.withColumns({"__ra": F.reverse("__a"), "__rb": F.reverse("__b"), "__most": F.least(F.size("__a"), F.size("__b")) - F.col("__pre")})
     d = d.withColumn("__suf", F.least(agreed("__ra", "__rb"), F.col("__most"))).drop("__ra", "__rb")
@@ -90,7 +91,7 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
         return F.shiftleft(F.shiftright(acc, 2 * w) + paid, 2 * w) + F.shiftleft(next_vp, w) + next_vn
     score = F.aggregate("__same", F.lit(start) + F.shiftleft(F.abs("__gap"), 2 * w), column, lambda x: F.shiftright(x, 2 * w))
     empty = (F.size("__a") == 0) | (F.size("__b") == 0)
-    return d.where(F.when(empty, F.abs("__gap") <= edits).otherwise(score <= edits)).select(*keep)
+    return d.select(*keep, F.when(empty, F.abs("__gap")).otherwise(score).alias("distance"))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -121,7 +122,7 @@ def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: in
     def verify(pairs: DataFrame) -> DataFrame:
         one = lambda c: texts.select(F.col("name").alias(c), F.col("line").alias(f"l{c}"))
         both = skew_join(skew_join(pairs, one("b"), ["b"]), one("a"), ["a"])
-        return cut_lineage(within_edits(both, "la", "lb", edits).select("a", "b"))
+        return cut_lineage(edit_distances(both, "la", "lb", edits).select("a", "b", "distance")).where(F.col("distance") <= edits).select("a", "b")
 
     m = members.join(texts.select("name", F.struct(*stats).alias("s")), "name")
     hubs = members.where("own").groupBy("key").agg(F.min("name").alias("hub")).join(
