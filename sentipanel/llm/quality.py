@@ -101,32 +101,34 @@ def distance(counts: np.ndarray, ref: np.ndarray) -> float:
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = 64,
                         max_word_chars: int = 8) -> DataFrame:
     """Per language: ``__classes`` (sums of shares), ``__words`` and ``__shares`` of its most frequent words of
-    at most ``max_word_chars`` characters, ``__docs``.  Tasks count whole texts and emit bounded batches of sums, so what is
+    at most ``max_word_chars`` bytes, ``__docs``.  Tasks count whole texts and emit bounded batches of sums, so what is
     shuffled is pre-aggregated; a language is one key, whatever its share of the rows."""
     d = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str, str], int] = {}
+        sums: dict[tuple[str, str], dict] = {}  # (language, kind): sums by item
 
         def emit():
-            cols = list(zip(*((*k, v) for k, v in sums.items()))) or [[], [], [], []]
+            rows = [(lang, kind, item.decode("utf-8", "replace") if isinstance(item, bytes) else item, n) for (lang, kind), x in sums.items() for item, n in x.items()]
+            cols = list(zip(*rows)) or [[], [], [], []]
             sums.clear()
             return pa.RecordBatch.from_arrays([*map(_strings, cols[:3]), pa.array(cols[3], pa.int64())], ["lang", "kind", "item", "n"])
         for b in it:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if not text:
                     continue
-                sums[lang, "docs", ""] = sums.get((lang, "docs", ""), 0) + 1
+                docs_, classes, words = (sums.setdefault((lang, kind), {}) for kind in ("docs", "class", "word"))
+                docs_[""] = docs_.get("", 0) + 1
                 cls = class_counts(text)
-                for name, v in zip(CLASSES, cls * UNIT // cls.sum()):
-                    sums[lang, "class", name] = sums.get((lang, "class", name), 0) + int(v)
-                words = text.lower().translate(_TO_SPACE).split(" ")
-                c = Counter(words)
-                n = max(1, len(words) - c.pop("", 0))
-                for w, v in c.items():
+                for name, v in zip(CLASSES, (cls * UNIT // cls.sum()).tolist()):
+                    classes[name] = classes.get(name, 0) + v
+                own = _lower_words(text)
+                n = max(1, len(own))
+                get = words.get
+                for w, v in Counter(own).items():
                     if len(w) <= max_word_chars:
-                        sums[lang, "word", w] = sums.get((lang, "word", w), 0) + v * UNIT // n
-                if len(sums) >= FLUSH:
+                        words[w] = get(w, 0) + v * UNIT // n
+                if len(words) >= FLUSH:
                     yield emit()
         yield emit()
 
@@ -142,7 +144,8 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                       F.col("w.item").alias("__words"), F.col("w.n").alias("__shares"), "__docs")
 
 
-_TO_SPACE = {ord(c): " " for c in SPACES}
+def _lower_words(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split()
 
 
 def _strings(values) -> pa.Array:
@@ -181,15 +184,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if lang not in refs:
                         classes, words, shares = classes.as_py(), words.as_py(), shares.as_py()
                         share = np.array(list(shares) + [max(0, n_docs * UNIT - sum(shares))], dtype=np.float64)
-                        refs[lang] = ({w: i for i, w in enumerate(words)}, share, np.array(list(classes), dtype=np.float64))
+                        refs[lang] = ({w.encode(): i for i, w in enumerate(words)}, share, np.array(list(classes), dtype=np.float64))
                     index, share, of_class = refs[lang]
                     if len(text) >= min_chars:
                         by_class = distance(class_counts(text), of_class)
                     if base[0] >= min_words:
                         own = np.zeros(len(share))
-                        for w in text.lower().translate(_TO_SPACE).split(" "):
-                            if w:
-                                own[index.get(w, -1)] += 1
+                        found = Counter(_lower_words(text))
+                        for w, i in index.items():
+                            own[i] = found.get(w, 0)
+                        own[-1] = base[0] - own.sum()
                         by_word = distance(own, share)
                 rows.append((*base, by_class, by_word))
             cols = list(zip(*rows)) or [[]] * 7
