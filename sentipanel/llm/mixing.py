@@ -76,7 +76,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies:
                                      (F.col("cum") + F.col("offset")).alias("cum")))
 
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("cum")) / F.col("target")
-    served = (queue.select("rank", "words", F.explode(F.array(*[finish(e) for e in range(max_copies)])).alias("finish"))
+    # a source takes nothing that would start after its target is reached, even if another leaves budget over
+    due = lambda e: (F.lit(e) * F.col("source_size") + F.col("cum") - F.col("words")) < F.col("target")
+    served = (queue.select("rank", "words", F.explode(F.array(*[F.when(due(e), finish(e)) for e in range(max_copies)])).alias("finish"))
+                   .where("finish is not null")
                    .withColumn("span", F.floor(F.col("finish") * buckets)))
     spans = served.groupBy("span").agg(F.sum("words").alias("words"))
     spans = spans.select("span", (F.sum("words").over(Window.orderBy("span")) - F.col("words")).alias("offset"))
@@ -89,7 +92,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies:
         copies = F.lit(0)
     else:
         before = lambda f: (f < F.lit(last["finish"])) | ((f == F.lit(last["finish"])) & (F.col("rank") <= last["rank"]))
-        copies = sum((before(finish(e)).cast("int") for e in range(1, max_copies)), before(finish(0)).cast("int"))
+        copies = sum(((due(e) & before(finish(e))).cast("int") for e in range(1, max_copies)), (due(0) & before(finish(0))).cast("int"))
     cols = ["doc_id", "source", "size", "n", "source_size", "target"]
     idle = d.where("not (size > 0 and target > 0)").select(*cols, F.lit(0).alias("copies"))
     return queue.select(*cols, copies.cast("int").alias("copies")).unionByName(idle)

@@ -39,7 +39,7 @@ t AS (SELECT source, rk, CAST(s AS BIGINT) AS source_size, CASE WHEN cap * ws <=
 q AS (SELECT z.doc_id, z.size, t.rk, t.source_size, t.target,
   sum(z.size) OVER (PARTITION BY t.rk ORDER BY md5('0:' || coalesce(CAST(z.doc_id AS VARCHAR), '')), z.doc_id, z.size ROWS UNBOUNDED PRECEDING) AS cum
   FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source WHERE z.size > 0 AND t.target > 0),
-f AS (SELECT q.*, e.e, (e.e * q.source_size + q.cum) / q.target AS finish FROM q, (VALUES (0), (1), (2)) e(e)),
+f AS (SELECT q.*, e.e, (e.e * q.source_size + q.cum) / q.target AS finish FROM q, (VALUES (0), (1), (2)) e(e) WHERE e.e * q.source_size + q.cum - q.size < q.target),
 g AS (SELECT *, sum(size) OVER (ORDER BY finish, rk ROWS UNBOUNDED PRECEDING) AS total FROM f),
 c AS (SELECT doc_id, sum(size) AS taken FROM g WHERE total <= (SELECT sum(size) FROM sizes) GROUP BY doc_id)
 SELECT z.doc_id, z.size, t.source_size, t.target, CAST(coalesce(c.taken, 0) AS BIGINT) AS taken
