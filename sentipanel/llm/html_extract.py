@@ -212,7 +212,7 @@ def _tokens(p: DataFrame) -> DataFrame:
 
 def host_templates(p: DataFrame, min_share: float = 0.5, min_pages: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """host, template (array of token, share, pages): the text tokens of valid classes."""
-    tokens = _tokens(p)
+    tokens = cut_lineage(_tokens(p))  # narrow rows, read twice
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
     vec = (tokens.groupBy("host", "token").agg(part(1).alias("f1"), part(2).alias("f2"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"))
                  .where(F.col("pages") >= min_pages))
