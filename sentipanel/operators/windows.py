@@ -96,41 +96,12 @@ def _guard(value: Column, c: str, w, min_periods: int) -> Column:
     return F.when(F.count(F.col(c)).over(w) >= min_periods, value)
 
 
-# Frames at least this long are evaluated from running sums: Spark re-aggregates
-# a sliding row frame at every row (O(rows x frame)); running sums over an
-# unbounded-preceding frame plus a lag are O(rows).
-PREFIX_MIN_FRAME = 16
-
-
-def _prefix_moments(c: str, n: int, key, order):
-    """(count, sum, sum of squares) of non-null ``c`` over the last n rows."""
-    w = series_window(key, order)
-    run = w.rowsBetween(UNB_P, 0)
-    x = F.col(c).cast("double")
-    k1 = F.count(x).over(run)
-    s1 = F.coalesce(F.sum(x).over(run), F.lit(0.0))
-    s2 = F.coalesce(F.sum(x * x).over(run), F.lit(0.0))
-    # the running values n rows back (0 before the series start)
-    cnt = k1 - F.coalesce(F.lag(k1, n).over(w), F.lit(0))
-    sm = s1 - F.coalesce(F.lag(s1, n).over(w), F.lit(0.0))
-    sq = s2 - F.coalesce(F.lag(s2, n).over(w), F.lit(0.0))
-    return cnt, sm, sq
-
-
 def _rolling(kind: str, c: str, n: int, min_periods: int, key, order) -> Column:
-    if n < PREFIX_MIN_FRAME:
-        w = series_window(key, order).rowsBetween(-(n - 1), 0)
-        agg = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp}[kind](c).over(w)
-        return _guard(agg, c, w, min_periods)
-    cnt, sm, sq = _prefix_moments(c, n, key, order)
-    if kind == "mean":
-        val = F.when(cnt > 0, sm / cnt)
-    elif kind == "sum":
-        val = F.when(cnt > 0, sm)
-    else:
-        var = (sq - sm * sm / cnt) / (cnt - 1)
-        val = F.when(cnt > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return val if min_periods <= 1 else F.when(cnt >= min_periods, val)
+    """Plain sliding frame at every length: each frame's own one-pass moments, so a large offset or a
+    constant stretch loses no digits.  Costs rows x n; n is a fixed parameter, not a share of the data."""
+    w = series_window(key, order).rowsBetween(-(n - 1), 0)
+    agg = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp}[kind](c).over(w)
+    return _guard(agg, c, w, min_periods)
 
 
 def rolling_mean(c: str, n: int, min_periods: int | None = None, key="symbol", order="dt") -> Column:
