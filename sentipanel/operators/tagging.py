@@ -17,8 +17,11 @@ Spark plan (no per-character loops, no substring on long strings):
 3. matches -> boundaries with lag over (doc, pos, length);
 4. pieces + boundaries in one per-document order; each piece takes the last
    boundary before it; segments = ordered concatenation of their pieces.
-Every window is per document, so work is spread by document and a document's
-size is bounded by its text.
+Rows are tagged one by one: the caller's id need not be unique.  A row is named
+by (id, digest of its text, running number among equal rows), so equal ids
+with other texts never meet in a window and even one id for a third of all
+rows is spread by its texts.  Whole rows are shuffled once on (id, digest);
+pieces are made after that shuffle and every window re-uses it.
 """
 
 from __future__ import annotations
@@ -114,18 +117,25 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
     Output: (doc, seg, ticker, text) with ``seg`` the 0-based segment order.
     ``start`` names a column holding the start ticker ('' or NULL = none).
 
-    One pass: pieces (one shuffle by document for the look-ahead window) ->
-    LEFT join with the broadcast term table (keeps every piece) -> one window
-    per document ordered by (piece, match length) marks boundaries and segment
-    ids -> aggregate per (document, segment), which re-uses the document
-    partitioning (no further shuffle).
+    Ids may repeat: every row gets its own segments.
+
+    One pass: one shuffle of whole rows by (id, digest) -> pieces -> LEFT join
+    with the broadcast term table (keeps every piece) -> one window per row
+    ordered by (piece, match length) marks boundaries and segment ids ->
+    aggregate per (row, segment), which re-uses the partitioning (no further
+    shuffle).
     """
     k = _max_start_chars(terms) + 2
     st = F.coalesce(F.col(start), F.lit("")) if start else F.lit("")
+    rows = docs.select(F.col(doc).alias("__doc"), st.alias("__start"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = rows.withColumn("__h", F.md5(F.concat_ws("\n", "__start", "__text").cast("binary")))
+    # equal rows are interchangeable, so any order numbers them alike on a re-run
+    rows = rows.withColumn("__no", F.row_number().over(Window.partitionBy("__doc", "__h").orderBy("__start")))
+    row = ["__doc", "__h", "__no"]
     # a NULL marker piece first: segment 0 always has a row (it may be empty)
-    pieces = F.concat(F.array(F.lit(None).cast("string")), F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT_RE))
-    p = docs.select(F.col(doc).alias("__doc"), st.alias("__start"), F.posexplode(pieces).alias("pos", "piece"))
-    w = Window.partitionBy("__doc").orderBy("pos")
+    pieces = F.concat(F.array(F.lit(None).cast("string")), F.split("__text", _SPLIT_RE))
+    p = rows.select(*row, "__start", F.posexplode(pieces).alias("pos", "piece"))
+    w = Window.partitionBy(*row).orderBy("pos")
     ctx = F.concat(F.col("piece"), *[F.coalesce(F.lead("piece", j).over(w), F.lit("")) for j in range(1, k)])
     p = p.withColumn("ctx", ctx).withColumn("key", F.regexp_extract("piece", _KEY_RE, 0))
     t = terms.select("term", "ticker").withColumn("key", F.regexp_extract("term", _KEY_RE, 0))
@@ -134,12 +144,12 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
     n = F.length("term")
     nxt = F.substring(F.col("ctx"), n + 1, 1)
     ok = F.col("term").isNotNull() & F.startswith(F.col("ctx"), F.col("term")) & ((nxt == "") | nxt.rlike("^" + _END_CLASS))
-    j = j.select("__doc", "__start", "pos", "piece",
+    j = j.select(*row, "__start", "pos", "piece",
                  F.when(ok, n).otherwise(F.lit(0)).alias("n"), F.when(ok, F.col("ticker")).alias("mt"))
     # one ordered pass per document over (piece, match length): unverified
     # candidates sort first within a piece (n = 0), the piece's last row
     # carries the piece text
-    wd = Window.partitionBy("__doc").orderBy("pos", "n")
+    wd = Window.partitionBy(*row).orderBy("pos", "n")
     full = wd.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     prev = F.last("mt", ignorenulls=True).over(wd.rowsBetween(Window.unboundedPreceding, -1))
     j = j.withColumns({
@@ -151,7 +161,7 @@ def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: s
     j = j.withColumn("seg", F.sum(F.col("__bound").cast("int")).over(wd.rowsBetween(Window.unboundedPreceding, 0)))
     j = j.withColumn("__last", F.max("seg").over(full))
     init = F.when(F.col("__start") != "", F.col("__start")).otherwise(F.coalesce(F.col("__first"), F.lit("")))
-    seg = (j.groupBy("__doc", "seg")
+    seg = (j.groupBy(*row, "seg")
              .agg(F.coalesce(F.max(F.when(F.col("__bound"), F.col("mt"))), F.first(init)).alias("ticker"),
                   F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("txt").isNotNull(), F.struct("pos", "txt")))),
                                            lambda x: x["txt"]), "").alias("text"),
@@ -173,11 +183,13 @@ def dominant_ticker(segments: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def tag_news(news: DataFrame, terms: DataFrame, doc: str = "url", title: str = "title", body: str = "body",
              keep: tuple = ("domain", "dt")) -> DataFrame:
-    """Tag title + newline + body from an empty start; drop '' segments."""
-    t = news.withColumn("__tt", F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(body), F.lit(""))))
-    seg = tag_segments(t, terms, doc=doc, text="__tt")
-    meta = news.select(doc, *keep)
-    return seg.filter(F.col("ticker") != "").join(meta, [doc], "left").withColumnRenamed("ticker", "symbol")
+    """Tag title + newline + body from an empty start; drop '' segments.  ``doc`` and ``keep`` travel with
+    each row, so repeated or empty urls neither mix texts nor multiply rows."""
+    tt = F.concat_ws("\n", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(body), F.lit("")))
+    t = news.select(F.struct(doc, *keep).alias("__row"), tt.alias("__tt"))
+    seg = tag_segments(t, terms, doc="__row", text="__tt").filter(F.col("ticker") != "")
+    return seg.select(F.col(f"__row.{doc}").alias(doc), "seg", F.col("ticker").alias("symbol"), "text",
+                      *[F.col(f"__row.{k}").alias(k) for k in keep])
 
 
 def tag_submissions(posts: DataFrame, terms: DataFrame, doc: str = "id", title: str = "title", body: str = "body",

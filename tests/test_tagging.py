@@ -75,3 +75,13 @@ def test_expand_search_terms(spark):
     assert got["A"] >= {"$A", "$As", "Agilent", "agilent", "AGILENT", "Agilents", "agilents", "AGILENTS", "Keysight"}
     assert "A" not in got["A"] and "As" not in got["A"]
     assert got["ZZ"] == {"ZZ", "ZZs", "$ZZ", "$ZZs", "Glass", "glass", "GLASS"}
+
+
+def test_repeated_and_empty_urls_stay_apart(spark):
+    rows = [("u1", "Acme", "one two", 1), ("u1", "BBB", "three four", 2), ("", "AAA", "x", 3), ("", "BBB", "y", 4),
+            ("", "BBB", "y", 4), (None, "AAA", None, 5)]
+    news = spark.createDataFrame(rows, "url string, title string, body string, dt int")
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, ticker string")
+    got = sorted(((r["url"] or "-", r["symbol"], r["text"], r["dt"]) for r in T.tag_news(news, terms, keep=("dt",)).collect()))
+    exp = sorted((u or "-", t, x, d) for u, title, body, d in rows for t, x in tag_text(f"{title}\n{body or ''}", "", TERMS) if t)
+    assert got == exp
