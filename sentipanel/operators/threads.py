@@ -60,10 +60,18 @@ def dominant_under_start(sizes, t_first, lead, n_bytes, start):
     return F.when(t_first.isNull(), no_mention).otherwise(F.coalesce(F.element_at(best, 1)["k"], F.lit("")))
 
 
-def propagate_thread_ticker(posts: DataFrame, comments: DataFrame, terms: DataFrame, post_text: str = "text",
-                            max_levels: int = 10_000) -> DataFrame:
-    """posts(id, text); comments(id, parent_id, dt, text) ->
-    comments + (start_ticker, dominant).  Order key: (dt, id)."""
+def _last_by_id(df: DataFrame, *cols: str) -> DataFrame:
+    """One row per id: the last in the order of ``cols``."""
+    return df.groupBy("id").agg(F.max(F.struct(*cols)).alias("__l")).select("id", *[F.col(f"__l.{c}").alias(c) for c in cols])
+
+
+def propagate_thread_ticker(posts: DataFrame, comments: DataFrame, terms: DataFrame, post_text: str = "text") -> DataFrame:
+    """posts(id, text); comments(id, parent_id, dt, text) -> one row (id, parent_id, start_ticker, dominant)
+    per comment row.  Order key: (dt, id), which rules out cycles, so the loop ends at the deepest thread.
+    An id that repeats stands for its last row by (dt, text, parent_id); all its rows get that row's tickers."""
+    asked = comments.select("id", "parent_id")
+    posts = _last_by_id(posts, post_text)
+    comments = _last_by_id(comments, "dt", "text", "parent_id")
     post_seg = tag_segments(posts, terms, "id", post_text)
     post_dom = dominant_ticker(post_seg, "id")
     post_dom = posts.select("id").join(post_dom, ["id"], "left").select(
@@ -92,7 +100,7 @@ def propagate_thread_ticker(posts: DataFrame, comments: DataFrame, terms: DataFr
     done = [lvl]
     pending = cut_lineage(c.filter(F.col("dep") == "comment"))
     frontier = lvl
-    for _ in range(max_levels):
+    while True:
         nxt = pending.join(frontier.select(F.col("id").alias("parent_id"), F.col("dominant").alias("start_ticker")),
                            ["parent_id"], "inner")
         nxt = cut_lineage(resolve(nxt, "start_ticker").select("id", "parent_id", "start_ticker", "dominant"))
@@ -104,21 +112,23 @@ def propagate_thread_ticker(posts: DataFrame, comments: DataFrame, terms: DataFr
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return asked.join(out.drop("parent_id"), ["id"], "left")
 
 
 def tag_comments(posts: DataFrame, comments: DataFrame, terms: DataFrame, post_meta: dict[str, str] | None = None,
                  post_text: str = "text") -> DataFrame:
     """Segments of every comment tagged from its inherited start ticker, with
     the found post's metadata (empty when the post is missing); '' tickers dropped."""
-    res = propagate_thread_ticker(posts, comments, terms, post_text)
-    c = comments.join(res.select("id", "start_ticker"), ["id"], "left")
-    seg = tag_segments(c, terms, "id", "text", start="start_ticker")
-    seg = seg.filter(F.col("ticker") != "")
+    res = propagate_thread_ticker(posts, comments, terms, post_text).select("id", "start_ticker").distinct()
+    c = comments.join(res, ["id"], "left")
+    info = ["id", "parent_id", "post_id", "start_ticker"]
+    seg = tag_segments(c.select(F.struct(*info).alias("__row"), "text", "start_ticker"), terms, "__row", "text", start="start_ticker")
+    seg = seg.filter(F.col("ticker") != "").select(F.col("__row.id").alias("id"), "seg", "ticker", "text",
+                                                   *[F.col(f"__row.{k}").alias(k) for k in info[1:]])
     meta = post_meta or {}
-    p = posts.select(F.col("id").alias("__pid"), *[F.col(k).alias(v) for k, v in meta.items()])
-    info = c.select("id", "parent_id", "post_id", "start_ticker")
-    out = seg.join(info, ["id"], "left").join(p, F.col("post_id") == F.col("__pid"), "left")
+    p = _last_by_id(posts, *dict.fromkeys(meta)) if meta else posts.select("id").distinct()
+    p = p.select(F.col("id").alias("__pid"), *[F.col(k).alias(v) for k, v in meta.items()])
+    out = seg.join(p, F.col("post_id") == F.col("__pid"), "left")
     return out.withColumn("found_post_id", F.coalesce(F.col("__pid").cast("string"), F.lit(""))).drop("__pid", "post_id")
 
 

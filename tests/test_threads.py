@@ -50,3 +50,16 @@ def test_profile_equals_retagging(spark):
             F.col("sizes"), F.col("t_first"), F.col("lead_bytes"), F.col("n_bytes"), F.lit(s)).alias("d")).collect()}
         for i, t in enumerate(texts):
             assert got[str(i)] == _dominant(t, s), (t, s)
+
+
+def test_repeated_ids_and_a_long_chain(spark):
+    """One row per comment row; an id that repeats stands for its last row; no level is cut off."""
+    rows = [(f"c{i}", "p1" if i == 0 else f"c{i - 1}", i, "ok") for i in range(12) for _ in range(2)]
+    rows.append(("c3", "c2", 99, "BBB"))  # the last row of c3 comes after its replies: they start from nothing
+    posts = spark.createDataFrame([("p1", "Acme"), ("p1", "Acme"), ("p2", "x")], "id string, text string")
+    comments = spark.createDataFrame(rows, "id string, parent_id string, dt long, text string")
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, ticker string")
+    got = TH.propagate_thread_ticker(posts, comments, terms).collect()
+    assert len(got) == len(rows)
+    by = {(r["id"], r["start_ticker"], r["dominant"]) for r in got}
+    assert by == {(f"c{i}", "AAA", "AAA") for i in range(3)} | {("c3", "AAA", "BBB")} | {(f"c{i}", "", "") for i in range(4, 12)}
