@@ -12,6 +12,7 @@ raw dumps to gzip/bzip2 (splittable) before reading.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +45,13 @@ def _on_error(df: DataFrame, bad: Column, on_error: str, what: str):
     return good, (rejected if on_error == "reject" else None)
 
 
+def _both(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None:
+    """Rejected rows of both checks; malformed lines keep their raw text in ``_corrupt_record``."""
+    if first is None or second is None:
+        return first if second is None else second
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def parse_created_utc(c: Column | str) -> Column:
     """JSON number or quoted number, integer or float, epoch seconds -> epoch ms
     (fraction cut off).  NULL when not a number."""
@@ -89,7 +97,7 @@ def ingest_submissions(lines: DataFrame, min_score: int = 10, on_error: str = "f
                     parse_created_utc("created_utc").alias("dt"), F.coalesce("score", F.lit(0)).alias("score"),
                     F.coalesce("downs", F.lit(0)).alias("downs"))
     rows, rej2 = _on_error(rows, F.col("dt").isNull(), on_error, "created_utc")
-    return rows.filter(F.col("score") >= min_score), (rej2 if rej2 is not None else rej1)
+    return rows.filter(F.col("score") >= min_score), _both(rej1, rej2)
 
 
 def ingest_comments(lines: DataFrame, min_score: int = 10, on_error: str = "fail", value: str = "value"):
@@ -100,7 +108,7 @@ def ingest_comments(lines: DataFrame, min_score: int = 10, on_error: str = "fail
                     parent_from_raw("parent_id").alias("parent_id"),
                     parse_created_utc("created_utc").alias("dt"), F.coalesce("score", F.lit(0)).alias("score"))
     rows, rej2 = _on_error(rows, F.col("dt").isNull(), on_error, "created_utc")
-    return rows.filter(F.col("score") >= min_score), (rej2 if rej2 is not None else rej1)
+    return rows.filter(F.col("score") >= min_score), _both(rej1, rej2)
 
 
 def dedup_raw_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -116,9 +124,9 @@ def write_csv_export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_by_symbol(df: DataFrame, path: str, key: str = "symbol", mode: str = "append", fmt: str = "parquet") -> None:
-    """One directory per ticker.  Rows are shuffled by ticker first so each
-    task writes few files per ticker (no small-file explosion)."""
-    df.repartition(key).write.mode(mode).partitionBy(key).format(fmt).save(path)
+    """One directory per ticker.  Rows are gathered by ticker first (few files
+    per ticker); the rebalance hint lets AQE split a hot ticker over tasks."""
+    df.hint("rebalance", key).write.mode(mode).partitionBy(key).format(fmt).save(path)
 
 
 def finalize_segments(df: DataFrame) -> DataFrame:
@@ -143,9 +151,11 @@ def write_incremental(df: DataFrame, path: str, key: str = "symbol", fmt: str =
     try:
         existing = spark.read.format(fmt).load(path).select(key).distinct()
         todo = df.join(existing, [key], "left_anti")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        todo = df
-    todo.write.mode("append").partitionBy(key).format(fmt).save(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        todo = df  # nothing written yet
+    todo.hint("rebalance", key).write.mode("append").partitionBy(key).format(fmt).save(path)
     return todo
 
 

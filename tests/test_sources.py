@@ -109,3 +109,13 @@ def test_stream_ingest(spark, tmpdir_path):
     q = stream_ingest(spark, "news", raw, out, checkpoint=os.path.join(tmpdir_path, "ck"))
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_reject_returns_broken_lines_and_bad_times(spark):
+    ok = json.dumps({"title": "t", "created_utc": 5, "score": 50, "id": "a", "body": "b"})
+    bad_time = json.dumps({"title": "t", "created_utc": "x", "score": 50, "id": "z", "body": "b"})
+    for ingest in (I.ingest_submissions, I.ingest_comments):
+        good, rejected = ingest(_lines(spark, [ok, "{broken", bad_time]), on_error="reject")
+        assert [r["id"] for r in good.collect()] == ["a"]
+        rej = rejected.collect()
+        assert sorted(r["_corrupt_record"] or r["id"] for r in rej) == ["z", "{broken"]
