@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, skew_join, text_of
 from .components import components
 
+BAND_BITS = 0xFFF  # of a signature, for the number of its size band
 LEVELS = 6  # seeds tried in place of empty segments
 U = np.uint64
 MULT = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
@@ -89,6 +90,8 @@ class Partition:
         self.low = [1]
         while self.low[-1] < 1 << 31:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * ratio)))
+            if len(self.low) > BAND_BITS:
+                raise ValueError("similarity too near 1 for size bands")
 
     def bands(self, n: int) -> list[int]:
         b = bisect_right(self.low, n) - 1
@@ -98,7 +101,8 @@ class Partition:
         return 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
 
     def signatures(self, s: np.ndarray, merged: frozenset[int], only: frozenset[int] | None = None):
-        """(band, keys, full) per band; full is false for one-deletion neighbours."""
+        """(keys, full) per band; full is false for one-deletion neighbours.  The low bits of a key are its band."""
+        one = lambda keys, band: (keys & ~U(BAND_BITS)) | U(band)
         for band in self.bands(len(s)):
             if only is not None and band not in only:
                 continue
@@ -119,12 +123,12 @@ class Partition:
                     last = level == LEVELS - 1
                     use = np.ones(m, dtype=bool) if last else count > 0
                     keys = mix(sums + tag)[use]
-                    yield band, keys, True
+                    yield one(keys, band), True
                     if near:
                         # what is left after taking one shingle out; a lone shingle leaves the empty set, which only
                         # full empty segments could match, and those are indexed under the next seed
                         alone = (count[seg] == 1) & (not last)
-                        yield band, mix(sums[seg] - part + tag[seg])[~alone], False
+                        yield one(mix(sums[seg] - part + tag[seg])[~alone], band), False
                         thin = bool((count <= 1).any())
                     else:
                         thin = bool((count == 0).any())
@@ -137,31 +141,36 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(d: DataFrame, size: int, p: Partition) -> DataFrame:
-    """Every row's set: __id, n, name, its band, and its exact-subset signatures there and in the next band.  Name is null for empty sets."""
-    schema = f"__id {d.schema['__id'].dataType.simpleString()}, n long, name long, band int, keys array<long>, up array<long>"
-    listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(k) for k in x])]).astype(np.int32), pa.int32()),
-                                                pa.array(np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64)))
+    """Every row's set: __id, n, name and its exact-subset signatures.  Name is null for empty sets."""
+    schema = f"__id {d.schema['__id'].dataType.simpleString()}, n long, name long, keys array<long>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in it:
-            n, names, bands, keys, up = [], [], [], [], []
+            n, names, keys = [], [], []
             for t in b.column("__t"):
                 s = shingles(t.as_py(), size, words)
                 n.append(len(s))
                 names.append(set_name(s) if len(s) else None)
-                by: dict[int, list] = {}
-                for band, k, _ in (p.signatures(s, frozenset()) if len(s) else ()):
-                    by.setdefault(band, []).append(k)
-                home = min(by, default=0)
-                bands.append(home)
-                for out, band in ((keys, home), (up, home + 1)):
-                    out.append(np.concatenate(by[band]) if band in by else np.empty(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(bands, pa.int32()), listed(keys), listed(up)],
-                                             ["__id", "n", "name", "band", "keys", "up"])
+                keys.append(np.concatenate([k for k, _ in p.signatures(s, frozenset())]) if len(s) else np.empty(0, np.uint64))
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(n, pa.int64()), pa.array(names, pa.int64()), _listed(keys)], ["__id", "n", "name", "keys"])
     return d.mapInArrow(run, schema)
 
 
+def _listed(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _one_each(sets: DataFrame, reps: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(name, keys) once per name: only the rows of names that occur again are shuffled to find their first."""
+    again = reps.where("copies > 1").select("name")
+    rows = sets.select("name", "keys")
+    once = join_bounded(rows, again, ["name"], "left_anti", broadcast_rows)
+    first = join_bounded(rows, again, ["name"], "left_semi", broadcast_rows).groupBy("name").agg(F.first("keys").alias("keys"))
+    return once.unionByName(first)
+
+
 def _signatures(d: DataFrame, size: int, p: Partition, merged: frozenset[int], only: frozenset[int] | None = None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -169,35 +178,33 @@ def _signatures(d: DataFrame, size: int, p: Partition, merged: frozenset[int], o
         held = 0
 
         def out():
-            keys = np.concatenate([x[1] for x in parts]).view(np.int64)
-            lens = [len(x[1]) for x in parts]
+            keys = np.concatenate([x[0] for x in parts]).view(np.int64)
+            lens = [len(x[0]) for x in parts]
             rep = lambda i, t: np.repeat(np.array([x[i] for x in parts], dtype=t), lens)
-            cols = [pa.array(keys), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int64)), pa.array(rep(0, np.int32)), pa.array(rep(2, np.int8).astype(bool))]
+            cols = [pa.array(keys), pa.array(rep(2, np.int64)), pa.array(rep(1, np.int8).astype(bool))]
             parts.clear()
-            return pa.RecordBatch.from_arrays(cols, ["key", "name", "n", "band", "full"])
+            return pa.RecordBatch.from_arrays(cols, ["key", "name", "full"])
         for b in it:
             for t in b.column("__t"):
                 s = shingles(t.as_py(), size, words)
                 if not len(s):
                     continue
                 name = set_name(s)
-                for band, keys, full in p.signatures(s, merged, only):
-                    parts.append((band, keys, full, name, len(s)))
+                for keys, full in p.signatures(s, merged, only):
+                    parts.append((keys, full, name))
                     held += len(keys)
                 if held >= 100_000:
                     yield out()
                     held = 0
         if parts:
             yield out()
-    return d.mapInArrow(run, "key long, name long, n long, band int, full boolean")
+    return d.mapInArrow(run, "key long, name long, full boolean")
 
 
-def _members(sig: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Signatures that two or more sets share, one of them in full, with their sets."""
-    live = (sig.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("full").alias("any_full"))
-               .where("lo < hi and any_full").select("key"))
-    live, _ = broadcast_if_small(cut_lineage(live), broadcast_rows)
-    return cut_lineage(sig.join(live, "key").select("band", "key", "name", "n").distinct())
+def _members(sig: DataFrame, live: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The sets (key, name) of the live signatures."""
+    live, _ = broadcast_if_small(cut_lineage(live.select("key")), broadcast_rows)
+    return sig.select("key", "name").join(live, "key")
 
 
 def _joined(pairs: DataFrame, tokens: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -272,26 +279,33 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     p = Partition(num, den)
     d = _narrow(docs, id_col, text_col)
     sets = cut_lineage(_sets(d, shingle_words, p).withColumn("name", F.coalesce("name", F.xxhash64(F.lit("empty"), "__id"))))
-    reps = cut_lineage(sets.groupBy("name").agg(F.min("__id").alias("rep"), F.max("n").alias("n")))
-    sig = sets.select("name", "n", "band", F.explode("keys").alias("key")).union(
-        sets.select("name", "n", (F.col("band") + 1).alias("band"), F.explode("up").alias("key"))).withColumn("full", F.lit(True))
-    members = _members(sig, broadcast_rows)
-
-    load = members.groupBy("band", "key").count().groupBy("band").agg(F.sum(F.col("count") - 1).alias("rows"))
+    per_id = sets.groupBy("name", "__id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    reps = cut_lineage(per_id.groupBy("name").agg(F.min("__id").alias("rep"), F.max("n").alias("n"), F.sum("rows").alias("copies"), F.max("rows").alias("rows")))
+    sig = _one_each(sets, reps, broadcast_rows).select("name", F.explode("keys").alias("key"))
+    # every set is there once, so a signature that occurs twice is live
+    members = cut_lineage(_members(sig, sig.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), broadcast_rows))
+
+    band = F.col("key").bitwiseAND(F.lit(BAND_BITS))
+    load = members.groupBy("key").count().groupBy(band.alias("band")).agg(F.sum(F.col("count") - 1).alias("rows"))
     load = {r["band"]: r["rows"] for r in load.collect()}  # one row per size band, at most some seventy
     if load:
         spans = {b: (p.low[b], p.low[b + 1] - 1) for b in load}
         mass = reps.agg(*[F.sum(F.when(F.col("n").between(lo, hi), F.col("n"))).alias(f"b{b}") for b, (lo, hi) in spans.items()]).first()
         hot = frozenset(b for b in load if load[b] > merge_ratio * (mass[f"b{b}"] or 0))
         if hot:
-            near = _members(_signatures(d, shingle_words, p, hot, hot), broadcast_rows)
-            members = cut_lineage(members.where(~F.col("band").isin(sorted(hot))).unionByName(near))
+            near = _signatures(d, shingle_words, p, hot, hot)
+            # one of the sets must be there in full
+            live = near.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("full").alias("any_full")).where("lo < hi and any_full")
+            members = cut_lineage(members.where(~band.isin(sorted(hot))).unionByName(cut_lineage(_members(near, live, broadcast_rows).distinct())))
 
     names = cut_lineage(members.groupBy("name").agg(F.count(F.lit(1)).alias("live")).join(reps, "name"))
-    ids, _ = broadcast_if_small(names.select(F.col("rep").alias("__id")).distinct(), broadcast_rows)
-    tokens = cut_lineage(_token_sets(d.join(ids, "__id"), shingle_words).join(names.select("name"), "name", "left_semi").dropDuplicates(["name"]))
+    ids, _ = broadcast_if_small(names.select(F.col("rep").alias("__id"), "name"), broadcast_rows)
+    tokens = _token_sets(d.join(ids, "__id"), shingle_words)
+    if names.where("rows > 1").limit(1).count():  # a kept id has equal texts in several rows
+        tokens = tokens.dropDuplicates(["name"])
+    tokens = cut_lineage(tokens)
 
-    m = join_bounded(members.select("key", "name", "n"), names.select("name", "live"), ["name"], max_rows=broadcast_rows)
+    m = join_bounded(members, names.select("name", "n", "live"), ["name"], max_rows=broadcast_rows)
     hubs = m.groupBy("key").agg(F.max(F.struct("live", "name", "n")).alias("h")).select("key", F.col("h.name").alias("hub"), F.col("h.n").alias("hub_n"))
     m = cut_lineage(skew_join(m, hubs, ["key"]).where("name <> hub").select("key", "name", "n", "hub", "hub_n"))
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
@@ -312,15 +326,17 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
 
 
 def _token_sets(d: DataFrame, size: int) -> DataFrame:
+    """(name, tokens) of the rows (__t, name) whose text has the set of that name."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in it:
-            sets = [shingles(t.as_py(), size, words) for t in b.column("__t")]
-            sets = [s for s in sets if len(s)]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["name", "tokens"])
+            names, sets = [], []
+            for t, name in zip(b.column("__t"), b.column("name").to_pylist()):
+                s = shingles(t.as_py(), size, words)
+                if len(s) and set_name(s) == name:
+                    names.append(name)
+                    sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _listed(sets)], ["name", "tokens"])
     return d.mapInArrow(run, "name long, tokens array<long>")
 
 
