@@ -8,9 +8,10 @@ neighbours.  Each band takes the cheaper of the two: exact subsets are cheap to
 neighbourhoods cost a row per shingle and collide far less, so a band changes over when the rows its measured
 collisions bring into verification outweigh its shingles (``merge_ratio``).
 
-A set near the top of a band also indexes itself in the next band, for partners there.  An empty
-segment says little, so instead of it a set indexes itself once more under another seed: two sets
-that agree only in an empty segment under one seed both do so, and the argument holds for any seed.
+A set near the top of a band also indexes itself in the next band, for partners there.  Empty
+segments say little.  A set differs from any partner in a number of shingles that its own size bounds, so as many segments
+as lie beyond that bound agree; if all of them could be empty, the set indexes itself once more under another seed.  Two
+sets that agree in empty segments only both do so, and the argument holds for any seed.
 
 Candidates share a signature.  They are not paired off.  Each signature names a hub, its set with the most live
 signatures; hub and members are verified exactly, which joins true groups of copies in a linear number of
@@ -97,8 +98,10 @@ class Partition:
         b = bisect_right(self.low, n) - 1
         return [b, b + 1] if n * self.den >= self.num * self.low[b + 1] else [b]
 
-    def differences(self, band: int) -> int:
-        return 2 * (self.low[band + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+    def differences(self, band: int, n: int | None = None) -> int:
+        """Most differences of two similar sets of a band, or of a set of n shingles and any partner there."""
+        top = self.low[band + 1] - 1
+        return (2 * top if n is None else n + min(top, n * self.den // self.num)) * (self.den - self.num) // (self.den + self.num)
 
     def signatures(self, s: np.ndarray, merged: frozenset[int], only: frozenset[int] | None = None):
         """(keys, full) per band; full is false for one-deletion neighbours.  The low bits of a key are its band."""
@@ -106,9 +109,10 @@ class Partition:
         for band in self.bands(len(s)):
             if only is not None and band not in only:
                 continue
-            h = self.differences(band)
+            h, mine = self.differences(band), self.differences(band, len(s))
             near = band in merged and h > 0
             m = h // 2 + 1 if near else h + 1
+            spare = m - 1 - (mine // 2 if near else mine)  # segments that agree with any partner, beyond one
             for level in range(LEVELS):
                 with np.errstate(over="ignore"):
                     salt = mix(np.array([band * 64 + level * 2 + near + 1], dtype=np.uint64) * MULT[1])[0]
@@ -129,9 +133,9 @@ class Partition:
                         # full empty segments could match, and those are indexed under the next seed
                         alone = (count[seg] == 1) & (not last)
                         yield one(mix(sums[seg] - part + tag[seg])[~alone], band), False
-                        thin = bool((count <= 1).any())
+                        thin = int((count <= 1).sum()) > spare
                     else:
-                        thin = bool((count == 0).any())
+                        thin = int((count == 0).sum()) > spare
                 if not thin or last:
                     break
 
