@@ -16,7 +16,7 @@ from sentipanel.llm import line_dedup, mixing, ngram_join, quality, spm
 from sentipanel.llm.common import WORD, ensure_checkpoint_dir, read
 from sentipanel.llm.registry import piece_model
 
-MIN_LINE = 20  # characters of the shortest line that line dedup compares
+MIN_LINE = 20  # characters of the shortest line that keeps a shortened document
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents of which only lines too short to compare are left."""
-    d = line_dedup.line_dedup(docs, min_chars=MIN_LINE)
+    """Repeated lines go, and shortened documents of which only lines under MIN_LINE are left."""
+    d = line_dedup.line_dedup(docs, min_chars=1, near_chars=1)
     rest = F.exists(F.split("text", "\n"), lambda x: (F.length(x) >= MIN_LINE) & x.rlike(WORD))
     d = d.where((F.col("n_removed") == 0) | rest)
     if "n_chars" in docs.columns:

@@ -1,7 +1,9 @@
 """Line dedup across documents, exact and within a small edit distance, in DataFrame functions only.
 
 Segment-partition edit join: a line of length l is cut into ``edits + 1`` even segments.  A line within ``edits``
-edits of it holds one of the segments unchanged, at a place shifted by a few characters.  So every
+edits of it holds one of the segments unchanged, at a place shifted by a few characters.  (Lines of ``edits``
+characters or fewer have no such segments: they are all within ``edits`` of each other, and a longer line within
+``edits`` of one shares a character with it, so single characters are their keys.)  So every
 line indexes its own segments and probes, for every length up to ``edits`` shorter, the substrings at the
 shifts that the numbers of edits left and right of the segment allow.  Index and probe keys are (length,
 segment, hash of the substring).  Keys that two lines share make candidates, which are checked by length, by
@@ -28,7 +30,8 @@ LETTERS = ["eE", "tTaA", "iInN", "oOsSrR", "hHlLdD", "cCuUmMfF", "pPgGwWyYbBvV",
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     """(name, key, own): a line's own segments and the substrings it probes.
 
-    A line of length l is cut into ``edits + 1`` segments, the last ones a character longer.  Each (shorter, segment, shift) is one row of
+    A line of length l is cut into ``edits + 1`` segments, the last ones a character longer; lengths up to ``edits`` are
+    left to :func:`short_keys`.  Each (shorter, segment, shift) is one row of
     a literal table, so the key is one small expression.  Lines are read in UTF-32, four bytes a character, which makes a substring a slice.
     """
     n = edits + 1
@@ -38,7 +41,7 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     wide = lines.select("name", F.encode("line", "UTF-32").alias("wide"))  # on its own, below the generator: once a line
     rows = wide.select("name", "wide", F.explode(F.array(*table)).alias("p"))
     target = F.shiftright(F.octet_length("wide"), 2) - F.col("p.shorter")
-    rows = rows.withColumn("t", target)
+    rows = rows.withColumn("t", target).where(F.col("t") > edits)
     floor = F.floor(F.col("t") / n).cast("int")
     first_long = n - F.col("t") % n  # segments from here on take one character of the remainder
     start = floor * F.col("p.i") + F.greatest(F.lit(0), F.col("p.i") - first_long) + F.col("p.shift")
@@ -47,6 +50,14 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
     return rows.select("name", key.alias("key"), ((F.col("p.shorter") == 0) & (F.col("p.shift") == 0)).alias("own"))
 
 
+def short_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(name, key, own) for the pairs with a line of ``edits`` characters or fewer: its characters, and one key for all such lines."""
+    own = F.length("line") <= edits
+    chars = F.transform(F.array_distinct(F.split("line", "")), lambda c: F.xxhash64(F.lit(-1), c))
+    keys = F.concat(chars, F.when(own, F.array(F.xxhash64(F.lit(-1)))).otherwise(F.array().cast("array<bigint>")))
+    return lines.where(F.length("line") <= 2 * edits).select("name", F.explode(keys).alias("key"), own.alias("own"))
+
+
 def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     """Adds ``distance``, right up to ``edits`` and larger beyond: bit-parallel edit distance over the diagonal band.
 
@@ -104,6 +115,8 @@ def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: in
     """(node, label): classes of different lines linked by up to ``edits`` edits."""
     long = lines.where(F.length("line") >= near_chars)
     keyed = segment_keys(long, edits)
+    if near_chars <= 2 * edits:
+        keyed = keyed.unionByName(short_keys(long, edits))
     live = (keyed.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("own").alias("own"))
                  .where("lo < hi and own").select("key"))
     live, _ = broadcast_if_small(cut_lineage(live), broadcast_rows)
@@ -146,7 +159,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, near_chars:
     """Remove lines that repeat an earlier line, exactly or within ``edits`` edits.
 
     Lines are split at ``\\n``.  Lines of ``min_chars`` characters or more that hold a word are compared exactly, those of
-    ``near_chars`` or more also within ``edits`` edits.  Of each class the first line stays in the document with
+    ``near_chars`` or more also within ``edits`` edits; 1 and 1 compare every line that holds a word.  Of each class the first line stays in the document with
     the smallest id; all other lines of the class go.  Other lines always stay.
 
     Returns the input's columns with the text shortened, plus ``n_lines``, ``n_removed`` and ``removed`` (array of

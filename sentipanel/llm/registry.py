@@ -75,7 +75,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = line_dedup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1, near_chars=1)
     listed = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["pos"].cast("string"), r["keep_doc"].cast("string"))), ",")
     return d.select("doc_id", "n_lines", "n_removed", listed.alias("removed"), F.sha2(text_of("text"), 256).alias("text_sha256"))
 
