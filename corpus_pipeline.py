@@ -16,8 +16,6 @@ from sentipanel.llm import line_dedup, mixing, ngram_join, quality, spm
 from sentipanel.llm.common import WORD, ensure_checkpoint_dir, read
 from sentipanel.llm.registry import piece_model
 
-MIN_LINE = 20  # characters of the shortest line that keeps a shortened document
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
@@ -25,10 +23,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and shortened documents of which only lines under MIN_LINE are left."""
+    """Repeated lines go, and documents that lose every line with a word."""
     d = line_dedup.line_dedup(docs, min_chars=1, near_chars=1)
-    rest = F.exists(F.split("text", "\n"), lambda x: (F.length(x) >= MIN_LINE) & x.rlike(WORD))
-    d = d.where((F.col("n_removed") == 0) | rest)
+    d = d.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return d.select(*docs.columns)

@@ -67,3 +67,12 @@ def test_line_dedup_stage_compares_every_line(spark, tmp_path, short_docs):
         text = dict((x[0], x[1]) for x in short_docs)[r.doc_id]
         left = {p for p, _ in gone.get(r.doc_id, [])}
         assert r.text == (text if not left else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in left))
+
+
+def test_line_dedup_stage_keeps_documents_of_short_lines(spark):
+    shared = "this passage is shared by all the documents of the table"
+    rows = [(1, shared, "en", "s", len(shared)), (2, f"{shared}\nbread knife\nold piano\ntwelve swans", "en", "s", 90), (3, f"{shared}\n \n", "en", "s", 60),
+            (4, f"{shared}\nold piano", "en", "s", 70), (5, " \n", "en", "s", 2)]
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    left = "bread knife\nold piano\ntwelve swans"
+    assert out == {1: (shared, len(shared)), 2: (left, len(left)), 5: (" \n", 2)}
