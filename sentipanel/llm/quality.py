@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut_lineage, drop_clashing, text_of
+from .common import broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -26,7 +26,9 @@ CLASSES = ("lower", "upper", "letter", "digit", "space", "point", "symbol", "oth
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance",
            "base_failed", "kept"]
 UNIT = 1_000_000  # shares are summed as whole millionths, so sums do not depend on the order
-FLUSH = 200_000   # (language, word) entries a task holds before it emits them
+FLUSH = 200_000   # words of a language a task holds before it emits them
+FLUSH_BYTES = 32 << 20  # the same for the bytes of all words it holds
+BROADCAST_BYTES = 8 << 20  # of the references' words; wider references are joined by shuffle
 
 _CLASS_OF: list[np.ndarray] = []
 
@@ -98,15 +100,15 @@ def distance(counts: np.ndarray, ref: np.ndarray) -> float:
     return max(0.0, (half(p) + half(q)) / 2) ** 0.5
 
 
-def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = 64,
-                        max_word_chars: int = 8) -> DataFrame:
-    """Per language: ``__classes`` (sums of shares), ``__words`` and ``__shares`` of its most frequent words of
-    at most ``max_word_chars`` bytes, ``__docs``.  Tasks count whole texts and emit bounded batches of sums, so what is
+def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top_words: int = 64) -> DataFrame:
+    """Per language: ``__classes`` (sums of shares), ``__words`` and ``__shares`` of its most frequent words of any
+    length, ``__docs``.  Tasks count whole texts and emit bounded batches of sums, so what is
     shuffled is pre-aggregated; a language is one key, whatever its share of the rows."""
     d = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), text_of(text_col).alias("text"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], dict] = {}  # (language, kind): sums by item
+        held = 0  # bytes of the words in sums
 
         def emit():
             rows = [(lang, kind, item.decode("utf-8", "replace") if isinstance(item, bytes) else item, n) for (lang, kind), x in sums.items() for item, n in x.items()]
@@ -126,10 +128,14 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                 n = max(1, len(own))
                 get = words.get
                 for w, v in Counter(own).items():
-                    if len(w) <= max_word_chars:
-                        words[w] = get(w, 0) + v * UNIT // n
-                if len(words) >= FLUSH:
+                    old = get(w)
+                    if old is None:
+                        held += len(w)
+                        old = 0
+                    words[w] = old + v * UNIT // n
+                if len(words) >= FLUSH or held >= FLUSH_BYTES:
                     yield emit()
+                    held = 0
         yield emit()
 
     sums = (d.mapInArrow(count, "lang string, kind string, item string, n long")
@@ -164,11 +170,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty table gives an empty result; input columns named like a result are replaced.
     """
     ref = cut_lineage(references if references is not None else language_references(docs, text_col, lang_col))
-    ref, _ = broadcast_if_small(ref, 2_000)  # at most 2,000 rows of 64 short words
+    wide = (ref.agg(F.sum(F.octet_length(F.concat_ws("", "__words")))).first()[0] or 0) > BROADCAST_BYTES
+    ref, small = (ref, False) if wide else broadcast_if_small(ref, 2_000)
     d = drop_clashing(docs, RESULTS)
     keep = [c for c in d.columns if carry_text or c != text_col]
     d = (d.withColumns({"__t": text_of(text_col), "__lang": F.coalesce(F.col(lang_col), F.lit(""))})
-          .join(ref, "__lang", "left").select(*keep, "__t", "__lang", "__classes", "__words", "__shares", "__docs"))
+          .transform(lambda x: x.join(ref, "__lang", "left") if small else skew_join(x, ref, ["__lang"], "left")).select(*keep, "__t", "__lang", "__classes", "__words", "__shares", "__docs"))
     added = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
              "class_distance double, word_distance double")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in keep] + [added])

@@ -1,11 +1,15 @@
 """Tests that the registered queries and the pipeline do the whole job: no line, word or document is left out by a bound."""
 
+import math
 import random
+import re
+import unicodedata
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from sentipanel.llm import registry
+from sentipanel.llm import quality, registry
 
 from test_operators import levenshtein, union_find
 
@@ -76,3 +80,54 @@ def test_line_dedup_stage_keeps_documents_of_short_lines(spark):
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     left = "bread knife\nold piano\ntwelve swans"
     assert out == {1: (shared, len(shared)), 2: (left, len(left)), 5: (" \n", 2)}
+
+
+def js(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    half = lambda a: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, p if a is q else q) if x)
+    return max(0.0, (half(p) + half(q)) / 2) ** 0.5
+
+
+@pytest.mark.parametrize("flush", [None, 64])
+def test_quality_query_distances(spark, tmp_path, monkeypatch, flush):
+    """Distances and verdict of every row, with frequent words of many scripts and lengths."""
+    if flush:
+        monkeypatch.setattr(quality, "BROADCAST_BYTES", flush)  # the shuffled join of wide references
+    rng = random.Random(23)
+    common = {"en": ["the", "of", "internationalisation", "and"], "es": ["ciónción", "cióngañ", "de", "información"],
+              "ru": ["который", "человек", "и", "государственный"], "zh": ["机器学习", "我们的", "是", "中华人民共和国"], "few": ["a", "b"]}
+    rows = []
+    for lang, top in common.items():
+        rare = ["".join(rng.choice(top) for _ in range(2)) + str(k) for k in range(200)] + [w.upper() for w in top] + ["x" * 3000]
+        for k in range(5 if lang == "few" else 25):
+            size = rng.choice([5, 40, 60, 200])
+            rows.append((len(rows), " ".join(rng.choice(top if rng.random() < (0.1 if k % 6 == 0 else 0.6) else rare) for _ in range(size)), lang, "s", 1))
+    rows += [(1000, None, "en", "s", 0), (1001, "", None, "s", 0), (1002, "der " * 60, "ru", "s", 1)]
+
+    def cls(ch):
+        cat = unicodedata.category(ch)
+        return (4 if ch in " \t\n\v\f\r" else 6 if ch in "#*$%&|<>" else 7 if ord(ch) > 65535 else
+                {"Ll": 0, "Lu": 1, "Nd": 3}.get(cat, 2 if cat[0] in "LM" else 5 if cat[0] == "P" else 7))
+    classes = lambda t: [sum(cls(ch) == k for ch in t) for k in range(8)]
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    refs = {}
+    for _, t, lang, *_ in rows:
+        if t:
+            n, c, w = refs.setdefault(lang or "", ([0], Counter(), Counter()))
+            n[0] += 1
+            c.update({k: v * 10**6 // len(t) for k, v in enumerate(classes(t))})
+            w.update({x: v * 10**6 // len(lower(t)) for x, v in Counter(lower(t)).items()})
+    out = {r.doc_id: r for r in registry.queries()["op10_quality_rules"](spark, write(spark, tmp_path, rows)).collect()}
+    assert len(out) == len(rows) and any(r.kept for r in out.values())
+    for i, t, lang, *_ in rows:
+        t, r = t or "", out[i]
+        n, c, w = refs.get(lang or "", ([0], {}, Counter()))
+        by_class = js(classes(t), [c[k] for k in range(8)]) if n[0] >= 20 and len(t) >= 200 else None
+        by_word = None
+        if n[0] >= 20 and len(t.split()) >= 50:
+            top = sorted(w.items(), key=lambda x: (-x[1], x[0]))[:64]
+            found = Counter(lower(t))
+            own = [found[x] for x, _ in top]
+            by_word = js([*own, sum(found.values()) - sum(own)], [*(v for _, v in top), max(0, n[0] * 10**6 - sum(v for _, v in top))])
+        assert (r.class_distance, r.word_distance) == (pytest.approx(by_class, abs=1e-9) if by_class is not None else None, pytest.approx(by_word, abs=1e-9) if by_word is not None else None), (i, lang)
+        assert r.kept == (not r.base_failed and not (by_class or 0) > 0.25 and not (by_word or 0) > 0.5)
