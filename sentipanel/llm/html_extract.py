@@ -7,9 +7,10 @@ come in one order on every page) and nested (it lies in one gap of the host's ro
 to the template; what lies between its tokens are slots.  Vectors are compared by sums of per-page hashes, so a host
 with a third of all pages is pre-aggregated like any other, and no task sees a whole host.
 
-From a page's slots the main text is taken: template text goes, then menus, headers, footers, sidebars, notices, adverts,
+From a page's slots the main text is taken: template text goes, by the same share on every host and in every
+element, and only what is left in slots is looked at further.  There, as a following check, go menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments by tag, role, class and id, and of what remains the article element, the
-main element or else the container with most text outside links.
+main element or else the container with most text outside links is taken.
 """
 
 from __future__ import annotations
@@ -135,15 +136,18 @@ def token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def main_text(page: Page, template: dict[int, tuple[float, int]]) -> str:
-    """Joins the main runs of a page; ``template`` has share and number of the host's pages for template text."""
+def main_text(page: Page, template: set[int]) -> str:
+    """Joins the main runs in a page's slots; ``template`` holds the tokens of the host's template text."""
     parents = [n[1] for n in page.nodes]
 
     def inside(node: int, roots: set[int]) -> int:
         while node >= 0 and node not in roots:
             node = parents[node]
         return node
-    texts = [(node, text, tok, linked) for node, bad, text, tok, linked in page.runs if not bad]
+    # a template token parts the words of the slots on its sides
+    slots = [(node, bad, " ", -1, False) if tok >= 0 and token_hash(page.tokens[tok][0]) in template else (node, bad, text, tok, linked)
+             for node, bad, text, tok, linked in page.runs]
+    texts = [(node, text, tok, linked) for node, bad, text, tok, linked in slots if not bad]
     bad_node = {len(page.nodes)}
     weight: dict[int, float] = {}
 
@@ -158,14 +162,10 @@ def main_text(page: Page, template: dict[int, tuple[float, int]]) -> str:
         return {best} if best is not None and any(size.values()) else set()
     tags = lambda test: {i for i, n in enumerate(page.nodes) if test(n)}
     root = (pick(tags(lambda n: n[0] == "article")) or pick(tags(lambda n: n[0] == "main" or (n[3].get("role") or "") == "main")))
-    strict = bool(root)
     if not root:
         for node, text, tok, linked in texts:  # most text outside links, counted for the parent and half for its parent
             if tok < 0 or linked:
                 continue
-            share = template.get(token_hash(page.tokens[tok][0]))
-            if share and share[0] >= 0.5:
-                continue
             while node >= 0 and (page.nodes[node][0] in INLINE or page.nodes[node][0] == "p" or page.nodes[node][0][0] == "h" and page.nodes[node][0][1:].isdigit()):
                 node = parents[node]
             if node >= 0:
@@ -174,16 +174,7 @@ def main_text(page: Page, template: dict[int, tuple[float, int]]) -> str:
                     weight[parents[node]] = weight.get(parents[node], 0) + len(text) / 2
         best = max(weight, key=lambda n: (weight[n] * (1.2 if page.nodes[n][2] & GOOD else 1), -n), default=None)
         root = {best} if best is not None else bad_node
-    out = []
-    for node, text, tok, _ in texts:
-        if root != bad_node and inside(node, root) < 0:
-            continue
-        if tok >= 0:
-            share = template.get(token_hash(page.tokens[tok][0]))
-            if share and (share[0] >= 0.8 and share[1] >= 20 if strict else share[0] >= 0.5):
-                out.append(" ")
-                continue
-        out.append(text)
+    out = [text for node, text, _, _ in texts if root == bad_node or inside(node, root) >= 0]
     return " ".join("".join(out).split())
 
 
@@ -211,12 +202,17 @@ def _tokens(p: DataFrame) -> DataFrame:
 
 
 def host_templates(p: DataFrame, min_share: float = 0.5, min_pages: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
-    """host, template (array of token, share, pages): the text tokens of valid classes."""
-    tokens = cut_lineage(_tokens(p))  # narrow rows, read twice
+    """host, template (array of tokens): the text tokens of valid classes, those on a share of ``min_share`` of the host's
+    different pages and on ``min_pages`` of them at least.  Copies of a page count once, or its own text would be template."""
+    met = cut_lineage(p.groupBy("host", "page").agg(F.count(F.lit(1)).alias("n")))
+    twice, _ = broadcast_if_small(met.where("n > 1").select("host", "page"), broadcast_rows)
+    on = ["host", "page"]
+    different = p.join(twice, on, "left_anti").unionByName(p.join(twice, on, "left_semi").dropDuplicates(on))
+    tokens = cut_lineage(_tokens(different))  # narrow rows, read twice
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(1 << 31)))
     vec = (tokens.groupBy("host", "token").agg(part(1).alias("f1"), part(2).alias("f2"), F.count(F.lit(1)).alias("pages"), F.max("is_text").alias("is_text"))
                  .where(F.col("pages") >= min_pages))
-    hosts = p.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    hosts = met.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     vec = vec.join(hosts, "host").where(F.col("pages") >= min_share * F.col("host_pages"))
     vec = cut_lineage(vec.withColumn("class", F.xxhash64("f1", "f2", "pages")).drop("f1", "f2"))
     large = vec.groupBy("host", "class").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
@@ -241,7 +237,7 @@ def host_templates(p: DataFrame, min_share: float = 0.5, min_pages: int = 3, bro
     nested = inner.groupBy("host", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo = hi").select("host", "class")
     valid = nested.union(root.select("host", F.col("root").alias("class")))
     text = vec.where("is_text").join(valid, ["host", "class"])
-    return text.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("token", (F.col("pages") / F.col("host_pages")).alias("share"), F.col("host_pages").alias("pages")))).alias("template"))
+    return text.groupBy("host").agg(F.array_sort(F.collect_list("token")).alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 20_000) -> DataFrame:
@@ -254,7 +250,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     p = drop_clashing(pages, RESULTS)
     keep = [c for c in p.columns if c != html_col]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    p = p.select(*keep, text_of(html_col).alias("__h"), host.alias("host")).withColumn("page", F.xxhash64(F.col(id_col), "__h"))
+    p = p.select(*keep, text_of(html_col).alias("__h"), host.alias("host")).withColumn("page", F.xxhash64("__h"))
     found = cut_lineage(host_templates(p.select("host", "page", "__h"))).withColumnRenamed("host", "__host")
     found, small = broadcast_if_small(found, broadcast_hosts)
     p = p.withColumnRenamed("host", "__host")
@@ -269,7 +265,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if host not in templates:
                     if len(templates) >= 1000:
                         templates.clear()
-                    templates[host] = {t["token"]: (t["share"], t["pages"]) for t in template.as_py() or ()}
+                    templates[host] = set(template.as_py() or ())
                 out.append(main_text(Page(html.as_py()), templates[host]))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [*keep, *RESULTS])
     return p.mapInArrow(run, schema)

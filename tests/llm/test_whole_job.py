@@ -131,3 +131,21 @@ def test_quality_query_distances(spark, tmp_path, monkeypatch, flush):
             by_word = js([*own, sum(found.values()) - sum(own)], [*(v for _, v in top), max(0, n[0] * 10**6 - sum(v for _, v in top))])
         assert (r.class_distance, r.word_distance) == (pytest.approx(by_class, abs=1e-9) if by_class is not None else None, pytest.approx(by_word, abs=1e-9) if by_word is not None else None), (i, lang)
         assert r.kept == (not r.base_failed and not (by_class or 0) > 0.25 and not (by_word or 0) > 0.5)
+
+
+def test_html_query_takes_text_from_slots(spark, tmp_path):
+    """Unmarked template text in an article goes on hosts of every size; the text of copied pages stays."""
+    page = "<html><body><nav>Menu</nav><article><h1>Head {0}</h1><p>Own text {0}.</p>{1}</article></body></html>"
+    block = "<p>Read our other stories.</p><p>All rights reserved.</p>"
+    rows, want = [], {}
+    for host, n, share in (("small", 4, 1.0), ("mid", 12, 0.6), ("large", 30, 0.6), ("rare", 12, 0.4)):
+        for k in range(n):
+            has = k < share * n
+            rows.append((len(rows), f"http://{host}.example/{k}", page.format(f"{host}{k}", block if has else "")))
+            want[rows[-1][0]] = f"Head {host}{k} Own text {host}{k}." + (" Read our other stories. All rights reserved." if has and share < 0.5 else "")
+    for k in range(5):
+        rows.append((1000 + k, f"http://copies.example/{k}", page.format("copy", block)))
+        want[1000 + k] = "Head copy Own text copy. Read our other stories. All rights reserved."
+    folder = write(spark, tmp_path, rows, "pages", "page_id long, url string, html string")
+    out = registry.queries()["op3_html_extract"](spark, folder).collect()
+    assert {r.page_id: r.text for r in out} == want and len(out) == len(rows)
