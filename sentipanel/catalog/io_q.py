@@ -163,7 +163,7 @@ def q_gbt_fit(fx):
     from ..operators import models as M
     ds = C.dataset(fx, residualise=False)
     feats = ["ft_news_10", "ft_comments_10"]
-    model = M.gbt_fit(ds.filter(F.col("dt") < F.lit("1999-01-01").cast("date")), feats, "tgt_forward_returns_10", max_iter=20)
+    model = M.gbt_fit(ds.filter(F.col("dt") < F.lit("1999-01-01").cast("date")), feats, "tgt_forward_returns_10", max_iter=300)
     imp = model.featureImportances.toArray().tolist()
     return fx.spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")
 

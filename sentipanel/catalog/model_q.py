@@ -72,7 +72,7 @@ def q_gbt(fx):
     ds = C.dataset(fx, residualise=False)
     train = ds.filter(F.col("dt") < F.lit("1999-01-01").cast("date"))
     test = ds.filter(F.col("dt") >= F.lit("1999-06-01").cast("date"))
-    return M.gbt_fit_predict(train, test, X2, Y, max_iter=20).select("symbol", "dt", "prediction")
+    return M.gbt_fit_predict(train, test, X2, Y, max_iter=300).select("symbol", "dt", "prediction")
 
 
 @register("train_test_split_by_date", C.DATASET_CTES + """SELECT 'train' AS part, count(*) AS n FROM ds WHERE dt < DATE '1999-01-01'

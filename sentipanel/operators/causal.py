@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 from . import linalg as LA
 
 
-def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level: int = 2) -> DataFrame:
+def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level: int | None = None) -> DataFrame:
     """Rows (x, y, level, cond, partial_r, z, p_value, independent) for every
-    test PC performs, plus the final skeleton flag ``edge_kept`` per pair."""
+    test PC performs, plus the final skeleton flag ``edge_kept`` per pair.  Levels
+    rise until no pair left has a neighbourhood that large (or to ``max_level``)."""
     data = df.dropna(subset=cols)
     mom = LA.moments(data, [], cols)
     k = len(cols)
@@ -45,11 +46,14 @@ def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level
             R = C / np.outer(sd, sd)
             adj = {i: set(range(k)) - {i} for i in range(k)}
             tests = []
-            for level in range(0, max_level + 1):
+            level = 0
+            while max_level is None or level <= max_level:
+                large = False
                 for i, j in itertools.combinations(range(k), 2):
                     if j not in adj[i]:
                         continue
                     others = sorted((adj[i] | adj[j]) - {i, j})
+                    large |= len(others) >= level
                     for S in itertools.combinations(others, level):
                         idx = [i, j, *S]
                         try:
@@ -66,6 +70,9 @@ def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level
                             adj[i].discard(j)
                             adj[j].discard(i)
                             break
+                if not large:
+                    break
+                level += 1
             out = pd.DataFrame(tests, columns=["x", "y", "level", "cond", "partial_r", "z", "p_value", "independent"])
             out["edge_kept"] = [cols.index(b) in adj[cols.index(a)] for a, b in zip(out["x"], out["y"])]
             yield out
