@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, spm, warc
+from . import chat, exact_dedup, html_extract, line_dedup, merkle, mixing, ngram_join, pii, quality, spm, warc
 from .common import ensure_checkpoint_dir, read, text_of
 
 
@@ -128,7 +128,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_html_extract, op4_warc, op5_sentencepiece, op6_ngram_join, op7_line_dedup, op8_exact_dedup, op9_chat_format, op10_quality_rules)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"), merkle.without_newlines())
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_html_extract, op4_warc, op5_sentencepiece, op6_ngram_join, op7_line_dedup, op8_exact_dedup, op9_chat_format, op10_quality_rules, op13_merkle)}
 SQL = {"op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
 
 
