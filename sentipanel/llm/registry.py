@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, line_dedup, merkle, mixing, ngram_join, pii, quality, spm, warc
+from . import chat, exact_dedup, hard_negatives, html_extract, line_dedup, merkle, mixing, ngram_join, pii, quality, simhash, spm, warc
 from .common import ensure_checkpoint_dir, read, text_of
 
 
@@ -128,12 +128,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("lang")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"), merkle.without_newlines())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_html_extract, op4_warc, op5_sentencepiece, op6_ngram_join, op7_line_dedup, op8_exact_dedup, op9_chat_format, op10_quality_rules, op13_merkle)}
-SQL = {"op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_html_extract, op4_warc, op5_sentencepiece, op6_ngram_join, op7_line_dedup, op8_exact_dedup, op9_chat_format, op10_quality_rules, op11_hard_negatives, op12_simhash, op13_merkle)}
+SQL = {"op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op11_hard_negatives": OP11_SQL}
 
 
 def _bind(fn):
