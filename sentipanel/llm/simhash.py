@@ -6,10 +6,10 @@ fingerprint.  Two fingerprints whose segment differs in bit b, or not at all, th
 every pair, and the count of differing bits decides.
 
 Equal fingerprints are one node.  The members of a variant are not paired off.  Each variant names a hub; members within reach of it
-are linked to it, a linear number of pairs.  What is left are links between members of different components.  Variants that have such members
-are paired when they are small.  Larger ones are cut again: what was not fixed yet (32 bits, then 16) is split in the same way, so
+are linked to it, a linear number of pairs, and get the label of their component.  What is left are links between members of different labels.  Variants that
+have such members are paired when they are small.  Larger ones are cut again: what was not fixed yet (32 bits, then 16) is split in the same way, so
 that a group has agreed in 46 and then in 53 bits, and at most 2,048 different fingerprints can be in it.  The pairing join's own
-condition is the exact distance, between different components; it returns links, not candidates.
+condition is the exact distance, between different labels; it returns links, not candidates, and those connect the labels.
 """
 
 from __future__ import annotations
@@ -92,13 +92,14 @@ def variants(max_bits: int) -> list[list[list[tuple[int, int, int, bool, int]]]]
 
 
 def _index(groups: DataFrame, level) -> DataFrame:
-    """Variants (g, fp, seg, first, path) of rows (g, path, fp): equal g for those that agree in a segment of their group but for one bit."""
+    """Variants (g, seg, first, path) of rows (g, path, fp), other columns kept: equal g for those that agree in a segment of their group but for one bit."""
     names = ["bit", "seg", "keep", "first", "path"]
     kinds = ["int", "long", "long", "boolean", "int"]
     cut = F.array(*[F.array(*[F.struct(*[F.lit(x).cast(k).alias(c) for x, k, c in zip(v, kinds, names)]) for v in cuts]) for cuts in level])
-    rows = groups.select("g", "fp", F.explode(F.element_at(cut, F.col("path") + 1)).alias("v"))
+    kept = [c for c in groups.columns if c not in ("g", "path", "seg", "first", "n")]
+    rows = groups.select("g", *kept, F.explode(F.element_at(cut, F.col("path") + 1)).alias("v"))
     # a collision of this hash only brings a candidate more
-    return rows.select(F.xxhash64("g", "v.bit", F.col("fp").bitwiseAND(F.col("v.keep"))).alias("g"), "fp", "v.seg", "v.first", "v.path")
+    return rows.select(F.xxhash64("g", "v.bit", F.col("fp").bitwiseAND(F.col("v.keep"))).alias("g"), *kept, "v.seg", "v.first", "v.path")
 
 
 def _apart(a, b):
@@ -106,40 +107,43 @@ def _apart(a, b):
 
 
 def _pairs(members: DataFrame, max_bits: int) -> DataFrame:
-    """Links (a, b) between members of a group that are in different components."""
-    one = members.select("g", F.col("fp").alias("a"), F.col("label").alias("label_a"), "seg", "first")
-    other = members.select("g", F.col("fp").alias("b"), F.col("label").alias("label_b"))
+    """Links (a, b) between the components of a group's members, by label."""
+    one = members.select("g", F.col("fp").alias("x"), F.col("label").alias("a"), "seg", "first")
+    other = members.select("g", F.col("fp").alias("y"), F.col("label").alias("b"))
     # equal segments have all their variants equal: the first one counts
-    once = F.col("first") | (F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.col("seg")) != 0)
-    cond = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (_apart("a", "b") <= max_bits) & once
-    return one.join(other, "g").where(cond).select("a", "b").distinct()
+    once = F.col("first") | (F.col("x").bitwiseXOR(F.col("y")).bitwiseAND(F.col("seg")) != 0)
+    return one.join(other, "g").where((F.col("a") < F.col("b")) & (_apart("x", "y") <= max_bits) & once).select("a", "b").distinct()
 
 
-def links(nodes: DataFrame, max_bits: int = 3, small: int = 64, broadcast_rows: int = 500_000) -> DataFrame:
-    """Links (a, b) among the fingerprints (fp) that connect all within ``max_bits`` bits of each other."""
+def _with_groups(index: DataFrame, groups: DataFrame, broadcast_rows: int) -> DataFrame:
+    groups, few = broadcast_if_small(cut_lineage(groups), broadcast_rows)
+    return cut_lineage(index.join(groups, "g") if few else skew_join(index, groups, ["g"]))
+
+
+def classes(nodes: DataFrame, max_bits: int = 3, small: int = 64, broadcast_rows: int = 500_000, task_edges: int = 50_000) -> DataFrame:
+    """(fp, label) of the fingerprints (fp): equal labels for those that links of at most ``max_bits`` bits connect."""
     levels = variants(max_bits)
-    groups = nodes.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("path"), "fp")
-    found = None
+    index = _index(nodes.select(F.lit(0).cast("long").alias("g"), F.lit(0).alias("path"), "fp"), levels[0])
+    live = index.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("hub")).where("n > 1")
+    members = _with_groups(index, live, broadcast_rows)
+    stars = members.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= max_bits)).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    label = components(stars.distinct(), task_edges).withColumnRenamed("node", "fp")
+    label = cut_lineage(nodes.select("fp").join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+
+    members = cut_lineage(skew_join(members.drop("hub", "n"), label, ["fp"]))
+    links = None
     for depth, level in enumerate(levels):
-        index = _index(groups, level)
-        live = index.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("hub")).where("n > 1")
-        live, few = broadcast_if_small(cut_lineage(live), broadcast_rows)
-        members = cut_lineage(index.join(live, "g") if few else skew_join(index, live, ["g"]))
-        stars = members.where((F.col("fp") != F.col("hub")) & (_apart("fp", "hub") <= max_bits)).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-        stars = cut_lineage(stars.distinct())
-        found = stars if found is None else found.union(stars)
-        label = components(found).withColumnRenamed("node", "fp")
-        members = skew_join(members.drop("hub"), label, ["fp"], "left").withColumn("label", F.coalesce("label", "fp"))
-        members = cut_lineage(members)
-        mixed = members.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-        mixed, few = broadcast_if_small(cut_lineage(mixed), broadcast_rows)
-        members = cut_lineage(members.join(mixed, "g") if few else skew_join(members, mixed, ["g"]))
+        mixed = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "n")
+        members = _with_groups(members, mixed, broadcast_rows)
         last = depth + 1 == len(levels)
-        pairs = cut_lineage(_pairs(members if last else members.where(F.col("n") <= small), max_bits))
-        found = found.union(pairs)
-        groups = members.where(F.col("n") > small).select("g", "path", "fp")
-        if last or not groups.limit(1).count():
-            return found
+        found = cut_lineage(_pairs(members if last else members.where(F.col("n") <= small), max_bits))
+        links = found if links is None else links.union(found)
+        large = members.where(F.col("n") > small)
+        if last or not large.limit(1).count():
+            break
+        members = cut_lineage(_index(large, levels[depth + 1]))
+    root = components(links, task_edges).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return skew_join(label, root, ["label"], "left").select("fp", F.coalesce("root", "label").alias("label"))
 
 
 def simhash_components(docs: DataFrame, max_bits: int = 3, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,9 +157,7 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, shingle_words: int =
     """
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words))
     nodes = cut_lineage(rows.groupBy("fp").agg(F.min("__id").alias("rep")))
-    label = components(links(nodes, max_bits))
-    comp = label.withColumnRenamed("node", "fp").join(nodes, "fp")
+    comp = cut_lineage(classes(nodes, max_bits).join(nodes, "fp"))
     comp = skew_join(comp, comp.groupBy("label").agg(F.min("rep").alias("component_id")), ["label"]).select("fp", "component_id")
-    named = nodes.join(comp, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    out = skew_join(rows, cut_lineage(named), ["fp"])
+    out = skew_join(rows, cut_lineage(comp), ["fp"])
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
