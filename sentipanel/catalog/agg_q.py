@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import slug_domain, ts_trading_day_roll
 from ..operators import aggs as A
 from ..operators import panel as P
+from ..plans.fixtures import FIXTURE_SQL
 from . import common as C
 from . import register, cte
 
@@ -14,9 +15,15 @@ POST_ORDER = ["ts", "l_linenumber", "l_partkey", "l_extendedprice", "score", "po
 POST_ORDER_SQL = ", ".join(POST_ORDER)
 
 
+POST_COLS = ["date", "subreddit", "symbol", "score", "weighted"]
+
+
+def _post_rows(fx):
+    return fx.fx_post.withColumn("date", ts_trading_day_roll("ts", 5)).withColumn("weighted", F.col("compound") * F.col("score"))
+
+
 def _posts_last(fx):
-    p = fx.fx_post.withColumn("date", ts_trading_day_roll("ts", 5)).withColumn("weighted", F.col("compound") * F.col("score"))
-    return A.last_non_null_per_key(p, "post_id", ["date", "subreddit", "symbol", "score", "weighted"], POST_ORDER)
+    return A.last_non_null_per_key(_post_rows(fx), "post_id", POST_COLS, POST_ORDER)
 
 
 POSTS_LAST_SQL = cte("fx_post") + f""",
@@ -119,7 +126,7 @@ _MK = ["sp_tradeable_price", "sp_forward_returns_10"]
 
 
 def market_frame(fx):
-    ds = C.dataset(fx, residualise=False)
+    ds = C.dataset_cols(fx, *_MF, *_MK)
     return A.market_features(ds, "dt", _MF, _MK)
 
 
@@ -137,7 +144,7 @@ def q_market_features(fx):
 @register("binned_target", C.DATASET_CTES + """SELECT round(ft_news_10, 2) AS bin, avg(tgt_forward_returns_10) AS mean_target,
   count(*) AS n FROM ds GROUP BY 1 HAVING count(*) > 500""", dbl="bin mean_target")
 def q_binned_target(fx):
-    return A.binned_target(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", 2, 500)
+    return A.binned_target(C.dataset_cols(fx, "ft_news_10", "tgt_forward_returns_10"), "ft_news_10", "tgt_forward_returns_10", 2, 500)
 
 
 @register("histogram", cte("fx_post") + """,
@@ -172,13 +179,13 @@ def q_null_profile(fx):
 @register("conditional_stats", C.DATASET_CTES + """SELECT sum(tgt_forward_returns_10) AS sum_target,
   avg(tgt_forward_returns_10) AS mean_target, count(*) AS n FROM ds WHERE ft_news_10 > 0.5""", dbl="sum_target mean_target")
 def q_conditional_stats(fx):
-    return A.conditional_stats(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", 0.5)
+    return A.conditional_stats(C.dataset_cols(fx, "ft_news_10", "tgt_forward_returns_10"), "ft_news_10", "tgt_forward_returns_10", 0.5)
 
 
 @register("position_share", C.DATASET_CTES + """SELECT symbol, dt, close / nullif(sum(close) OVER (PARTITION BY dt), 0) AS share
 FROM ds""", dbl="share")
 def q_position_share(fx):
-    return A.position_share(C.dataset(fx, residualise=False), "close").select("symbol", "dt", "share")
+    return A.position_share(C.dataset_cols(fx, "close"), "close").select("symbol", "dt", "share")
 
 
 # ---------------------------------------------------------- source panel --
@@ -195,31 +202,67 @@ def q_pivot_sources(fx):
     return P.pivot_sources(days, "subreddit", "avg_sentiment", "ft_comments_", SUBS)
 
 
+# submissions: each order's first line; their comments: all lines
+SUBMISSION = "l_linenumber = 1"
+TOP = {"submissions": 50, "comments": 50, "news": 50}
+
+
 def source_panel(fx):
     from ..plans.source_panel import build_source_panel
-    posts = _posts_last(fx)
-    comments = A.weighted_daily_sentiment(posts, "date", ["symbol", "subreddit"], "weighted", "score")
+    daily = lambda p: A.weighted_daily_sentiment(p, "date", ["symbol", "subreddit"], "weighted", "score")
+    subs = A.last_non_null_per_key(_post_rows(fx).where(SUBMISSION), "post_id", POST_COLS, POST_ORDER)
     news = A.equal_daily_sentiment(_articles_dedup(fx), "date", ["symbol", "domain"], "score")
-    return build_source_panel({"comments": (comments, "subreddit"), "news": (news, "domain")},
-                              {"comments": SUBS, "news": ["src0", "src1", "src2"]}, fx.fx_price, fx.fx_index)
+    return build_source_panel({"submissions": (daily(subs), "subreddit"), "comments": (daily(_posts_last(fx)), "subreddit"), "news": (news, "domain")},
+                              TOP, fx.fx_price, fx.fx_index)
+
 
+def _top_sql(src: str, source: str, kind: str) -> str:
+    return f"SELECT {source} FROM {src} WHERE {source} IS NOT NULL GROUP BY 1 ORDER BY count(DISTINCT date) DESC, {source} LIMIT {TOP[kind]}"
 
-@register("join_source_panel", POSTS_LAST_SQL.rstrip() + ",\n" + ART_SQL.replace("WITH fx_article AS", "fx_article AS") + """,
+
+# every symbol-day's cells of all kinds in long form, the sources taken from the data
+CELLS_SQL = POSTS_LAST_SQL.rstrip() + f""",
+sposts AS (SELECT DISTINCT post_id,
+   {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY post_id ORDER BY {POST_ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS {c}" for c in POST_COLS)}
+   FROM p WHERE post_id IS NOT NULL AND {SUBMISSION}),
+sdays AS (SELECT date, symbol, subreddit, sum(weighted) / nullif(sum(score), 0) AS avg_sentiment FROM sposts GROUP BY 1, 2, 3),
+""" + ART_SQL.replace("WITH fx_article AS", "fx_article AS").rstrip() + f""",
 ndays AS (SELECT date, symbol, domain, sum(score) / count(*) AS avg_sentiment FROM aday GROUP BY 1, 2, 3),
-syms AS (SELECT symbol FROM days UNION SELECT symbol FROM ndays),
-rng AS (SELECT min(d) AS lo, max(d) AS hi FROM (SELECT date AS d FROM days UNION ALL SELECT date FROM ndays)),
+cells AS (
+  SELECT symbol, date AS dt, 'submissions' AS kind, 'ft_submissions_' || subreddit AS c, avg_sentiment AS v FROM sdays WHERE subreddit IN ({_top_sql("sdays", "subreddit", "submissions")})
+  UNION ALL SELECT symbol, date, 'comments', 'ft_comments_' || subreddit, avg_sentiment FROM days WHERE subreddit IN ({_top_sql("days", "subreddit", "comments")})
+  UNION ALL SELECT symbol, date, 'news', 'ft_news_' || domain, avg_sentiment FROM ndays WHERE domain IN ({_top_sql("ndays", "domain", "news")})),
+syms AS (SELECT symbol FROM sdays UNION SELECT symbol FROM days UNION SELECT symbol FROM ndays),
+rng AS (SELECT min(d) AS lo, max(d) AS hi FROM (SELECT date AS d FROM sdays UNION ALL SELECT date FROM days UNION ALL SELECT date FROM ndays)),
 spine AS (SELECT s.symbol, cast(g.d AS date) AS dt FROM syms s, rng, generate_series(rng.lo, rng.hi, INTERVAL 1 DAY) AS g(d)),
-fx_price AS (""" + __import__("sentipanel.plans.fixtures", fromlist=["x"]).FIXTURE_SQL["fx_price"] + """),
-fx_index AS (""" + __import__("sentipanel.plans.fixtures", fromlist=["x"]).FIXTURE_SQL["fx_index"] + """)
-SELECT sp.symbol, sp.dt, """ + ", ".join(f"c_{s}.avg_sentiment AS ft_comments_{s}" for s in SUBS) + ", " +
-    ", ".join(f"n_{s}.avg_sentiment AS ft_news_{s}" for s in ["src0", "src1", "src2"]) + """,
-  p.open, p.close, p.high, p.low, i.sp500_open, i.sp500_close
-FROM spine sp """ + " ".join(
-    f"LEFT JOIN (SELECT * FROM days WHERE subreddit = '{s}') c_{s} ON c_{s}.symbol = sp.symbol AND c_{s}.date = sp.dt" for s in SUBS) + " " + " ".join(
-    f"LEFT JOIN (SELECT * FROM ndays WHERE domain = '{s}') n_{s} ON n_{s}.symbol = sp.symbol AND n_{s}.date = sp.dt" for s in ["src0", "src1", "src2"]) + """
-LEFT JOIN fx_price p ON p.symbol = sp.symbol AND p.dt = sp.dt
-LEFT JOIN fx_index i ON i.dt = sp.dt""",
-    dbl=" ".join([f"ft_comments_{s}" for s in SUBS] + [f"ft_news_{s}" for s in ["src0", "src1", "src2"]] +
-                 ["open", "close", "high", "low", "sp500_open", "sp500_close"]))
+fx_price AS ({FIXTURE_SQL["fx_price"]}),
+fx_index AS ({FIXTURE_SQL["fx_index"]})
+"""
+
+
+@register("join_source_panel", CELLS_SQL + "SELECT symbol, dt, c AS column, v AS value FROM cells WHERE v IS NOT NULL" + "".join(
+    f" UNION ALL SELECT sp.symbol, sp.dt, '{c}', p.{c} FROM spine sp JOIN fx_price p ON p.symbol = sp.symbol AND p.dt = sp.dt WHERE p.{c} IS NOT NULL"
+    for c in ("open", "close", "high", "low")) + "".join(
+    f" UNION ALL SELECT sp.symbol, sp.dt, '{c}', i.{c} FROM spine sp JOIN fx_index i ON i.dt = sp.dt WHERE i.{c} IS NOT NULL" for c in ("sp500_open", "sp500_close")), dbl="value")
 def q_join_source_panel(fx):
-    return source_panel(fx)
+    """The wide panel's cells, stacked: its columns are found in the data, so their names are data too."""
+    from ..plans.source_panel import stacked
+    return stacked(source_panel(fx))
+
+
+KINDS = ("submissions", "comments", "news")
+
+
+@register("group_sources", CELLS_SQL + "SELECT sp.symbol, sp.dt, " + ", ".join(f"coalesce(sum(v) FILTER (kind = '{k}'), 0) AS ft_{k}" for k in KINDS) +
+          " FROM spine sp LEFT JOIN cells c ON c.symbol = sp.symbol AND c.dt = sp.dt GROUP BY 1, 2", dbl=" ".join(f"ft_{k}" for k in KINDS))
+def q_group_sources(fx):
+    from ..plans.dataset import group_source_columns, select_features
+    sp = source_panel(fx)
+    return group_source_columns(sp.fillna(0.0, subset=select_features(sp.columns, "ft_"))).select("symbol", "dt", *[f"ft_{k}" for k in KINDS])
+
+
+@register("row_mean_sources", CELLS_SQL + "SELECT sp.symbol, sp.dt, " + ", ".join(f"avg(v) FILTER (kind = '{k}') AS ft_{k}_mean" for k in KINDS) +
+          " FROM spine sp LEFT JOIN cells c ON c.symbol = sp.symbol AND c.dt = sp.dt GROUP BY 1, 2", dbl=" ".join(f"ft_{k}_mean" for k in KINDS))
+def q_row_mean(fx):
+    sp = source_panel(fx)
+    return sp.select("symbol", "dt", *[A.row_mean([c for c in sp.columns if c.startswith(f"ft_{k}_")]).alias(f"ft_{k}_mean") for k in KINDS])

@@ -10,7 +10,7 @@ VARS = ["tgt_forward_returns_10", "ft_news_10", "ft_comments_10", "ft_submission
 
 
 def _frame(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", *VARS)
+    return C.dataset_cols(fx, *VARS)
 
 
 @register("ci_test_table", None, note="Fisher-z tests on one moments pass; unit-tested vs numpy")

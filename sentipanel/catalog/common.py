@@ -37,8 +37,8 @@ def panel(fx: Fixtures) -> DataFrame:
     return join_panel(spine, wide, fx.fx_price, fx.fx_index, start=SPINE_START, end=SPINE_END)
 
 
-def dataset(fx: Fixtures, residualise: bool = True) -> DataFrame:
-    return build_dataset(panel(fx), target_horizons=[H], lookback_periods=[L], residualise_returns=residualise)
+def dataset(fx: Fixtures, residualise: bool = True, rolled=None) -> DataFrame:
+    return build_dataset(panel(fx), target_horizons=[H], lookback_periods=[L], residualise_returns=residualise, rolled=rolled)
 
 
 # ------------------------------------------------------------- SQL twins ---
@@ -122,4 +122,4 @@ def articles(fx: Fixtures) -> DataFrame:
 
 
 def dataset_cols(fx: Fixtures, *cols: str) -> DataFrame:
-    return dataset(fx, residualise=False).select("symbol", "dt", *cols)
+    return dataset(fx, residualise=False, rolled=cols).select("symbol", "dt", *cols)

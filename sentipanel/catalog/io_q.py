@@ -120,6 +120,16 @@ def q_filter_nonzero(fx):
     return FL.filter_nonzero(fx.fx_post.select("post_id", "l_linenumber", "l_partkey", "compound"), "compound")
 
 
+@register("drop_cols", cte("fx_price") + "SELECT symbol, dt, close FROM fx_price", dbl="close")
+def q_drop_cols(fx):
+    return FL.drop_cols(fx.fx_price, ["open", "high", "low", "volume"])
+
+
+@register("numeric_only", cte("fx_post") + "SELECT * EXCLUDE (symbol, ts, subreddit) FROM fx_post", dbl="pos neu neg compound l_extendedprice")
+def q_numeric_only(fx):
+    return FL.numeric_only(fx.fx_post)
+
+
 @register("fill_zero", C.PANEL_CTES + """
 SELECT symbol, dt, coalesce(news_sentiment, 0) AS news, coalesce(open, 0) AS price FROM panel WHERE close IS NOT NULL""",
           dbl="news price")
@@ -161,8 +171,8 @@ def q_sort_by(fx):
 @register("gbt_fit", None, note="boosted trees (Spark ML); feature importances, rows-only")
 def q_gbt_fit(fx):
     from ..operators import models as M
-    ds = C.dataset(fx, residualise=False)
     feats = ["ft_news_10", "ft_comments_10"]
+    ds = C.dataset_cols(fx, *feats, "tgt_forward_returns_10")
     model = M.gbt_fit(ds.filter(F.col("dt") < F.lit("1999-01-01").cast("date")), feats, "tgt_forward_returns_10", max_iter=300)
     imp = model.featureImportances.toArray().tolist()
     return fx.spark.createDataFrame(list(zip(feats, imp)), "feature string, importance double")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as SC
 from ..operators import panel as P
 from ..operators.filters import filter_nonzero, filter_symbols
-from ..plans.dataset import filter_date_range, group_source_columns, select_features
-from ..plans.fixtures import FIXTURE_SQL
+from ..plans.dataset import filter_date_range
 from . import common as C
 from . import register, cte
 
@@ -25,14 +24,45 @@ def q_asof(fx):
     return P.asof_dimension(fx.fx_price.select("symbol", "dt", "close"), macro, "dt", "month", ["rate", "volume"])
 
 
+@register("asof_macro_filled", cte("fx_price", "fx_macro") + f""", m AS ({MACRO_SQL}),
+mf AS (SELECT month, last_value(rate IGNORE NULLS) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS rate,
+       last_value(volume IGNORE NULLS) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS volume FROM m),
+g AS (SELECT symbol, dt, CASE WHEN day(dt) % 3 = 0 THEN NULL ELSE close END AS close FROM fx_price),
+j AS (SELECT g.*, mf.rate, mf.volume FROM g ASOF LEFT JOIN mf ON g.dt >= mf.month)
+SELECT symbol, dt, {", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY dt, symbol ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("close", "rate", "volume"))} FROM j""",
+          dbl="close rate")
+def q_asof_filled(fx):
+    fx.fx_macro.createOrReplaceTempView("fx_macro")
+    gaps = fx.fx_price.select("symbol", "dt", F.when(F.dayofmonth("dt") % 3 != 0, F.col("close")).alias("close"))
+    return P.merge_macro(gaps, fx.spark.sql(MACRO_SQL), "dt", "month", ["dt", "symbol"], ["rate", "volume"])
+
+
+_SPARSE = "SELECT dt, sp500_open, CASE WHEN day(dt) % 2 = 0 THEN sp500_close END AS sp500_close FROM fx_index WHERE day(dt) % 4 <> 1"
+
+
+@register("asof_backward", cte("fx_price", "fx_index") + f""", s AS ({_SPARSE})
+SELECT p.symbol, p.dt, p.close, s.sp500_open, s.sp500_close FROM fx_price p ASOF LEFT JOIN s ON p.dt >= s.dt""", dbl="close sp500_open sp500_close")
+def q_asof_backward(fx):
+    fx.fx_index.createOrReplaceTempView("fx_index")
+    return P.asof_backward(fx.fx_price.select("symbol", "dt", "close"), fx.spark.sql(_SPARSE), "dt", "dt", ["sp500_open", "sp500_close"])
+
+
+@register("asof_backward_by_key", cte("fx_post", "fx_price") + """, d AS (SELECT symbol, cast(ts AS date) AS dt, avg(compound) AS compound FROM fx_post
+  WHERE subreddit = 'NF' GROUP BY 1, 2)
+SELECT p.symbol, p.dt, p.close, d.compound FROM fx_price p ASOF LEFT JOIN d ON d.symbol = p.symbol AND p.dt >= d.dt""", dbl="close compound")
+def q_asof_backward_key(fx):
+    ch = C.channels(fx)["comments"].select("symbol", "dt", "compound")
+    return P.asof_backward(fx.fx_price.select("symbol", "dt", "close"), ch, "dt", "dt", ["compound"], key="symbol")
+
+
 @register("delayed_join", cte("fx_post", "fx_price") + """, d AS (SELECT symbol, cast(ts AS date) AS dt, avg(compound) AS compound
   FROM fx_post GROUP BY 1, 2)
-SELECT d.symbol, d.dt + 4 AS dt, d.compound, p.close FROM d LEFT JOIN fx_price p ON p.symbol = d.symbol AND p.dt = d.dt + 4""",
+SELECT p.symbol, p.dt, p.close, d.compound FROM fx_price p LEFT JOIN d ON d.symbol = p.symbol AND d.dt + 4 = p.dt""",
           dbl="compound close")
 def q_delayed(fx):
     ch = C.channels(fx)["news"].select("symbol", "dt", "compound")
-    shifted = ch.withColumn("dt", F.date_add("dt", 4))  # sentiment seen 4 days later
-    return P.delayed_join(shifted, fx.fx_price.select("symbol", "dt", "close"), 0).select("symbol", "dt", "compound", "close")
+    # sentiment is seen 4 days later: the prices' side stays, the sentiment moves
+    return P.delayed_join(fx.fx_price.select("symbol", "dt", "close"), ch, 4).select("symbol", "dt", "close", "compound")
 
 
 @register("join_channels_full", C.PANEL_CTES + """
@@ -103,10 +133,10 @@ def q_exact_dedup(fx):
 
 
 @register("symbol_dimension", cte("fx_price") + """, dim AS (SELECT 'S' || lpad(cast(n_nationkey AS string), 2, '0') AS symbol,
-  n_name AS name FROM nation WHERE n_nationkey < 20)
+  n_name AS name FROM nation)
 SELECT p.symbol, p.dt, d.name FROM fx_price p LEFT JOIN dim d ON d.symbol = p.symbol""")
 def q_symbol_dim(fx):
-    dim = fx.table("nation").filter(F.col("n_nationkey") < 20).select(
+    dim = fx.table("nation").select(
         F.concat(F.lit("S"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("symbol"), F.col("n_name").alias("name"))
     return P.symbol_dimension(fx.fx_price.select("symbol", "dt"), dim)
 
@@ -181,23 +211,3 @@ SELECT symbol, dt FROM panel WHERE dt >= DATE '1996-01-01' AND dt <= DATE '1996-
 def q_filter_range(fx):
     p = filter_date_range(C.panel(fx), "1996-01-01", "1996-12-31")
     return filter_nonzero(filter_symbols(p, ["S01", "S05"]), "news_sentiment").select("symbol", "dt")
-
-
-def _src_panel(fx):
-    from .agg_q import source_panel
-    return source_panel(fx)
-
-
-@register("group_sources", None, note="sums of ft_{kind}_* after fill; composition of checked join_source_panel")
-def q_group_sources(fx):
-    sp = _src_panel(fx)
-    fts = select_features(sp.columns, "ft_")
-    return group_source_columns(sp.fillna(0.0, subset=fts)).select("symbol", "dt", "ft_comments", "ft_news")
-
-
-@register("row_mean_sources", None, note="mean of non-null source columns per row; composition of join_source_panel")
-def q_row_mean(fx):
-    from ..operators.aggs import row_mean
-    sp = _src_panel(fx)
-    cols = [c for c in sp.columns if c.startswith("ft_comments_") and not c.endswith("0")]
-    return sp.select("symbol", "dt", row_mean(cols).alias("ft_comments_mean"))

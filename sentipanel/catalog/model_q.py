@@ -34,42 +34,82 @@ coefs AS (SELECT {k}'intercept' AS term, my - b1 * m1 - b2 * m2 AS coef FROM rb
 
 @register("ridge_fit", _ridge_sql(None) + "SELECT * FROM coefs", dbl="coef")
 def q_ridge_fit(fx):
-    return M.ridge_fit(C.dataset(fx, residualise=False), X2, Y, alpha=1.0)
+    return M.ridge_fit(C.dataset_cols(fx, *X2, Y), X2, Y, alpha=1.0)
 
 
-@register("ridge_predict", _ridge_sql(None) + """SELECT symbol, dt,
-  (SELECT coef FROM coefs WHERE term = 'intercept') + (SELECT coef FROM coefs WHERE term = 'ft_news_10') * ft_news_10
-  + (SELECT coef FROM coefs WHERE term = 'ft_comments_10') * ft_comments_10 AS prediction FROM ds""", dbl="prediction")
+@register("ridge_predict", _ridge_sql(None).replace("\nds AS (", "\nds AS MATERIALIZED (") + """,
+b AS MATERIALIZED (SELECT max(coef) FILTER (term = 'intercept') AS b0, max(coef) FILTER (term = 'ft_news_10') AS b1,
+  max(coef) FILTER (term = 'ft_comments_10') AS b2 FROM coefs)
+SELECT symbol, dt, b0 + b1 * ft_news_10 + b2 * ft_comments_10 AS prediction FROM ds, b""", dbl="prediction")
 def q_ridge_predict(fx):
-    ds = C.dataset(fx, residualise=False)
+    ds = C.dataset_cols(fx, *X2, Y)
     return M.ridge_predict(ds, M.ridge_fit(ds, X2, Y, alpha=1.0), X2).select("symbol", "dt", "prediction")
 
 
 @register("coef_summary", _ridge_sql("symbol") + """SELECT term, avg(coef) AS mean, stddev_pop(coef) AS std,
   median(coef) AS median FROM coefs GROUP BY term""", dbl="mean std median")
 def q_coef_summary(fx):
-    return coef_summary(M.ridge_fit(C.dataset(fx, residualise=False), X2, Y, alpha=1.0, key="symbol"), "term", "coef")
+    return coef_summary(M.ridge_fit(C.dataset_cols(fx, *X2, Y), X2, Y, alpha=1.0, key="symbol"), "term", "coef")
 
 
-@register("walk_forward_ridge", None, note="expanding refits; unit-tested against direct numpy refits")
+_WALK_OFFSET = 15
+_WALK_SQL = C.DATASET_CTES + f""",
+z AS (SELECT symbol, dt, ft_news_10 AS x1, ft_comments_10 AS x2, tgt_forward_returns_10 AS y FROM ds),
+dd AS (SELECT dt, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS q11, sum(x2 * x2) AS q22, sum(x1 * x2) AS q12,
+  sum(x1 * y) AS q1y, sum(x2 * y) AS q2y FROM z WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY dt),
+cu AS (SELECT dt, {", ".join(f"sum({c}) OVER p AS {c}" for c in "n s1 s2 sy q11 q22 q12 q1y q2y".split())} FROM dd
+  WINDOW p AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+td AS (SELECT d.dt, max(e.dt) AS t FROM dd d JOIN dd e ON e.dt < d.dt - INTERVAL {_WALK_OFFSET + 1} DAY
+  WHERE d.dt BETWEEN DATE '1998-01-01' AND DATE '2001-12-31' GROUP BY d.dt),
+ce AS (SELECT td.dt, n, s1 / n AS m1, s2 / n AS m2, sy / n AS my, q11 - s1 * s1 / n + 1 AS a11, q22 - s2 * s2 / n + 1 AS a22,
+  q12 - s1 * s2 / n AS a12, q1y - s1 * sy / n AS r1, q2y - s2 * sy / n AS r2 FROM td JOIN cu ON cu.dt = td.t WHERE n > 0),
+be AS (SELECT *, (a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12) AS b1, (a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12) AS b2 FROM ce)
+SELECT z.symbol, z.dt, my - b1 * m1 - b2 * m2 + b1 * x1 + b2 * x2 AS prediction FROM z LEFT JOIN be ON be.dt = z.dt"""
+
+
+@register("walk_forward_ridge", _WALK_SQL, dbl="prediction")
 def q_walk_forward(fx):
-    ds = C.dataset(fx, residualise=False)
-    return M.walk_forward_ridge(ds, X2, Y, "1998-01-01", "2001-12-31", offset=15, alpha=1.0).select(
+    ds = C.dataset_cols(fx, *X2, Y)
+    return M.walk_forward_ridge(ds, X2, Y, "1998-01-01", "2001-12-31", offset=_WALK_OFFSET, alpha=1.0).select(
         "symbol", "dt", "prediction")
 
 
-@register("ablation", None, note="in-sample ridge MSE ratios; unit-tested against numpy")
+X3 = ["ft_news_10", "ft_submissions_10", "ft_comments_10"]
+
+
+def _ablation_sql() -> str:
+    """In-sample ridge errors of every set of up to three features by Cramer's rule."""
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    a = lambda i, j: f"(n * c{min(i, j)}{max(i, j)}" + (" + 1)" if i == j else ")")
+
+    def det(m):
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'+-'[j % 2]} {m[0][j]} * {det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))) + ")"
+    rows = []
+    for name, fts in M.ablation_sets(X3).items():
+        xs = [X3.index(f) for f in fts]
+        m = [[a(i, j) for j in xs] for i in xs]
+        b = {i: f"({det([r[:k] + [f'(n * y{x})'] + r[k + 1:] for r, x in zip(m, xs)])} / {det(m)})" for k, i in enumerate(xs)}
+        sq = " + ".join(f"{b[i]} * {b[j]} * c{min(i, j)}{max(i, j)}" for i in xs for j in xs)
+        cross = " + ".join(f"{b[i]} * y{i}" for i in xs)
+        rows.append(f"SELECT '{name}' AS feature_set, yy - 2 * ({cross}) + {sq} AS mse FROM mo" if xs else f"SELECT '{name}' AS feature_set, yy AS mse FROM mo")
+    moments = ", ".join([f"covar_pop({X3[i]}, {X3[j]}) AS c{i}{j}" for i, j in pairs] + [f"covar_pop({f}, {Y}) AS y{i}" for i, f in enumerate(X3)])
+    return C.DATASET_CTES.replace("\nds AS (", "\nds AS MATERIALIZED (") + f""",
+mo AS MATERIALIZED (SELECT count(*) AS n, var_pop({Y}) AS yy, {moments} FROM ds WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*X3, Y])}),
+er AS MATERIALIZED ({" UNION ALL ".join(rows)})
+SELECT feature_set, mse, (mse - (SELECT mse FROM er WHERE feature_set = 'all')) / nullif((SELECT yy FROM mo) - (SELECT mse FROM er WHERE feature_set = 'all'), 0)
+  AS contribution FROM er"""
+
+
+@register("ablation", _ablation_sql(), dbl="mse contribution")
 def q_ablation(fx):
-    ds = C.dataset(fx, residualise=False)
-    fts = ["ft_news_10", "ft_submissions_10", "ft_comments_10"]
-    sets = {"without-reddit": ["ft_news_10"], "without-news": ["ft_submissions_10", "ft_comments_10"],
-            "all": fts, **{f"only-{f}": [f] for f in fts}}
-    return M.ablation(ds, fts, Y, sets, alpha=1.0)
+    return M.ablation(C.dataset_cols(fx, *X3, Y), X3, Y, alpha=1.0)
 
 
 @register("gbt_fit_predict", None, note="boosted trees (Spark ML); rows-only")
 def q_gbt(fx):
-    ds = C.dataset(fx, residualise=False)
+    ds = C.dataset_cols(fx, *X2, Y)
     train = ds.filter(F.col("dt") < F.lit("1999-01-01").cast("date"))
     test = ds.filter(F.col("dt") >= F.lit("1999-06-01").cast("date"))
     return M.gbt_fit_predict(train, test, X2, Y, max_iter=300).select("symbol", "dt", "prediction")
@@ -79,7 +119,7 @@ def q_gbt(fx):
 UNION ALL SELECT 'test', count(*) FROM ds WHERE dt >= DATE '1999-06-01'""")
 def q_split(fx):
     from ..operators.filters import train_test_split_by_date
-    tr, te = train_test_split_by_date(C.dataset(fx, residualise=False), "1999-01-01", "1999-06-01")
+    tr, te = train_test_split_by_date(C.dataset(fx, residualise=False, rolled=()), "1999-01-01", "1999-06-01")
     return tr.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("train")).unionByName(
         te.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("test")))
 
@@ -156,7 +196,7 @@ def smooth_frame(fx):
     (keeps compounded NAVs in a range where float rounding is stable) and
     forecasts rounded to 9 digits (exact-zero features compare alike)."""
     from pyspark.sql import Window
-    ds = C.dataset(fx, residualise=False)
+    ds = C.dataset_cols(fx, "ft_news", "ft_news_10", "ft_comments_10")
     w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     return ds.select("symbol", "dt", F.round("ft_news_10", 9).alias("ft_news_10"), F.round("ft_comments_10", 9).alias("ft_comments_10"),
                      (F.lit(100.0) * F.exp(F.sum(F.col("ft_news") / 10).over(w))).alias("close"))

@@ -50,49 +50,48 @@ def q_trim(fx):
 @register("tradeable_price", C.DATASET_CTES + "\nSELECT symbol, dt, tradeable_price, sp_tradeable_price FROM fr",
           dbl="tradeable_price sp_tradeable_price")
 def q_tradeable(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", "tradeable_price", "sp_tradeable_price")
+    return C.dataset_cols(fx, "tradeable_price", "sp_tradeable_price")
 
 
 @register("inverse_step_return", C.DATASET_CTES + "\nSELECT symbol, dt, forward_returns_1 FROM fr",
           dbl="forward_returns_1")
 def q_inverse_step(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", "forward_returns_1")
+    return C.dataset_cols(fx, "forward_returns_1")
 
 
 @register("forward_log_return", C.DATASET_CTES + f"\nSELECT symbol, dt, tgt_forward_returns_{H}, sp_forward_returns_{H} FROM ds",
           dbl=f"tgt_forward_returns_{H} sp_forward_returns_{H}")
 def q_forward_log_return(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", f"tgt_forward_returns_{H}", f"sp_forward_returns_{H}")
+    return C.dataset_cols(fx, f"tgt_forward_returns_{H}", f"sp_forward_returns_{H}")
 
 
 @register("forward_volatility", C.DATASET_CTES + f"\nSELECT symbol, dt, vol_tgt_{H} FROM ds", dbl=f"vol_tgt_{H}")
 def q_forward_volatility(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", f"vol_tgt_{H}")
+    return C.dataset_cols(fx, f"vol_tgt_{H}")
 
 
 @register("residual_returns", C.DATASET_CTES + f"\nSELECT symbol, dt, tgt_resid_returns_{H} FROM ds",
           dbl=f"tgt_resid_returns_{H}")
 def q_residual(fx):
-    return C.dataset(fx).select("symbol", "dt", f"tgt_resid_returns_{H}")
+    return C.dataset(fx, rolled=()).select("symbol", "dt", f"tgt_resid_returns_{H}")
 
 
 @register("momentum_feature", C.DATASET_CTES + f"\nSELECT symbol, dt, {', '.join(f'ft_{c}_{L}' for c in FT)} FROM ds",
           dbl=" ".join(f"ft_{c}_{L}" for c in FT))
 def q_momentum(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", *[f"ft_{c}_{L}" for c in FT])
+    return C.dataset_cols(fx, *[f"ft_{c}_{L}" for c in FT])
 
 
 @register("feature_volatility", C.DATASET_CTES + f"\nSELECT symbol, dt, {', '.join(f'vol_ft_{c}_{L}' for c in FT)} FROM ds",
           dbl=" ".join(f"vol_ft_{c}_{L}" for c in FT))
 def q_feature_vol(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", *[f"vol_ft_{c}_{L}" for c in FT])
+    return C.dataset_cols(fx, *[f"vol_ft_{c}_{L}" for c in FT])
 
 
 @register("abs_features", C.DATASET_CTES + "\nSELECT symbol, dt, ft_combined, ft_abs_news, ft_abs_submissions, ft_abs_comments, ft_combined_abs FROM ds",
           dbl="ft_combined ft_abs_news ft_abs_submissions ft_abs_comments ft_combined_abs")
 def q_abs_features(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", "ft_combined", "ft_abs_news", "ft_abs_submissions",
-                                                   "ft_abs_comments", "ft_combined_abs")
+    return C.dataset_cols(fx, "ft_combined", "ft_abs_news", "ft_abs_submissions", "ft_abs_comments", "ft_combined_abs")
 
 
 FLAGSHIP_SQL = C.DATASET_CTES + f"""
@@ -101,4 +100,4 @@ SELECT symbol, corr(ft_news_{L}, tgt_forward_returns_{H}) AS r, count(*) AS n FR
 
 @register("momentum_target_corr", FLAGSHIP_SQL, dbl="r")
 def q_flagship(fx):
-    return corr_by_group(C.dataset(fx, residualise=False), "symbol", f"ft_news_{L}", f"tgt_forward_returns_{H}")
+    return corr_by_group(C.dataset_cols(fx, f"ft_news_{L}", f"tgt_forward_returns_{H}"), "symbol", f"ft_news_{L}", f"tgt_forward_returns_{H}")

@@ -30,8 +30,9 @@ def _inlist(words):
 
 TOK_SQL = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens FROM documents),
 ch AS (SELECT doc_id, g.i // 256 AS chunk, list_slice(tokens, g.i + 1, g.i + 512) AS chunk_tokens
-       FROM tok, generate_series(0, len(tokens) - 1, 256) AS g(i) WHERE len(tokens) > 0),
-ch2 AS (SELECT *, len(chunk_tokens) AS n_tokens FROM ch)"""
+       FROM tok, generate_series(0, len(tokens) - 1, 256) AS g(i) WHERE len(tokens) > 0
+       UNION ALL SELECT doc_id, NULL, NULL FROM tok WHERE coalesce(len(tokens), 0) = 0),
+ch2 AS (SELECT *, coalesce(len(chunk_tokens), 0) AS n_tokens FROM ch)"""
 
 
 def _score_sql(name, pos, neg):
@@ -101,10 +102,9 @@ SELECT a1c.doc_id, (m1_pos + m2_pos) / 2 AS ensemble_pos, (m1_neu + m2_neu) / 2
 FROM a1c JOIN a2c ON a1c.doc_id = a2c.doc_id""",
           dbl="ensemble_pos ensemble_neu ensemble_neg normalised_compound_1 normalised_compound_2 avg_compound normalised_compound")
 def q_ensemble(fx):
-    ch = _chunks(fx)
-    s1 = SC.score_chunks(ch, model_a, model_key="model_a")
-    s2 = SC.score_chunks(ch, model_b, model_key="model_b")
-    return SC.ensemble_score(s1.withColumns(SC.softmax3()), s2.withColumns(SC.softmax3()), "doc_id", k=20.0)
+    d = fx.table("documents").select("doc_id", SC.tokens_col("text").alias("tokens"))
+    scored = SC.score_documents(d, "doc_id", "tokens", {"a": model_a, "b": model_b})
+    return SC.ensemble_score(scored.withColumns(SC.softmax3("a_")).withColumns(SC.softmax3("b_")), "doc_id", ("a", "b"), k=20.0)
 
 
 LEX_SQL = """lex AS (SELECT * FROM (VALUES """ + ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in LEXICON) + """) AS t(word, valence)),

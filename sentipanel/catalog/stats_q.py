@@ -17,12 +17,12 @@ TGTS = ["tgt_forward_returns_10", "tgt_resid_returns_10", "vol_tgt_10"]
   corr(ft_news_10, tgt_forward_returns_10) * sqrt((count(ft_news_10 + tgt_forward_returns_10) - 2)
     / nullif(1 - corr(ft_news_10, tgt_forward_returns_10) ^ 2, 0)) AS t_stat FROM ds GROUP BY symbol""", dbl="r t_stat")
 def q_pearson_r(fx):
-    return S.pearson_stats(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", "symbol")
+    return S.pearson_stats(C.dataset_cols(fx, "ft_news_10", "tgt_forward_returns_10"), "ft_news_10", "tgt_forward_returns_10", "symbol")
 
 
 @register("pearson_test", None, note="p-values need the t tail; unit-tested against known tables")
 def q_pearson_test(fx):
-    return S.pearson_test(C.dataset(fx, residualise=False), "ft_news_10", "tgt_forward_returns_10", "symbol")
+    return S.pearson_test(C.dataset_cols(fx, "ft_news_10", "tgt_forward_returns_10"), "ft_news_10", "tgt_forward_returns_10", "symbol")
 
 
 def _pairs_sql(cols, key=None):
@@ -36,12 +36,12 @@ def _pairs_sql(cols, key=None):
 
 @register("corr_matrix", C.DATASET_CTES + _pairs_sql(FTS + TGTS), dbl="r")
 def q_corr_matrix(fx):
-    return S.corr_matrix(C.dataset(fx), FTS + TGTS)
+    return S.corr_matrix(C.dataset(fx, rolled=FTS), FTS + TGTS)
 
 
 @register("corr_matrix_by_symbol", C.DATASET_CTES + _pairs_sql(FTS[:2] + TGTS[:1], "symbol"), dbl="r")
 def q_corr_matrix_sym(fx):
-    return S.corr_matrix(C.dataset(fx), FTS[:2] + TGTS[:1], "symbol")
+    return S.corr_matrix(C.dataset(fx, rolled=FTS[:2]), FTS[:2] + TGTS[:1], "symbol")
 
 
 _VOL_FTS = ["vol_ft_news_10", "vol_ft_comments_10"]
@@ -51,14 +51,14 @@ _VOL_FTS = ["vol_ft_news_10", "vol_ft_comments_10"]
     f"SELECT '{f}' AS feature, '{t}' AS target, corr({f}, {t}) AS r FROM ds"
     for f, t in [(f, t) for f in FTS + _VOL_FTS for t in TGTS]), dbl="r")
 def q_ft_corr(fx):
-    return S.feature_target_corr(C.dataset(fx), FTS + _VOL_FTS, TGTS)
+    return S.feature_target_corr(C.dataset(fx, rolled=FTS + _VOL_FTS), FTS + _VOL_FTS, TGTS)
 
 
 @register("feature_corr_rank", C.DATASET_CTES + "SELECT * FROM (" + "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, corr({f}, tgt_forward_returns_10) AS r FROM ds" for f in FTS) + ") ORDER BY r DESC, feature",
     dbl="r")
 def q_ft_rank(fx):
-    return S.feature_corr_rank(C.dataset(fx, residualise=False), FTS, "tgt_forward_returns_10")
+    return S.feature_corr_rank(C.dataset_cols(fx, *FTS, "tgt_forward_returns_10"), FTS, "tgt_forward_returns_10")
 
 
 @register("autocorr_by_symbol", cte("fx_event_day") + """, p AS (SELECT symbol, x AS x_t,
@@ -89,15 +89,76 @@ SELECT symbol, term, coef, std_err, coef / std_err AS t_stat, n, r2, 1 - (1 - r2
 
 @register("ols_by_symbol", _OLS_SQL, dbl="coef std_err t_stat r2 adj_r2 f_stat", digits=5)
 def q_ols(fx):
-    return S.ols_by_group(C.dataset(fx, residualise=False), "ft_news", ["ft_submissions", "ft_comments"], "symbol").drop(
+    return S.ols_by_group(C.dataset_cols(fx, "ft_news", "ft_submissions", "ft_comments"), "ft_news", ["ft_submissions", "ft_comments"], "symbol").drop(
         "p_value", "f_p_value")
 
 
 @register("ols_by_symbol_pvalues", None, note="t/F tails; unit-tested")
 def q_ols_p(fx):
-    return S.ols_by_group(C.dataset(fx, residualise=False), "ft_news", ["ft_submissions", "ft_comments"], "symbol")
+    return S.ols_by_group(C.dataset_cols(fx, "ft_news", "ft_submissions", "ft_comments"), "ft_news", ["ft_submissions", "ft_comments"], "symbol")
+
+
+GRANGER_PAIRS = [("ft_news", "ft_submissions"), ("ft_news", "ft_comments"), ("ft_submissions", "ft_news"), ("ft_comments", "ft_news")]
+_CHANNELS = ["ft_news", "ft_submissions", "ft_comments"]
+_GRANGER_COLS = ["symbol", "effect", "cause", "lag", "n", "ssr_r", "ssr_u", "f_stat", "chi2", "lr", "params_f"]
+
+
+def _granger_sql(maxlag: int = 4) -> str:
+    """Sums of squared residuals by elimination: y's lags first, then x's lags, out of y's sum of squares, one CTE a pivot."""
+    sql = C.DATASET_CTES + ", gp AS MATERIALIZED (" + " UNION ALL ".join(
+        f"SELECT symbol, dt, '{y}' AS effect, '{x}' AS cause, {y} AS y0, {x} AS x0 FROM ds WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _CHANNELS)}"
+        for y, x in GRANGER_PAIRS) + "),\ngl AS MATERIALIZED (SELECT *, row_number() OVER w AS rn, " + ", ".join(
+        f"lag({v}0, {j}) OVER w AS {v}{j}" for v in "yx" for j in range(1, maxlag + 1)) + " FROM gp WINDOW w AS (PARTITION BY effect, cause, symbol ORDER BY dt))"
+    done = []
+    for lag in range(1, maxlag + 1):
+        v = [f"y{j}" for j in range(1, lag + 1)] + [f"x{j}" for j in range(1, lag + 1)] + ["y0"]
+        pairs = [(i, j) for i in range(len(v)) for j in range(i, len(v))]
+        sql += f",\ng{lag}_0 AS MATERIALIZED (SELECT symbol, effect, cause, count(*) AS n, " + ", ".join(
+            f"covar_pop({v[i]}, {v[j]}) * count(*) AS m{i}_{j}" for i, j in pairs) + f", NULL::DOUBLE AS ssr_r FROM gl WHERE rn > {lag} GROUP BY ALL)"
+        for k in range(len(v) - 1):
+            left = [(i, j) for i, j in pairs if i > k]
+            last = len(v) - 1
+            keep = f"m{last}_{last} - m{k}_{last} * m{k}_{last} / nullif(m{k}_{k}, 0)" if k == lag - 1 else "ssr_r"
+            sql += f",\ng{lag}_{k + 1} AS MATERIALIZED (SELECT symbol, effect, cause, n, " + ", ".join(
+                f"m{i}_{j} - m{k}_{i} * m{k}_{j} / nullif(m{k}_{k}, 0) AS m{i}_{j}" for i, j in left) + f", {keep} AS ssr_r FROM g{lag}_{k})"
+        last = len(v) - 1
+        done.append(f"SELECT symbol, effect, cause, {lag} AS lag, n, ssr_r, m{last}_{last} AS ssr_u FROM g{lag}_{last} WHERE n > {2 * lag + 1}")
+    return sql + ",\ngs AS (" + " UNION ALL ".join(done) + """)
+SELECT symbol, effect, cause, lag, n, ssr_r, ssr_u, ((ssr_r - ssr_u) / lag) / (ssr_u / (n - 2 * lag - 1)) AS f_stat, n * (ssr_r - ssr_u) / ssr_u AS chi2,
+  n * ln(ssr_r / ssr_u) AS lr, ((ssr_r - ssr_u) / lag) / (ssr_u / (n - 2 * lag - 1)) AS params_f FROM gs"""
+
+
+def _granger(fx):
+    return S.granger_by_group(C.dataset_cols(fx, *_CHANNELS), GRANGER_PAIRS, "symbol", "dt", 4)
+
+
+@register("granger_by_symbol", _granger_sql(), dbl="ssr_r ssr_u f_stat chi2 lr params_f", digits=5)
+def q_granger(fx):
+    return _granger(fx).select(*_GRANGER_COLS)
 
 
-@register("granger_by_symbol", None, note="SSR of up-to-9-regressor models; unit-tested against numpy lstsq")
-def q_granger(fx):
-    return S.granger_by_group(C.dataset(fx, residualise=False), "ft_news", "ft_comments", "symbol", "dt", 4)
+@register("granger_by_symbol_pvalues", None, note="F and chi2 tails; unit-tested against a table")
+def q_granger_p(fx):
+    return _granger(fx)
+
+
+def _simple_ols_sql(y: str, x: str) -> str:
+    return f"""SELECT symbol, '{y}' AS y, '{x}' AS x, regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS slope, regr_intercept({y}, {x}) AS intercept,
+  regr_r2({y}, {x}) AS r2, sqrt(regr_syy({y}, {x}) * (1 - regr_r2({y}, {x})) / (regr_count({y}, {x}) - 2) / nullif(regr_sxx({y}, {x}), 0)) AS slope_se FROM ds GROUP BY symbol"""
+
+
+OLS_FORMS = [("ft_submissions", "ft_news"), ("ft_comments", "ft_news"), ("ft_news", "ft_submissions"), ("ft_news", "ft_comments")]
+
+
+@register("ols_forms_by_symbol", C.DATASET_CTES + " UNION ALL ".join(_simple_ols_sql(y, x) for y, x in OLS_FORMS), dbl="slope intercept r2 slope_se", digits=5)
+def q_ols_forms(fx):
+    """The four one-regressor forms beside the two-regressor one of ``ols_by_symbol``."""
+    ds = C.dataset_cols(fx, *_CHANNELS)
+    out = None
+    for y, x in OLS_FORMS:
+        t = S.ols_by_group(ds, y, [x], "symbol")
+        one = lambda term, c: F.max(F.when(F.col("term") == term, F.col(c)))
+        t = t.groupBy("symbol").agg(F.max("n").alias("n"), one(x, "coef").alias("slope"), one("const", "coef").alias("intercept"), F.max("r2").alias("r2"),
+                                    one(x, "std_err").alias("slope_se")).select("symbol", F.lit(y).alias("y"), F.lit(x).alias("x"), "n", "slope", "intercept", "r2", "slope_se")
+        out = t if out is None else out.unionByName(t)
+    return out

@@ -45,8 +45,7 @@ ART_TAG = cte("fx_article", "fx_terms") + ", src AS (SELECT doc_id, text, '' AS
 
 @register("dictionary_match_join", ART_TAG + "SELECT doc_id, i - 1 AS off, n, ticker FROM mentions")
 def q_mentions(fx):
-    m = T.find_mentions(fx.fx_article, fx.fx_terms, "doc_id", "text",
-                        pieces=T._pieces(fx.fx_article, "doc_id", "text"))
+    m = T.find_mentions(fx.fx_article, fx.fx_terms, "doc_id", "text")
     return m.select(F.col("__doc").alias("doc_id"), F.col("off").cast("bigint").alias("off"),
                     F.col("n").cast("bigint").alias("n"), "ticker")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
+from ..operators.moments import Frame, rolling
 from . import common as C
 from . import register, cte
 
@@ -19,20 +20,20 @@ def _ev(fx):
 @register("rolling_mean", EV + f"""SELECT symbol, dt, CASE WHEN count(x) OVER (w ROWS 6 PRECEDING) >= 3
   THEN avg(x) OVER (w ROWS 6 PRECEDING) END AS m FROM fx_event_day {WIN}""", dbl="m")
 def q_rolling_mean(fx):
-    return _ev(fx).select("symbol", "dt", W.rolling_mean("x", 7, 3).alias("m"))
+    return rolling(_ev(fx), {"m": Frame("mean", "x", 7, 3)}).select("symbol", "dt", "m")
 
 
 @register("rolling_sum", EV + f"""SELECT symbol, dt, coalesce(sum(x) OVER (w ROWS 6 PRECEDING), 0) AS s,
   CASE WHEN count(n) OVER (w ROWS 2 PRECEDING) >= 3 THEN sum(n) OVER (w ROWS 2 PRECEDING) END AS s3
   FROM fx_event_day {WIN}""", dbl="s")
 def q_rolling_sum(fx):
-    return _ev(fx).select("symbol", "dt", W.rolling_sum("x", 7, 0).alias("s"), W.rolling_sum("n", 3).alias("s3"))
+    return rolling(_ev(fx), {"s": Frame("sum", "x", 7, 0), "s3": Frame("sum", "n", 3)}).select("symbol", "dt", "s", "s3")
 
 
 @register("rolling_std", EV + f"""SELECT symbol, dt, CASE WHEN count(x) OVER (w ROWS 6 PRECEDING) >= 2
   THEN stddev_samp(x) OVER (w ROWS 6 PRECEDING) END AS sd FROM fx_event_day {WIN}""", dbl="sd")
 def q_rolling_std(fx):
-    return _ev(fx).select("symbol", "dt", W.rolling_std("x", 7, 2).alias("sd"))
+    return rolling(_ev(fx), {"sd": Frame("std", "x", 7, 2)}).select("symbol", "dt", "sd")
 
 
 @register("momentum_feature_fixed", C.DATASET_CTES + f"""SELECT symbol, dt,
@@ -41,20 +42,20 @@ def q_rolling_std(fx):
   / nullif(CASE WHEN count(ft_news) OVER (w ROWS 364 PRECEDING) >= 20 THEN stddev_samp(ft_news) OVER (w ROWS 364 PRECEDING) END, 0) AS mf
 FROM ds {WIN}""", dbl="mf")
 def q_momentum_fixed(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", W.momentum_feature_fixed("ft_news").alias("mf"))
+    return W.with_momentum_fixed(C.dataset_cols(fx, "ft_news"), "ft_news", "mf").drop("ft_news")
 
 
 @register("rolling_zscore_clip", C.DATASET_CTES + f"""SELECT symbol, dt, CASE WHEN z IS NOT NULL THEN least(greatest(z, 0), 5) END AS z FROM (SELECT symbol, dt,
   (ft_news - avg(ft_news) OVER (w ROWS 364 PRECEDING)) / nullif(stddev_samp(ft_news) OVER (w ROWS 364 PRECEDING), 0) AS z
 FROM ds {WIN})""", dbl="z")
 def q_zscore(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", W.rolling_zscore_clip("ft_news", 365, 0, 5, min_periods=0).alias("z"))
+    return W.with_zscore_clip(C.dataset_cols(fx, "ft_news"), "ft_news", "z", 365, 0, 5, 0).drop("ft_news")
 
 
 @register("detrend", C.DATASET_CTES + f"""SELECT symbol, dt, ft_news - coalesce(avg(ft_news) OVER (w ROWS 89 PRECEDING), 0) AS d
 FROM ds {WIN}""", dbl="d")
 def q_detrend(fx):
-    return C.dataset(fx, residualise=False).select("symbol", "dt", W.detrend("ft_news", 90, 0).alias("d"))
+    return W.with_detrend(C.dataset_cols(fx, "ft_news"), "ft_news", "d", 90, 0).drop("ft_news")
 
 
 @register("calendar_rolling_mean", EV + """SELECT symbol, dt, avg(x) OVER (PARTITION BY symbol ORDER BY dt
@@ -90,7 +91,7 @@ dense AS (SELECT sp.symbol, sp.dt, coalesce(e.n, 0) AS n FROM sp LEFT JOIN fx_ev
 SELECT symbol, dt, n, sum(n) OVER (PARTITION BY symbol ORDER BY dt ROWS 29 PRECEDING) AS n30 FROM dense""")
 def q_reindex(fx):
     d = W.reindex_daily(_ev(fx), ["n"], fill=0)
-    return d.withColumn("n30", W.rolling_sum("n", 30, 0).cast("bigint"))
+    return rolling(d, {"n30": Frame("sum", "n", 30, 0)})
 
 
 @register("consecutive_pairs", EV + f""", p AS (SELECT symbol, dt, x AS x_t, lead(x) OVER w AS x_next FROM fx_event_day {WIN})
@@ -104,8 +105,9 @@ def q_pairs(fx):
     for c in ["ft_news", "ft_submissions", "ft_comments"])} FROM ds {WIN}""",
     dbl="ft_news_r5 ft_submissions_r5 ft_comments_r5")
 def q_multi_rolling(fx):
-    ds = C.dataset(fx, residualise=False)
-    return ds.select("symbol", "dt", *[W.rolling_mean(c, 5, 5).alias(f"{c}_r5") for c in ["ft_news", "ft_submissions", "ft_comments"]])
+    cols = ["ft_news", "ft_submissions", "ft_comments"]
+    ds = C.dataset_cols(fx, *cols)
+    return rolling(ds, {f"{c}_r5": Frame("mean", c, 5, 5) for c in cols}).drop(*cols)
 
 
 @register("downsample", C.DATASET_CTES + """SELECT symbol, dt, ft_news_10, tgt_forward_returns_10 FROM ds

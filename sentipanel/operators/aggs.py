@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div, utc_ms_to_day
+from ..session import cut_lineage
+from .ordered import last_values
+from .panel import bounded_broadcast
 
 SCORE_COLS = ("roberta_pos", "roberta_neu", "roberta_neg", "roberta_compound", "roberta_normalised_compound")
 
@@ -33,15 +36,10 @@ def daily_mean_sentiment(df: DataFrame, scores=SCORE_COLS, key="symbol", day: Co
 def last_non_null_per_key(df: DataFrame, key: str, cols: list[str], order: list[str]) -> DataFrame:
     """pandas ``groupby(key).agg('last')``: per column the last NON-NULL value.
 
-    Deterministic order = ``order`` columns; null keys are dropped.  Implemented
-    with ``max_by(col, order) FILTER (col IS NOT NULL)`` so it is a partial
-    aggregate (skew safe), never a sort of a whole group.
+    Deterministic order = ``order`` columns; null keys are dropped.  The maxima of a fixed-width order key per column are hash
+    aggregates; only the rows that reach one are compared in full (:func:`ordered.last_values`).
     """
-    ordk = F.struct(*[F.col(o) for o in order])
-    aggs = []
-    for c in cols:
-        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordk)).alias(c))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
+    return last_values(df.filter(F.col(key).isNotNull()), [key], cols, order)
 
 
 def weighted_daily_sentiment(df: DataFrame, day: str, keys: list[str], weighted: str, weight: str,
@@ -100,14 +98,52 @@ def histogram(df: DataFrame, c: str, bins: int, group: list[str] | None = None)
               .withColumn("bin_hi", lo + (F.col("bin") + 1) * width))
 
 
+def exact_quantiles(df: DataFrame, c: str, quantiles: list[float], key: str, bins: int = 256) -> DataFrame:
+    """(key, q array): exact quantiles with linear interpolation per key, by counting.
+
+    The order statistics around each quantile start with their key's whole range.  Each round counts the values of a range in
+    equal bins (a hash aggregate of at most ``bins`` rows a range) and narrows it to the least and greatest value of
+    the bin that holds the rank, until both are equal.  No task holds a key's values.  Nulls and NaN are no values.
+    """
+    rows = df.select(key, F.col(c).cast("double").alias("__x")).where("__x is not null and not isnan(__x)")
+    whole = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    at = lambda q: (F.col("__n") - 1) * F.lit(float(q))
+    ranks = F.array(*[f(at(q)).cast("long") for q in quantiles for f in (F.floor, F.ceil)])
+    open_ = whole.select(key, "__n", "lo", "hi", F.posexplode(ranks).alias("i", "rank"))
+    open_ = cut_lineage(open_.select("*", F.col("rank").alias("left")))
+    done = []
+    while True:
+        done.append(open_.where("lo = hi").select(key, "__n", "i", "lo"))
+        open_ = open_.where("lo < hi")
+        if not open_.limit(1).count():
+            break
+        ranges = open_.select(F.col(key).alias("__k"), "lo", "hi").distinct()
+        inside = rows.join(bounded_broadcast(ranges), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__x") >= F.col("lo")) & (F.col("__x") <= F.col("hi")))
+        share = F.when(F.col("hi") - F.col("lo") < float("inf"), (F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(
+            (F.col("__x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        bin_ = F.floor(share * F.lit(bins)).cast("int")
+        counts = inside.groupBy("__k", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), bin_.alias("bin")).agg(
+            F.count(F.lit(1)).alias("m"), F.min("__x").alias("least"), F.max("__x").alias("most"))
+        w = Window.partitionBy("__k", "__lo", "__hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+        hit = (F.col(key).eqNullSafe(F.col("__k")) & (F.col("lo") == F.col("__lo")) & (F.col("hi") == F.col("__hi"))
+               & (F.col("left") >= F.col("before")) & (F.col("left") < F.col("before") + F.col("m")))
+        open_ = cut_lineage(open_.join(counts, hit).select(key, "__n", F.col("least").alias("lo"), F.col("most").alias("hi"), "i", "rank", (F.col("left") - F.col("before")).alias("left")))
+    found = done[0]
+    for d in done[1:]:
+        found = found.unionByName(d)
+    v = found.groupBy(key).agg(F.max("__n").alias("__n"), *[F.max(F.when(F.col("i") == i, F.col("lo"))).alias(f"__v{i}") for i in range(2 * len(quantiles))])
+    part = [at(q) - F.floor(at(q)) for q in quantiles]
+    q = F.array(*[F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * p for i, p in enumerate(part)])
+    return v.select(key, q.alias("q"))
+
+
 def describe_by_symbol(df: DataFrame, c: str, key: str = "symbol") -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation), max per key."""
-    q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(key)
-              .agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                   F.min(c).alias("min"), q.alias("q"), F.max(c).alias("max"))
-              .select(key, "count", "mean", "std", "min", F.col("q")[0].alias("p25"),
-                      F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max"))
+    """count, mean, std, min, quartiles (linear interpolation), max per key; the quartiles are exact and found by counting."""
+    stats = df.groupBy(key).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_quantiles(df, c, [0.25, 0.5, 0.75], key).withColumnRenamed(key, "__key")
+    return stats.join(q, F.col(key).eqNullSafe(F.col("__key")), "left").select(
+        key, "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max")
 
 
 def null_profile(df: DataFrame) -> DataFrame:

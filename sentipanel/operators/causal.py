@@ -1,9 +1,8 @@
 """Causal estimates on the panel.
 
-* ``ci_test_table``: constraint-based skeleton search (PC-style, level by
-  level): ONE Spark moments job gives the correlation matrix; all partial
-  correlation / Fisher-z tests run on that k x k matrix (size set by the
-  number of variables, not the rows).
+* ``ci_test_table``: constraint-based skeleton search, level by level and
+  independent of column order: ONE block Gram gives the correlation matrix; the
+  (pair, conditioning set) tests of a level are made and run in tasks.
 * ``backdoor_effect``: linear-regression adjustment (moments + solve).
 * refuters: replicate r of each row is generated by exploding a bounded
   sequence; random confounders / subsets come from a hash of (row key, r,
@@ -20,64 +19,88 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from . import gram as G
 from . import linalg as LA
 
 
-def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level: int | None = None) -> DataFrame:
-    """Rows (x, y, level, cond, partial_r, z, p_value, independent) for every
-    test PC performs, plus the final skeleton flag ``edge_kept`` per pair.  Levels
-    rise until no pair left has a neighbourhood that large (or to ``max_level``)."""
-    data = df.dropna(subset=cols)
-    mom = LA.moments(data, [], cols)
-    k = len(cols)
-    schema = ("x string, y string, level int, cond string, partial_r double, z double, p_value double, "
-              "independent boolean, edge_kept boolean")
+CI_TESTS = "x string, y string, level int, cond string, partial_r double, z double, p_value double, independent boolean"
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            n, _, C = LA.unpack(pdf.iloc[0], k)
-            sd = np.sqrt(np.diag(C))
-            R = C / np.outer(sd, sd)
-            adj = {i: set(range(k)) - {i} for i in range(k)}
-            tests = []
-            level = 0
-            while max_level is None or level <= max_level:
-                large = False
-                for i, j in itertools.combinations(range(k), 2):
-                    if j not in adj[i]:
-                        continue
-                    others = sorted((adj[i] | adj[j]) - {i, j})
-                    large |= len(others) >= level
-                    for S in itertools.combinations(others, level):
-                        idx = [i, j, *S]
-                        try:
-                            P = np.linalg.inv(R[np.ix_(idx, idx)])
-                        except np.linalg.LinAlgError:
-                            continue
-                        r = -P[0, 1] / math.sqrt(P[0, 0] * P[1, 1])
-                        r = max(min(r, 1 - 1e-15), -1 + 1e-15)
-                        z = 0.5 * math.log((1 + r) / (1 - r)) * math.sqrt(max(n - len(S) - 3, 0))
-                        p = LA.normal_two_sided_p(z)
-                        ind = p > alpha
-                        tests.append([cols[i], cols[j], level, ",".join(cols[s] for s in S), r, z, p, ind])
-                        if ind:
-                            adj[i].discard(j)
-                            adj[j].discard(i)
-                            break
-                if not large:
-                    break
-                level += 1
-            out = pd.DataFrame(tests, columns=["x", "y", "level", "cond", "partial_r", "z", "p_value", "independent"])
-            out["edge_kept"] = [cols.index(b) in adj[cols.index(a)] for a, b in zip(out["x"], out["y"])]
-            yield out
 
-    return mom.mapInPandas(run, schema)
+def _ci_tests(spark, corr: np.ndarray, n: float, names: list[str], sides: list[tuple[int, int, list[int]]], level: int, alpha: float) -> DataFrame:
+    """The level's tests: a row per (pair, conditioning set), the sets of a pair made and tested in tasks.
+
+    A pair's sets are split by their first member, so no task holds all sets of a pair.
+    """
+    parts = [(i, j, at, side) for i, j, side in sides for at in range(max(1, len(side) - level + 1))] if level else [(i, j, 0, []) for i, j, _ in sides]
+    rows = spark.createDataFrame(parts, "i int, j int, at int, side array<int>")
+
+    def run(it):
+        for b in it:
+            out = []
+            for i, j, at, side in zip(*(b.column(c).to_pylist() for c in ("i", "j", "at", "side"))):
+                rest = itertools.combinations(side[at + 1:], level - 1) if level else [()]
+                for tail in rest:
+                    cond = ((side[at],) if level else ()) + tail
+                    idx = [i, j, *cond]
+                    p = np.linalg.pinv(corr[np.ix_(idx, idx)], hermitian=True)
+                    r = -p[0, 1] / math.sqrt(p[0, 0] * p[1, 1]) if p[0, 0] > 0 and p[1, 1] > 0 else 0.0
+                    r = max(min(r, 1 - 1e-15), -1 + 1e-15)
+                    z = math.atanh(r) * math.sqrt(max(n - level - 3, 0))
+                    q = LA.normal_two_sided_p(z)
+                    out.append((names[i], names[j], level, ",".join(names[c] for c in cond), r, z, q, q > alpha))
+            cols = list(zip(*out)) or [[] for _ in range(8)]
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["x", "y", "level", "cond", "partial_r", "z", "p_value", "independent"])
+    return rows.repartition(max(1, min(len(parts), 64)), "i", "j", "at").mapInArrow(run, CI_TESTS)
+
+
+def ci_test_table(df: DataFrame, cols: list[str], alpha: float = 0.05, max_level: int | None = None) -> DataFrame:
+    """Rows (x, y, level, cond, partial_r, z, p_value, independent) for every
+    test of a level-wise skeleton search, plus the final flag ``edge_kept`` per pair.
+
+    The search does not depend on the order of the columns: a level tests every pair that is still adjacent against all sets of
+    that size out of either side's own neighbours, as they were when the level began, and edges go between levels.  Levels rise
+    until no pair has a neighbourhood that large (or to ``max_level``).  x and y, and the members of ``cond``, are in
+    name order.  Only complete rows count; a column that does not vary correlates with nothing.
+    """
+    names = sorted(cols)
+    k, spark = len(names), df.sparkSession
+    g = G.collect_gram(df, names)  # k x k, whatever the number of rows
+    sd = np.sqrt(np.diag(g.cross))
+    both = np.outer(sd, sd)
+    corr = np.where(both > 0, g.cross / np.where(both > 0, both, 1), 0.0)
+    np.fill_diagonal(corr, 1.0)
+    adjacent = {i: set(range(k)) - {i} for i in range(k)}
+    found, level = [], 0
+    while max_level is None or level <= max_level:
+        sides = set()
+        for i, j in itertools.combinations(range(k), 2):
+            if j in adjacent[i]:
+                own = [tuple(sorted(adjacent[a] - {i, j})) for a in (i, j)]
+                sides |= {(i, j, s if level else ()) for s in own if len(s) >= level}
+        if not sides:
+            break
+        tests = _ci_tests(spark, corr, g.n, names, [(i, j, list(s)) for i, j, s in sorted(sides)], level, alpha)
+        tests = cut_lineage(tests.distinct())  # a set that both sides have is tested once
+        found.append(tests)
+        for r in tests.where("independent").select("x", "y").distinct().collect():  # pairs of columns
+            i, j = names.index(r["x"]), names.index(r["y"])
+            adjacent[i].discard(j)
+            adjacent[j].discard(i)
+        level += 1
+    if not found:
+        return spark.createDataFrame([], f"{CI_TESTS}, edge_kept boolean")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    kept = [f"{names[i]}\n{names[j]}" for i, j in itertools.combinations(range(k), 2) if j in adjacent[i]]
+    return out.withColumn("edge_kept", F.concat_ws("\n", "x", "y").isin(kept))
 
 
 def _effect_rows(mom: DataFrame, keys: list[str], k: int, treat_idx: int = 1, conf_level: float = 0.95) -> DataFrame:

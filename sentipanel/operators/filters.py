@@ -28,7 +28,13 @@ def train_test_split_by_date(df: DataFrame, train_end, test_start, day: str = "d
             df.filter(F.col(day) >= F.lit(test_start).cast("date")))
 
 
+def drop_cols(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Without the named columns; names that are not there are passed over."""
+    return df.drop(*cols)
+
+
 def numeric_only(df: DataFrame) -> DataFrame:
+    """Its number columns, in order."""
     keep = [n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
     return df.select(*keep)
 

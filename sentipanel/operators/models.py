@@ -1,20 +1,19 @@
 """Ridge / walk-forward ridge / ablation / boosted trees.
 
-Ridge is solved exactly from moment aggregates (intercept unpenalised, as a
-centred ridge): Spark computes per group the means and co-moments, Python
-solves a (p x p) system per group inside ``applyInPandas``.
+Ridge is solved exactly from block Grams (intercept unpenalised, as a centred ridge): Spark folds the rows of each
+group into one state whose size depends on the number of columns, and a (p x p) system is solved per state.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import bisect
+import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import linalg as LA
-from .panel import bounded_broadcast
+from ..session import cut_lineage
+from . import gram as G
 
 
 def _keys(key):
@@ -22,48 +21,28 @@ def _keys(key):
 
 
 def ridge_fit(df: DataFrame, features: list[str], target: str, alpha: float = 1.0, key=None) -> DataFrame:
-    """Coefficients (keys, term, coef); term 'intercept' + one per feature."""
+    """Coefficients (keys, term, coef); term 'intercept' + one per feature.  Groups without a complete row have none."""
     keys = _keys(key)
-    cols = [target, *features]
-    data = df.dropna(subset=cols)
-    mom = LA.moments(data, keys, cols)
-    if not keys:
-        mom = mom.withColumn("__g", F.lit(0))
-    gkeys = keys or ["__g"]
-    k = len(cols)
-    key_fields = [f for f in mom.schema.fields if f.name in gkeys]
-    schema = T.StructType(key_fields + [T.StructField("term", T.StringType()), T.StructField("coef", T.DoubleType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            n, mean, C = LA.unpack(row, k)
-            res = LA.ols_from_moments(n, mean, C, 0, list(range(1, k)), alpha=alpha)
-            if res is None:
-                continue
-            for term, c in zip(["intercept", *features], res["coef"]):
-                out.append({**{kk: row[kk] for kk in gkeys}, "term": term, "coef": float(c)})
-        return pd.DataFrame(out, columns=schema.fieldNames())
-
-    out = mom.mapInPandas(lambda it: (solve(pdf) for pdf in it), schema)  # one row per group already
-    return out.drop("__g") if not keys else out
+    fits = G.solved(G.gram(df, [target, *features], keys), keys, len(features) + 1, alpha)
+    terms = F.array(*[F.lit(t) for t in ["intercept", *features]])
+    pairs = F.explode(F.arrays_zip(terms.alias("term"), F.col("b").alias("coef"))).alias("x")
+    return fits.select(*keys, pairs).select(*keys, F.col("x.term").alias("term"), F.col("x.coef").alias("coef"))
+
+
+def _linear(b: Column, features: list[str]) -> Column:
+    pred = b[0]
+    for i, f in enumerate(features, start=1):
+        pred = pred + b[i] * F.col(f)
+    return pred
 
 
 def ridge_predict(df: DataFrame, coefs: DataFrame, features: list[str], key=None, out: str = "prediction") -> DataFrame:
-    """prediction = intercept + sum(coef * feature).  Coefficients are pivoted to
-    one row per key (p+1 values) and joined; without a key it is a 1-row frame."""
+    """prediction = intercept + sum(coef * feature).  The coefficients of a key become one array, joined; without a key it is
+    one scalar subquery."""
     keys = _keys(key)
-    wide = coefs.groupBy(*keys).agg(*[F.max(F.when(F.col("term") == t, F.col("coef"))).alias(f"__b_{i}")
-                                      for i, t in enumerate(["intercept", *features])])
-    pred = F.col("__b_0")
-    for i, f in enumerate(features, start=1):
-        pred = pred + F.col(f"__b_{i}") * F.col(f)
-    if keys:
-        j = df.join(wide, keys, "left")
-    else:
-        # a single coefficient row: read each value as a scalar subquery (no join)
-        j = df.withColumns({f"__b_{i}": wide.select(f"__b_{i}").scalar() for i in range(len(features) + 1)})
-    return j.withColumn(out, pred).drop(*[f"__b_{i}" for i in range(len(features) + 1)])
+    wide = coefs.groupBy(*keys).agg(F.array(*[F.max(F.when(F.col("term") == t, F.col("coef"))) for t in ["intercept", *features]]).alias("__b"))
+    j = df.join(wide, keys, "left") if keys else df.withColumn("__b", wide.scalar())
+    return j.withColumn(out, _linear(F.col("__b"), features)).drop("__b")
 
 
 def walk_forward_ridge(df: DataFrame, features: list[str], target: str, start, end, offset: int = 10,
@@ -75,108 +54,50 @@ def walk_forward_ridge(df: DataFrame, features: list[str], target: str, start, e
     cutoff; training rows are those with dt < t_d.  Days without training rows
     keep NULL.
 
-    Plan: (1) per-day raw moment sums of the shifted variables (shift = global
-    means, for conditioning); (2) long form (day, entry, value) and a running
-    sum per entry over days -- partitioned by matrix entry, so the prefix is
-    spread over (p+1)(p+2)/2 tasks and never one window over everything; (3)
-    per prediction day an as-of lookup of t_d, solve in ``applyInPandas`` per
-    day; (4) predictions as a join of per-day coefficients.
+    Plan: the panel is checkpointed once; the prefix Grams before the t_d come from one pass
+    over the rows in day order (:func:`gram.prefix_grams`); each is solved in its own row, and predictions are a join
+    of per-day coefficient arrays.  Only the calendar of distinct days visits the driver.
     """
     cols = [target, *features]
-    # the input (a symbol x day panel) is read by several aggregates below:
-    # keep it once (memory, spilling to disk; lost blocks are recomputed)
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    data = df.dropna(subset=cols)
-    # global means as scalar subqueries (merged into one aggregate job by the optimizer)
-    mus = [data.select(F.avg(c)).scalar() for c in cols]
-    sh = data
-    z = [F.col(c) - mus[i] for i, c in enumerate(cols)]
-    k = len(cols)
-    entries = []
-    sums = [F.count(F.lit(1)).alias("e_n")]
-    for i in range(k):
-        sums.append(F.sum(z[i]).alias(f"e_s{i}"))
-        for j in range(i, k):
-            sums.append(F.sum(z[i] * z[j]).alias(f"e_q{i}_{j}"))
-    per_day = sh.groupBy(day).agg(*sums)
-    names = [c for c in per_day.columns if c.startswith("e_")]
-    long = per_day.select(day, F.explode(F.array(*[F.struct(F.lit(n).alias("entry"), F.col(n).cast("double").alias("v"))
-                                                   for n in names])).alias("e")).select(day, "e.entry", "e.v")
-    w = Window.partitionBy("entry").orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    cum = long.withColumn("cum", F.coalesce(F.sum("v").over(w), F.lit(0.0)))  # sums over days < this day
-
-    dates = data.select(day).distinct()
-    pred_days = dates.filter((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) <= F.lit(end).cast("date")))
-    # t_d = last data date strictly before the cutoff: as-of lookup by ordering
-    # cutoffs and data dates together (the calendar of distinct dates only,
-    # a few thousand rows; a cutoff sorts before an equal data date)
-    cand = dates.select(F.col(day).alias("__v"), F.lit(1).alias("__tag"), F.col(day).alias("__td"),
-                        F.lit(None).cast("date").alias(day))
-    cuts = pred_days.select(F.date_sub(F.col(day), offset + 1).alias("__v"), F.lit(0).alias("__tag"),
-                            F.lit(None).cast("date").alias("__td"), F.col(day))
-    wa = Window.orderBy("__v", "__tag").rowsBetween(Window.unboundedPreceding, 0)
-    td = (cand.unionByName(cuts).withColumn("__td", F.last("__td", ignorenulls=True).over(wa))
-              .filter(F.col("__tag") == 0).select(day, "__td").filter(F.col("__td").isNotNull()))
-    gram = td.join(cum.withColumnRenamed(day, "__td"), ["__td"], "inner").groupBy(day).agg(
-        F.map_from_entries(F.collect_list(F.struct("entry", "cum"))).alias("g"))
-    schema = T.StructType([T.StructField(day, T.DateType()), T.StructField("b", T.ArrayType(T.DoubleType()))])
-    gram = gram.withColumn("mu", F.array(*[m.cast("double") for m in mus]))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            g = row["g"]
-            n = g.get("e_n", 0.0)
-            if not n or n < 1:
-                continue
-            s = np.array([g[f"e_s{i}"] for i in range(k)])
-            Q = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    Q[i, j] = Q[j, i] = g[f"e_q{i}_{j}"]
-            mean_z = s / n
-            C = Q / n - np.outer(mean_z, mean_z)
-            mu = np.array(row["mu"]) + mean_z
-            res = LA.ols_from_moments(n, mu, C, 0, list(range(1, k)), alpha=alpha)
-            if res is None:
-                continue
-            out.append({day: row[day], "b": [float(x) for x in res["coef"]]})
-        return pd.DataFrame(out, columns=[day, "b"])
-
-    coefs = gram.select(day, "g", "mu").mapInPandas(lambda it: (solve(pdf) for pdf in it), schema)  # one row per day
-    pred = F.col("b")[0]
-    for i, f in enumerate(features, start=1):
-        pred = pred + F.col("b")[i] * F.col(f)
-    return df.join(coefs, [day], "left").withColumn(out, pred).drop("b")
-
-
-def ablation(df: DataFrame, features: list[str], target: str, sets: dict[str, list[str]], alpha: float = 1.0) -> DataFrame:
-    """(mse_reduced - mse_full) / (mse_mean - mse_full) per named feature set,
-    in-sample ridge fits; ONE moments pass, all sub-models solved from it."""
-    cols = [target, *features]
-    data = df.dropna(subset=cols)
-    mom = LA.moments(data, [], cols).withColumn("__g", F.lit(0))
-    k = len(cols)
-    names = list(sets)
-    idx = {f: i + 1 for i, f in enumerate(features)}
-    schema = "feature_set string, mse double, contribution double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        n, mean, C = LA.unpack(row, k)
-        full = LA.ols_from_moments(n, mean, C, 0, list(range(1, k)), alpha=alpha)
-        best = full["ssr"] / n
-        worst = n * C[0, 0] / n
-        out = []
-        for name in names:
-            r = LA.ols_from_moments(n, mean, C, 0, [idx[f] for f in sets[name]], alpha=alpha)
-            mse = r["ssr"] / n
-            out.append({"feature_set": name, "mse": mse,
-                        "contribution": (mse - best) / (worst - best) if worst != best else np.nan})
-        return pd.DataFrame(out, columns=["feature_set", "mse", "contribution"])
-
-    return mom.groupBy("__g").applyInPandas(solve, schema)
+    df = cut_lineage(df)
+    dates = sorted(r[0] for r in df.dropna(subset=cols).select(F.col(day).cast("date").alias("d")).distinct().collect() if r[0] is not None)
+    lo, hi = (datetime.date.fromisoformat(str(x)[:10]) for x in (start, end))
+    last = {}
+    for d in dates:
+        at = bisect.bisect_left(dates, d - datetime.timedelta(days=offset + 1))
+        if lo <= d <= hi and at > 0:
+            last[d] = dates[at - 1]
+    if not last:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    fits = G.solved(G.prefix_grams(df, cols, day, sorted(set(last.values()))), [day], len(cols), alpha).withColumnRenamed(day, "__td")
+    when = df.sparkSession.createDataFrame(sorted(last.items()), "__d date, __td date")
+    fits = when.join(fits, "__td").select("__d", F.col("b").alias("__b"))
+    return df.join(fits, F.col(day).cast("date") == F.col("__d"), "left").withColumn(out, _linear(F.col("__b"), features)).drop("__b", "__d")
+
+
+def ablation_sets(features: list[str], kinds=("news", "submissions", "comments"), prefix: str = "ft_") -> dict[str, list[str]]:
+    """The feature sets of the ablation study: whole kinds left out, every single feature left out, and every
+    submissions feature left out with its comments twin."""
+    of = {k: [f for f in features if f.startswith(prefix + k)] for k in kinds}
+    news, subs, comm = (of[k] for k in kinds)
+    sets = {"without-reddit": news, "without-reddit-submissions": comm + news, "without-reddit-comments": subs + news,
+            "without-news": subs + comm, "all": news + subs + comm}
+    sets |= {f"without:{f}": [x for x in features if x != f] for f in features}
+    twin = lambda f: f.replace(kinds[1], kinds[2], 1)
+    return sets | {f"without-both:{f}": [x for x in features if x not in (f, twin(f))] for f in subs}
+
+
+def ablation(df: DataFrame, features: list[str], target: str, sets: dict[str, list[str]] | None = None, alpha: float = 1.0) -> DataFrame:
+    """(feature_set, mse, contribution): contribution is (mse_reduced - mse_full) / (mse_mean - mse_full) per named feature set,
+    in-sample ridge fits.  ONE Gram pass; every set is a row that solves its own part of it.  An empty set predicts the mean."""
+    sets = ablation_sets(features) if sets is None else sets
+    g = G.collect_gram(df, [target, *features])
+    at = {f: i + 1 for i, f in enumerate(features)}
+    if not g.n:
+        return df.sparkSession.createDataFrame([], "feature_set string, mse double, contribution double")
+    best, worst = g.ridge(0, list(at.values()), alpha)[1] / g.n, float(g.cross[0, 0]) / g.n
+    errors = G.subset_errors(g, [(name, [at[f] for f in fs]) for name, fs in sets.items()], df.sparkSession, alpha)
+    return errors.withColumn("contribution", F.try_divide(F.col("mse") - F.lit(best), F.lit(worst - best)))
 
 
 def gbt_fit(train: DataFrame, features: list[str], target: str, max_iter: int = 300, step: float = 0.1,

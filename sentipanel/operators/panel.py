@@ -79,7 +79,7 @@ def join_panel(spine: DataFrame, channels: dict[str, DataFrame] | DataFrame, pri
         if start is not None and end is not None:
             s_, e_ = _as_date(start), _as_date(end)
             idx = (idx.filter(F.col(day).between(F.lit(s_), F.lit(e_)))
-                      .groupBy(day).agg(F.first("sp500_open").alias("sp500_open"), F.first("sp500_close").alias("sp500_close")))
+                      .groupBy(day).agg(*[F.max_by(c, F.struct("sp500_open", "sp500_close")).alias(c) for c in ("sp500_open", "sp500_close")]))
             out = out.join(bounded_broadcast(idx, known_bound=(e_ - s_).days + 1), [day], "left")
         else:
             out = out.join(bounded_broadcast(idx), [day], "left")
@@ -92,8 +92,8 @@ def _as_date(d):
 
 def pivot_sources(long: DataFrame, source: str, value: str, prefix: str, sources: list[str],
                   keys=("symbol", "dt")) -> DataFrame:
-    """One pivot with explicit values (no extra job to discover them)."""
-    wide = long.groupBy(*keys).pivot(source, sources).agg(F.first(value))
+    """One pivot with explicit values (no extra job to discover them); of repeated cells the greatest value."""
+    wide = long.groupBy(*keys).pivot(source, sources).agg(F.max(value))
     return wide.select(*keys, *[F.col(f"`{s}`").alias(f"{prefix}{s}") for s in sources])
 
 
@@ -123,30 +123,26 @@ def delayed_join(left: DataFrame, right: DataFrame, days: int, keys=("symbol",),
 
 
 def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str, right_cols: list[str],
-                  key: str | None = None) -> DataFrame:
-    """Backward as-of join: each left row gets the latest right row with
-    right_on <= left_on.
-
-    Exact for any sizes: union both sides into one frame ordered by the time
-    key, carry the right values forward with ``last(ignorenulls)`` and keep the
-    left rows.  With ``key`` the carry runs per key; without one it runs per
-    month bucket of the time column after seeding each bucket with the
-    previous bucket's last right row, so no window spans the whole table.
+                  key: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Backward as-of join: each left row gets the latest right row with right_on <= left_on, and with the same ``key`` if one is given.
+
+    Both sides are range-partitioned together by (key, time), so no window spans a table or a key: every partition carries the
+    last right row on, and the last right rows of the partitions before it fill its head (:func:`ordered.carry`).  Of right rows of equal time
+    the greatest by ``right_cols`` counts.  Left rows with a null time or key, or without an earlier right row, get nulls.
     """
+    from .ordered import carry
     lcols = left.columns
-    L = left.select(*[F.col(c) for c in lcols], F.col(left_on).alias("__t"), F.lit(1).alias("__side"),
-                    *[F.lit(None).cast(t).alias(f"__r_{c}") for c, t in right.select(*right_cols).dtypes])
-    R = right.select(*[F.lit(None).cast(t).alias(c) for c, t in left.dtypes],
-                     F.col(right_on).alias("__t"), F.lit(0).alias("__side"),
-                     *[F.col(c).alias(f"__r_{c}") for c in right_cols])
-    if key is not None:
-        R = R.withColumn(key, right[key]) if key in right.columns else R
-    u = L.unionByName(R)
-    part = [key] if key else []
-    w = Window.partitionBy(*part).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = u.select(*lcols, "__side",
-                       *[F.last(f"__r_{c}", ignorenulls=True).over(w).alias(c) for c in right_cols])
-    return carried.filter(F.col("__side") == 1).drop("__side")
+    k = [key] if key else []
+    clash = {f"__r_{c}": t for c, t in right.select(*right_cols).dtypes}
+    one = left.select(*lcols, F.col(left_on).alias("__t"), F.lit(1).alias("__side"), *[F.lit(None).cast(t).alias(c) for c, t in clash.items()])
+    two = right.where(F.col(right_on).isNotNull()).select(
+        *[F.col(c).cast(t).alias(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in left.dtypes],
+        F.col(right_on).alias("__t"), F.lit(0).alias("__side"), *[F.col(c).alias(f"__r_{c}") for c in right_cols])
+    order = [*k, "__t", "__side", *clash]
+    known = F.col("__t").isNotNull() & (F.col(key).isNotNull() if key else F.lit(True))
+    both = carry(one.where(known).unionByName(two), order, list(clash), since=F.col("__side") == 0, keys=k, partitions=partitions)
+    out = both.where("__side = 1").unionByName(one.where(~known))
+    return out.select(*lcols, *[F.col(f"__r_{c}").alias(c) for c in right_cols])
 
 
 def asof_dimension(left: DataFrame, dim: DataFrame, left_on: str, dim_on: str, cols: list[str],
@@ -156,7 +152,7 @@ def asof_dimension(left: DataFrame, dim: DataFrame, left_on: str, dim_on: str, c
 
     The dimension becomes validity ranges [from, next from); each range is
     exploded to the calendar buckets (months) it overlaps and the left side is
-    equi-joined on its own bucket, then filtered to its range.  Left rows after
+    left-joined on its own bucket and range, read once.  Left rows after
     the last dimension date use the last range (bucket clamped to the last
     bucket, read as a scalar subquery); rows before the first date get NULLs.
     The dimension is a few hundred rows (one per month) and is broadcast only
@@ -169,19 +165,19 @@ def asof_dimension(left: DataFrame, dim: DataFrame, left_on: str, dim_on: str, c
                         *[F.last(c, ignorenulls=True).over(wf).alias(c) for c in cols])
     last_from = F.trunc(F.coalesce(F.date_sub(F.col("__to"), 1), F.col("__from")), bucket)
     ranges = ranges.select("*", F.explode(F.sequence(F.trunc("__from", bucket), last_from,
-                                                     F.expr("INTERVAL 1 MONTH"))).alias("__b"))
-    max_b = ranges.select(F.max("__b")).scalar()
+                                                     F.expr("INTERVAL 1 MONTH"))).alias("__bucket"))
+    max_b = ranges.select(F.max("__bucket")).scalar()
     l2 = left.withColumn("__b", F.least(F.trunc(F.col(left_on), bucket), max_b))
-    # ranges tile [first date, +inf) without overlap: each left row on or after
-    # the first dimension date matches exactly one range; earlier rows none
-    j = l2.join(bounded_broadcast(ranges), ["__b"], "inner")
-    ok = (F.col(left_on) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(left_on) < F.col("__to")))
-    lcols = left.columns
-    matched = j.filter(ok).select(*lcols, *cols)
-    first = dim.select(F.min(dim_on)).scalar()
-    unmatched = left.filter(F.col(left_on).isNull() | (F.col(left_on) < first)).select(
-        *lcols, *[F.lit(None).cast(t).alias(c) for c, t in dim.select(*cols).dtypes])
-    return matched.unionByName(unmatched)
+    # ranges tile [first date, +inf) without overlap: a left row matches at most one
+    ok = (F.col("__b") == F.col("__bucket")) & (F.col(left_on) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(left_on) < F.col("__to")))
+    return l2.join(bounded_broadcast(ranges), ok, "left").select(*left.columns, *cols)
+
+
+def merge_macro(left: DataFrame, macro: DataFrame, left_on: str, macro_on: str, order: list[str], cols: list[str]) -> DataFrame:
+    """The as-of join with the macro figures, then every column filled forward in ``order`` (a total order that starts with the day)."""
+    from .ordered import carry
+    joined = asof_dimension(left, macro, left_on, macro_on, cols)
+    return carry(joined, order, [c for c in joined.columns if c not in order])
 
 
 def top_child_join(posts: DataFrame, comments: DataFrame, post_key: str, child_key: str, score: str,
@@ -213,11 +209,9 @@ def exact_dedup(df: DataFrame) -> DataFrame:
 
 
 def dedup_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the last row per key under a deterministic order (partial agg, skew safe)."""
-    others = [c for c in df.columns if c not in keys]
-    ordk = F.struct(*[F.col(o) for o in order], *[F.col(c) for c in others if c not in order])
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in others]), ordk).alias("__r"))
-              .select(*keys, *[F.col(f"__r.{c}").alias(c) for c in others]))
+    """Keep the last row per key under ``order``, ties by the other columns; null keys are keys.  See :func:`ordered.last_rows`."""
+    from .ordered import last_rows
+    return last_rows(df, keys, [*order, *[c for c in df.columns if c not in (*keys, *order)]])
 
 
 def join_post_meta(comments: DataFrame, posts: DataFrame, post_key: str = "post_id",

@@ -3,10 +3,11 @@
 * ``chunk_tokens``: overlapping windows (starts 0, stride, 2*stride, ... while
   start < n; each at most ``size`` tokens) as a higher-order array expression
   + posexplode -- no Python.
-* ``score_chunks``: the only per-row Python in the library.  An iterator
-  ``mapInPandas`` feeds Arrow batches of chunks to a model built ONCE per
-  Python worker (factory result cached in the worker process), returning
-  three class scores [neg, neu, pos] per chunk.
+* ``score_chunks``: an Arrow iterator feeds batches of chunks to a model
+  built ONCE per Python worker (factory result cached in the worker process),
+  returning three class scores [neg, neu, pos] per chunk and no tokens.
+* ``score_documents``: chunks cut inside the iterator and scored by several
+  models in one pass.
 * ``aggregate_chunks``: token-length-weighted means per document (a grouped
   aggregate), then compound scores.
 """
@@ -16,9 +17,10 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import normalised_compound, word_array
 from .panel import bounded_broadcast
@@ -33,13 +35,14 @@ def tokens_col(text: str) -> Column:
 
 
 def chunk_tokens(df: DataFrame, doc: str, tokens: str, size: int = 512, stride: int = 256) -> DataFrame:
-    """(doc, chunk, tokens, n_tokens): windows tokens[i : i+size] for i = 0, stride, ..."""
+    """(doc, chunk, tokens, n_tokens): windows tokens[i : i+size] for i = 0, stride, ...  A document without tokens has one row, with
+    null chunk and tokens and 0 tokens."""
     assert size > 0 and stride > 0
     n = F.size(tokens)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda i: F.slice(F.col(tokens), i + 1, F.lit(size)))
-    return (df.select(doc, F.posexplode(windows).alias("chunk", "chunk_tokens"))
-              .withColumn("n_tokens", F.size("chunk_tokens")))
+    return (df.select(doc, F.posexplode_outer(windows).alias("chunk", "chunk_tokens"))
+              .withColumn("n_tokens", F.when(F.col("chunk").isNull(), F.lit(0)).otherwise(F.size("chunk_tokens"))))
 
 
 class WordListModel:
@@ -68,25 +71,73 @@ class WordListModel:
 _MODEL_CACHE: dict = {}
 
 
+def _model(key: str, factory: Callable[[], Callable]) -> Callable:
+    """The worker's model of this key, built once."""
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = factory()
+    return _MODEL_CACHE[key]
+
+
+def _score_arrays(scores: np.ndarray) -> list[pa.Array]:
+    return [pa.array(scores[:, j], mask=np.isnan(scores[:, j])) for j in range(len(CLASSES))]
+
+
 def score_chunks(chunks: DataFrame, model_factory: Callable[[], Callable], tokens: str = "chunk_tokens",
                  prefix: str = "s_", model_key: str | None = None) -> DataFrame:
-    """Append {prefix}neg/neu/pos by running the model on Arrow batches."""
+    """The chunks without their tokens and with {prefix}neg/neu/pos, the model run on Arrow batches.  Chunks without tokens have
+    null scores."""
     key = model_key or repr(model_factory)
-    schema = chunks.schema
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields] +
-                           [f"{prefix}{c} double" for c in CLASSES])
+    kept = [f for f in chunks.schema.fields if f.name != tokens]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *[T.StructField(f"{prefix}{c}", T.DoubleType()) for c in CLASSES]])
 
     def run(batches):
-        model = _MODEL_CACHE.get(key)
-        if model is None:
-            model = _MODEL_CACHE[key] = model_factory()
-        for pdf in batches:
-            scores = model(list(pdf[tokens])) if len(pdf) else np.zeros((0, 3))
-            for j, c in enumerate(CLASSES):
-                pdf[f"{prefix}{c}"] = scores[:, j] if len(pdf) else pd.Series(dtype="float64")
-            yield pdf
+        model = _model(key, model_factory)
+        for b in batches:
+            scores = np.asarray(model(b.column(tokens).to_pylist()), dtype=float).reshape(-1, len(CLASSES))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], *_score_arrays(scores)], schema.fieldNames())
+
+    return chunks.mapInArrow(run, schema)
+
 
-    return chunks.mapInPandas(run, out_schema)
+def score_documents(df: DataFrame, doc: str, tokens: str, models: dict[str, Callable[[], Callable]], size: int = 512, stride: int = 256,
+                    batch: int = 256) -> DataFrame:
+    """(doc, chunk, n_tokens, {model}_neg, _neu, _pos): every chunk scored by every model in one pass.
+
+    Chunks are cut inside the Arrow iterator and fed to all models, ``batch`` at a time; only ids and scores come back.  A
+    document without tokens has one row with null chunk and scores.
+    """
+    assert size > 0 and stride > 0
+    kind = df.schema[doc].dataType
+    cols = [f"{m}_{c}" for m in models for c in CLASSES]
+    schema = T.StructType([T.StructField(doc, kind), T.StructField("chunk", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in cols]])
+
+    def run(batches):
+        ready = {m: _model(f"{m}:{f!r}", f) for m, f in models.items()}
+
+        def scored(rows, ids):
+            """rows: (place in the batch, chunk or none, its tokens)"""
+            real = [t for _, _, t in rows if t]
+            out = []
+            for m in ready.values():
+                s = np.full((len(rows), len(CLASSES)), np.nan)
+                if real:
+                    s[[i for i, r in enumerate(rows) if r[2]]] = np.asarray(m(real), dtype=float)
+                out += _score_arrays(s)
+            at = pa.array([r[0] for r in rows], pa.int64())
+            return pa.RecordBatch.from_arrays([ids.take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(r[2]) for r in rows], pa.int32()), *out], schema.fieldNames())
+        for b in batches:
+            rows = []
+            for i, t in enumerate(b.column(tokens)):
+                words = t.as_py() or []
+                rows += [(i, k, words[at:at + size]) for k, at in enumerate(range(0, len(words), stride))] or [(i, None, [])]
+                while len(rows) >= batch:
+                    yield scored(rows[:batch], b.column(doc))
+                    rows = rows[batch:]
+            if rows:
+                yield scored(rows, b.column(doc))
+    return df.select(doc, tokens).mapInArrow(run, schema)
 
 
 def softmax3(prefix: str = "s_") -> dict[str, Column]:
@@ -109,22 +160,17 @@ def aggregate_chunks(scored: DataFrame, doc: str, prefix: str = "s_", k: float =
     return agg.withColumn(f"{out}compound", comp).withColumn(f"{out}normalised_compound", normalised_compound(comp, k))
 
 
-def ensemble_score(s1: DataFrame, s2: DataFrame, doc: str, k: float = 20.0) -> DataFrame:
-    """Two models' chunk scores (joined on doc, chunk): per-model weighted means,
-    each normalised compound, their 3:2 blend and the compound of the sums."""
-    a = aggregate_chunks(s1, doc, "s_", k, "m1_")
-    b = aggregate_chunks(s2, doc, "s_", k, "m2_")
-    j = a.join(b, [doc], "inner")
-    comp = F.col("m1_pos") + F.col("m2_pos") - F.col("m1_neg") - F.col("m2_neg")
-    return j.select(
-        doc,
-        ((F.col("m1_pos") + F.col("m2_pos")) / 2).alias("ensemble_pos"),
-        ((F.col("m1_neu") + F.col("m2_neu")) / 2).alias("ensemble_neu"),
-        ((F.col("m1_neg") + F.col("m2_neg")) / 2).alias("ensemble_neg"),
-        F.col("m1_normalised_compound").alias("normalised_compound_1"),
-        F.col("m2_normalised_compound").alias("normalised_compound_2"),
-        ((F.col("m1_normalised_compound") * 3 + F.col("m2_normalised_compound") * 2) / 5).alias("avg_compound"),
-        normalised_compound(comp, k).alias("normalised_compound"))
+def ensemble_score(scored: DataFrame, doc: str, models: tuple[str, str], k: float = 20.0) -> DataFrame:
+    """Two models' chunk scores ({model}_neg, _neu, _pos per chunk, n_tokens): per-model weighted means in one aggregate,
+    each normalised compound, their 3:2 blend and the compound of the sums.  A document without tokens has nulls."""
+    w = F.col("n_tokens").cast("double")
+    mean = lambda m, c: F.try_divide(F.sum(F.col(f"{m}_{c}") * w), F.sum(w))
+    j = scored.groupBy(doc).agg(*[mean(m, c).alias(f"m{i}_{c}") for i, m in enumerate(models, 1) for c in CLASSES])
+    one = lambda i: normalised_compound(F.col(f"m{i}_pos") - F.col(f"m{i}_neg"), k)
+    both = F.col("m1_pos") + F.col("m2_pos") - F.col("m1_neg") - F.col("m2_neg")
+    return j.select(doc, *[((F.col(f"m1_{c}") + F.col(f"m2_{c}")) / 2).alias(f"ensemble_{c}") for c in ("pos", "neu", "neg")],
+                    one(1).alias("normalised_compound_1"), one(2).alias("normalised_compound_2"),
+                    ((one(1) * 3 + one(2) * 2) / 5).alias("avg_compound"), normalised_compound(both, k).alias("normalised_compound"))
 
 
 def lexicon_score(df: DataFrame, doc: str, text: str, lexicon: DataFrame, alpha: float = 15.0,

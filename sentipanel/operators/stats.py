@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import gram as G
 from . import linalg as LA
 from .windows import consecutive_pairs
 
@@ -44,19 +47,13 @@ def pearson_test(df: DataFrame, x: str, y: str, key=None) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str], key=None) -> DataFrame:
-    """Pairwise-complete Pearson r of every pair (long form: a, b, r)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.groupBy(*_keys(key)).agg(*[F.corr(a, b).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', `__r{i}`" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(*_keys(key), f"stack({len(pairs)}, {stack}) AS (a, b, r)")
+    """Pairwise-complete Pearson r of every pair (long form: a, b, r), from one block Gram however many columns there are."""
+    return G.pair_corr(df, cols, cols, _keys(key), upper=True)
 
 
 def feature_target_corr(df: DataFrame, features: list[str], targets: list[str], key=None) -> DataFrame:
     """r of every (feature, target) pair, long form."""
-    pairs = [(f, t) for f in features for t in targets]
-    wide = df.groupBy(*_keys(key)).agg(*[F.corr(f, t).alias(f"__r{i}") for i, (f, t) in enumerate(pairs)])
-    stack = ", ".join(f"'{f}', '{t}', `__r{i}`" for i, (f, t) in enumerate(pairs))
-    return wide.selectExpr(*_keys(key), f"stack({len(pairs)}, {stack}) AS (feature, target, r)")
+    return G.pair_corr(df, features, targets, _keys(key), names=("feature", "target"))
 
 
 def feature_corr_rank(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -93,7 +90,8 @@ def ols_by_group(df: DataFrame, y: str, xs: list[str], key=None, dropna: bool =
         for _, row in pdf.iterrows():
             n, mean, C = LA.unpack(row, k)
             res = LA.ols_from_moments(n, mean, C, 0, list(range(1, k)))
-            if res is None:
+            if res is None:  # collinear regressors: the group keeps its rows, without estimates
+                rows += [{**{kk: row[kk] for kk in keys}, "term": term, "n": int(n)} for term in terms]
                 continue
             p = len(xs)
             dfr = res["df_resid"]
@@ -116,58 +114,80 @@ def ols_by_group(df: DataFrame, y: str, xs: list[str], key=None, dropna: bool =
 
 # ----------------------------------------------------------- Granger ----
 
-def granger_by_group(df: DataFrame, y: str, x: str, key="symbol", order: str = "dt", maxlag: int = 4) -> DataFrame:
-    """Does x Granger-cause y?  For each lag L = 1..maxlag: restricted y ~ const +
-    y lags; unrestricted adds x lags; rows = complete rows after dropping the first
-    L (row lags after ``dropna``).  Returns F (ssr), chi2, LR and params-F tests.
+GRANGER = [("lag", T.IntegerType()), ("n", T.LongType()), ("ssr_r", T.DoubleType()), ("ssr_u", T.DoubleType()),
+           ("f_stat", T.DoubleType()), ("f_p_value", T.DoubleType()), ("chi2", T.DoubleType()), ("chi2_p_value", T.DoubleType()),
+           ("lr", T.DoubleType()), ("lr_p_value", T.DoubleType()), ("params_f", T.DoubleType()), ("params_f_p_value", T.DoubleType())]
 
-    One Spark pass builds all lag columns (windows per key) and one aggregate
-    builds the moments of every lag model (conditional aggregates per L).
+
+def pivots(cross: np.ndarray) -> np.ndarray:
+    """Squared diagonal of the Cholesky factor: what is left of each variable's sum of squares after the ones before it.  NaN from
+    the first variable on that the ones before it determine."""
+    m, out = cross.copy(), np.full(len(cross), np.nan)
+    for k in range(len(m)):
+        if m[k, k] <= 1e-11 * cross[k, k] or cross[k, k] <= 0:
+            break
+        out[k] = m[k, k]
+        m[k + 1:, k + 1:] -= np.outer(m[k + 1:, k], m[k, k + 1:]) / m[k, k]
+    return out
+
+
+def lag_grams(x: np.ndarray, maxlag: int) -> list[G.Gram]:
+    """By lag L = 1..maxlag the moments of the rows after the first L, columns (lag, channel), lag 0 first.
+
+    The rows after ``maxlag`` are one lag-stacked matrix; a smaller L takes its block and adds the rows between.
+    """
+    n, k = x.shape
+    stack = lambda lo, hi, lags: np.column_stack([x[lo - j:hi - j] for j in range(lags + 1)])
+    common = G.Gram.of(stack(maxlag, n, maxlag)) if n > maxlag else None
+    out = []
+    for lag in range(1, maxlag + 1):
+        size = k * (lag + 1)
+        own = G.Gram.of(stack(lag, min(maxlag, n), lag) if min(maxlag, n) > lag else np.empty((0, size)))
+        out.append(own if common is None else G.Gram(common.n, common.mean[:size], common.cross[:size, :size]).merge(own))
+    return out
+
+
+def granger_by_group(df: DataFrame, pairs: list[tuple[str, str]], key="symbol", order: str = "dt", maxlag: int = 4) -> DataFrame:
+    """For every (effect, cause) of ``pairs``: does the cause Granger-cause the effect?  For each lag L = 1..maxlag: restricted effect ~ const +
+    its lags; unrestricted adds the cause's lags; rows = complete rows (in all columns named) after dropping the first
+    L (row lags).  Returns F (ssr), chi2, LR and params-F tests per (key, effect, cause, lag).
+
+    A series is read once; all pairs and lags are sub-blocks of one moment matrix.  With the effect ordered after its own lags and
+    the cause's lags, the last pivots of two Cholesky factors are the sums of squared residuals.  Lags that leave too few rows have no row; collinear
+    ones have null statistics.
     """
     keys = _keys(key)
-    base = df.select(*keys, order, y, x).dropna(subset=[y, x])
-    w = Window.partitionBy(*keys).orderBy(order)
-    lagcols = {}
-    for j in range(1, maxlag + 1):
-        lagcols[f"__y{j}"] = F.lag(y, j).over(w)
-        lagcols[f"__x{j}"] = F.lag(x, j).over(w)
-    data = base.withColumns({"__rn": F.row_number().over(w), **lagcols})
-    allv = [y] + [f"__y{j}" for j in range(1, maxlag + 1)] + [f"__x{j}" for j in range(1, maxlag + 1)]
-    # one copy of each row per lag model it belongs to (rows after the first L),
-    # then ONE moments aggregate grouped by (keys, lag)
-    rows = data.withColumn("lag", F.explode(F.sequence(F.lit(1), F.least(F.col("__rn") - 1, F.lit(maxlag)))))
-    rows = rows.filter(F.col("__rn") > F.col("lag"))
-    mom = LA.moments(rows, [*keys, "lag"], allv)
-    key_fields = [f for f in mom.schema.fields if f.name in keys]
-    schema = T.StructType(key_fields + [T.StructField(n, t) for n, t in [
-        ("lag", T.IntegerType()), ("n", T.LongType()), ("ssr_r", T.DoubleType()), ("ssr_u", T.DoubleType()),
-        ("f_stat", T.DoubleType()), ("f_p_value", T.DoubleType()), ("chi2", T.DoubleType()), ("chi2_p_value", T.DoubleType()),
-        ("lr", T.DoubleType()), ("lr_p_value", T.DoubleType()), ("params_f", T.DoubleType()), ("params_f_p_value", T.DoubleType())]])
-    K = len(allv)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                L = int(row["lag"])
-                n, mean, C = LA.unpack(row, K)
-                if n <= 2 * L + 1:
-                    continue
-                ylags = list(range(1, L + 1))
-                xlags = list(range(1 + maxlag, 1 + maxlag + L))
-                r = LA.ols_from_moments(n, mean, C, 0, ylags)
-                u = LA.ols_from_moments(n, mean, C, 0, ylags + xlags)
-                if r is None or u is None or u["ssr"] <= 0:
-                    continue
-                dfd = n - 2 * L - 1
-                f = ((r["ssr"] - u["ssr"]) / L) / (u["ssr"] / dfd)
-                chi2 = n * (r["ssr"] - u["ssr"]) / u["ssr"]
-                lr = n * np.log(r["ssr"] / u["ssr"])
-                out.append({**{kk: row[kk] for kk in keys}, "lag": L, "n": int(n), "ssr_r": r["ssr"], "ssr_u": u["ssr"],
-                            "f_stat": f, "f_p_value": LA.f_sf(f, L, dfd), "chi2": chi2, "chi2_p_value": LA.chi2_sf(chi2, L),
-                            "lr": lr, "lr_p_value": LA.chi2_sf(lr, L), "params_f": f, "params_f_p_value": LA.f_sf(f, L, dfd)})
-            yield pd.DataFrame(out, columns=schema.fieldNames())
-
-
-    # one row per (key, lag) already: solve partition-wise, no extra shuffle
-    return mom.mapInPandas(solve, schema)
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    data = df.select(*keys, order, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    key_fields = [f for f in data.schema.fields if f.name in keys]
+    names = [f.name for f in key_fields]
+    schema = T.StructType([*key_fields, T.StructField("effect", T.StringType()), T.StructField("cause", T.StringType()), *[T.StructField(c, t) for c, t in GRANGER]])
+    at = [(y, x, cols.index(y), cols.index(x)) for y, x in pairs]
+    k = len(cols)
+
+    def one_series(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        x = np.column_stack([np.asarray(table[c]) for c in cols])
+        own = {c: table[c][0].as_py() for c in names}
+        rows = []
+        for lag, g in enumerate(lag_grams(x, maxlag), 1):
+            if g.n <= 2 * lag + 1:
+                continue
+            for y, c, iy, ix in at:
+                ylags, xlags = [j * k + iy for j in range(1, lag + 1)], [j * k + ix for j in range(1, lag + 1)]
+                last = lambda v: pivots(g.cross[np.ix_(v, v)])[-1]
+                rows.append(own | {"effect": y, "cause": c} | _granger(int(g.n), lag, last([*ylags, iy]), last([*ylags, *xlags, iy])))
+        return pa.Table.from_pylist(rows, schema=arrow)
+    arrow = to_arrow_schema(schema)
+    return data.groupBy(*keys).applyInArrow(one_series, schema)
+
+
+def _granger(n: int, lag: int, ssr_r: float, ssr_u: float) -> dict:
+    out = {"lag": lag, "n": n, "ssr_r": ssr_r, "ssr_u": ssr_u}
+    if np.isfinite(ssr_r) and np.isfinite(ssr_u):
+        free = n - 2 * lag - 1
+        f = (ssr_r - ssr_u) / lag / (ssr_u / free)
+        chi2, lr = n * (ssr_r - ssr_u) / ssr_u, n * np.log(ssr_r / ssr_u)
+        p = LA.f_sf(f, lag, free)
+        out |= {"f_stat": f, "f_p_value": p, "chi2": chi2, "chi2_p_value": LA.chi2_sf(chi2, lag), "lr": lr, "lr_p_value": LA.chi2_sf(lr, lag), "params_f": f, "params_f_p_value": p}
+    return {c: None if isinstance(v, float) and not np.isfinite(v) else v for c, v in out.items()}

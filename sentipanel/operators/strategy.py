@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
+from .windows import running_product
 
 
 def drawdown_col(nav: str, key: str = "strategy", day: str = "dt"):
@@ -26,7 +27,7 @@ def rebase_col(c: str, key: str = "strategy", day: str = "dt", base: float = 100
 def strategy_metrics(nav: DataFrame, key: str = "strategy", day: str = "dt", value: str = "nav") -> DataFrame:
     """total return, CAGR (365-day years), Sharpe (daily, x sqrt(252)), max drawdown, CAGR / |max drawdown|."""
     w = Window.partitionBy(key).orderBy(day)
-    d = nav.withColumns({"__ret": F.col(value) / F.lag(value).over(w) - 1, "__dd": drawdown_col(value, key, day)})
+    d = nav.withColumns({"__ret": safe_div(F.col(value), F.lag(value).over(w)) - 1, "__dd": drawdown_col(value, key, day)})
     agg = d.groupBy(key).agg(
         F.min_by(value, day).alias("__first"), F.max_by(value, day).alias("__last"),
         F.min(day).alias("__d0"), F.max(day).alias("__d1"),
@@ -55,8 +56,8 @@ def signal_weighted_nav(df: DataFrame, signal: str = "signal", price: str = "clo
     wk = Window.partitionBy(key).orderBy(day)
     # the return earned over (t, t+1] is booked on t+1
     daily = daily.withColumn("ret", F.coalesce(F.lag("ret").over(wk), F.lit(0.0)))
-    nav = F.lit(base) * F.exp(F.sum(F.log1p(F.col("ret"))).over(wk.rowsBetween(Window.unboundedPreceding, 0)))
-    return daily.withColumn("nav", nav)
+    nav = running_product(1 + F.col("ret"), wk.rowsBetween(Window.unboundedPreceding, 0))
+    return daily.withColumn("nav", nav * F.lit(base))
 
 
 def threshold_sweep(df: DataFrame, forecasts: list[str], thresholds: list[float], price: str = "close",

@@ -8,25 +8,21 @@ Rule (what the reference computes):
   joins that ticker); a cut happens only when the ticker changes and emits the
   text so far, even when empty; the last piece is emitted only if non-empty.
 
-Spark plan (no per-character loops, no substring on long strings):
-1. split every text after each start character -> pieces; every valid mention
-   start is a piece start, and every segment is a run of whole pieces;
-2. key = piece prefix up to the first end character; equi-join with the term
-   table on the same key of each term (term table broadcast behind a checked
-   row bound), then verify the term against the piece and its next pieces;
-3. matches -> boundaries with lag over (doc, pos, length);
-4. pieces + boundaries in one per-document order; each piece takes the last
-   boundary before it; segments = ordered concatenation of their pieces.
-Rows are tagged one by one: the caller's id need not be unique.  A row is named
-by (id, digest of its text, running number among equal rows), so equal ids
-with other texts never meet in a window and even one id for a third of all
-rows is spread by its texts.  Whole rows are shuffled once on (id, digest);
-pieces are made after that shuffle and every window re-uses it.
+Spark plan, row by row and without an exchange of texts:
+1. a text is split after each start character into pieces (every mention starts a piece, every segment is a run of whole pieces), and
+   one regex pass gives every piece's key, its prefix up to the first end character;
+2. the term table, within a checked row bound, is a constant: an array of hash buckets of (length, term, ticker).  A key's bucket is
+   one array access; its terms are verified against the piece and the pieces after it;
+3. a match whose ticker differs from the match before it is a boundary; segments are joined slices of the pieces.
+Everything is built-in array functions on the row itself, so ids may repeat, rows of any number may share an id, and a hot id
+gathers nowhere.  A term table beyond the bound is joined instead (:func:`_tag_by_join`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .panel import bounded_broadcast
@@ -35,6 +31,8 @@ START_CHARS = " \t\n\"("
 END_CHARS = " \t\n\"):?!."
 _SPLIT_RE = r'(?<=[ \t\n"(])'
 _KEY_RE = r'^[^ \t\n"):?!.]*'
+_KEYS_RE = r'((?:^|(?<=[ \t\n"(]))[^ \t\n"():?!.]*\(?)'  # the same at every piece: "(" ends a piece and belongs to its key
+INDEX_ROWS = 100_000  # terms that are kept as a constant of the plan
 _END_CLASS = '[ \t\n"):?!.]'
 
 
@@ -86,6 +84,73 @@ def _max_start_chars(terms: DataFrame) -> int:
     return int(v or 0)
 
 
+class TermIndex:
+    """A bounded term table as hash buckets: ``bucket(key)`` is the array of its (n, term, ticker), shortest first."""
+
+    def __init__(self, rows: list):
+        size = 1 << max(4, (2 * len(rows)).bit_length())
+        buckets = [[] for _ in range(size)]
+        for r in sorted(rows, key=lambda r: (r["n"], r["ticker"], r["term"])):
+            buckets[r["h"] % size].append({"n": r["n"], "term": r["term"], "ticker": r["ticker"]})
+        self.size = size
+        # folded to one literal when the plan is optimised
+        self.buckets = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<n:int,term:string,ticker:string>>>")
+        self.reach = max((sum(c in START_CHARS for c in r["term"]) for r in rows), default=0) + 2  # pieces that a term and the character after it can span
+
+    @classmethod
+    def of(cls, terms: DataFrame, max_rows: int = INDEX_ROWS) -> "TermIndex | None":
+        """The index, or none if there are more terms than the bound."""
+        rows = terms.select("term", "ticker", F.length("term").alias("n"), F.xxhash64(F.regexp_extract("term", _KEY_RE, 0)).alias("h")).where(
+            "term is not null and ticker is not null").limit(max_rows + 1).collect()
+        return cls(rows) if len(rows) <= max_rows else None
+
+    def bucket(self, key: Column) -> Column:
+        return F.element_at(self.buckets, (F.pmod(F.xxhash64(key), F.lit(self.size)) + 1).cast("int"))
+
+
+def settled(df: DataFrame, **new: Column) -> DataFrame:
+    """``df`` with new columns that are computed once a row.  An expression that later appears in a lambda might be moved into it and run for
+    every element of an array; nothing moves below a generator, so the new row is a generated one."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[c.alias(name) for name, c in new.items()])
+    return df.select(F.explode(F.array(row)).alias("__row")).select("__row.*")
+
+
+def with_matches(df: DataFrame, index: TermIndex, text: str) -> DataFrame:
+    """``df`` with ``__pieces`` of the text and ``__m``, its matches (pos, n, ticker) by piece and length."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = settled(df, __pieces=F.split(whole, _SPLIT_RE), __keys=F.regexp_extract_all(whole, F.lit(_KEYS_RE)))
+    hits = F.filter(F.transform("__keys", lambda k, i: F.when(F.size(index.bucket(k)) > 0, i)), lambda i: i.isNotNull())
+    df = df.withColumn("__hits", hits)
+    near = F.transform("__hits", lambda i: F.struct(i.alias("pos"), F.element_at(F.col("__keys"), i + 1).alias("key"),
+                                                    F.array_join(F.slice("__pieces", i + 1, index.reach), "").alias("ctx")))
+    df = df.withColumn("__hits", near)
+
+    def verified(h):
+        after = lambda c: F.substring(h["ctx"], c["n"] + 1, F.lit(1))
+        fits = F.filter(index.bucket(h["key"]), lambda c: F.startswith(h["ctx"], c["term"]) & ((after(c) == "") | F.lit(END_CHARS).contains(after(c))))
+        return F.transform(fits, lambda c: F.struct(h["pos"].alias("pos"), c["n"].alias("n"), c["ticker"].alias("ticker")))
+    return settled(df.withColumn("__m", F.flatten(F.transform("__hits", verified))).drop("__keys", "__hits"))
+
+
+def with_segments(df: DataFrame, index: TermIndex, text: str, start: Column | None = None) -> DataFrame:
+    """``df`` with ``__m`` and ``__segs``, the text's segments (ticker, text) in order from the start ticker."""
+    df = with_matches(df, index, text)
+    m = F.col("__m")
+    first = F.get(m, F.lit(0))["ticker"]
+    init = F.coalesce(F.nullif(start, F.lit("")), first, F.lit("")) if start is not None else F.coalesce(first, F.lit(""))
+    df = settled(df, __init=init)
+    before = lambda j: F.when(j == 0, F.col("__init")).otherwise(F.get(m, j - 1)["ticker"])
+    df = settled(df, __cuts=F.filter("__m", lambda x, j: x["ticker"] != before(j)))
+    cut = F.col("__cuts")
+    begin = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(cut, j - 1)["pos"])
+    end = lambda j: F.coalesce(F.get(cut, j)["pos"], F.size("__pieces"))
+    owners = F.concat(F.array("__init"), F.col("__cuts.ticker"))
+    segs = F.transform(owners, lambda t, j: F.struct(t.alias("ticker"), F.array_join(F.slice("__pieces", begin(j) + 1, end(j) - begin(j)), "").alias("text")))
+    df = settled(df, __segs=segs).drop("__init", "__cuts")
+    empty = F.element_at("__segs", -1)["text"] == ""
+    return df.withColumn("__segs", F.when(empty, F.slice("__segs", 1, F.size("__segs") - 1)).otherwise(F.col("__segs")))
+
+
 def _pieces(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, pos, off, piece): pieces after start characters with code-point offsets."""
     p = docs.select(F.col(doc).alias("__doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), _SPLIT_RE)).alias("pos", "piece"))
@@ -93,11 +158,25 @@ def _pieces(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return p.withColumn("off", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)))
 
 
-def find_mentions(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text",
-                  pieces: DataFrame | None = None) -> DataFrame:
-    """(doc, pos, off, n, ticker): every valid mention of every term."""
+def find_mentions(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", max_rows: int = INDEX_ROWS) -> DataFrame:
+    """(doc, pos, off, n, ticker): every valid mention of every term; ``pos`` counts pieces, ``off`` characters."""
+    index = TermIndex.of(terms, max_rows)
+    if index is None:
+        return _mentions_by_join(docs, terms, doc, text)
+    df = with_matches(docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")), index, "__text")
+    # characters from one match to the next; their running sum is over matches, not over the text
+    since = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.get(F.col("__m"), j - 1)["pos"])
+    gaps = F.transform("__m", lambda x, j: F.length(F.array_join(F.slice("__pieces", since(j) + 1, x["pos"] - since(j)), "")).cast("long"))
+    df = settled(df.where(F.size("__m") > 0), __gaps=gaps)
+    off = lambda j: F.aggregate(F.slice("__gaps", 1, j + 1), F.lit(0).cast("long"), lambda a, g: a + g)
+    df = df.select("__doc", F.explode(F.transform("__m", lambda x, j: F.struct(x["pos"].alias("pos"), off(j).alias("off"), x["n"].alias("n"), x["ticker"].alias("ticker")))).alias("x"))
+    return df.select("__doc", "x.*")
+
+
+def _mentions_by_join(docs: DataFrame, terms: DataFrame, doc: str, text: str) -> DataFrame:
+    """:func:`find_mentions` for a term table of any size."""
     k = _max_start_chars(terms) + 2
-    pieces = pieces if pieces is not None else _pieces(docs, doc, text)
+    pieces = _pieces(docs, doc, text)
     w = Window.partitionBy("__doc").orderBy("pos")
     ctx = F.concat(F.col("piece"), *[F.coalesce(F.lead("piece", j).over(w), F.lit("")) for j in range(1, k)])
     cand = pieces.withColumn("ctx", ctx).withColumn("key", F.regexp_extract("piece", _KEY_RE, 0))
@@ -111,19 +190,26 @@ def find_mentions(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text:
 
 
 def tag_segments(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text",
-                 start: str | None = None) -> DataFrame:
+                 start: str | None = None, max_rows: int = INDEX_ROWS) -> DataFrame:
     """Cut each text at every ticker change.
 
     Output: (doc, seg, ticker, text) with ``seg`` the 0-based segment order.
     ``start`` names a column holding the start ticker ('' or NULL = none).
 
-    Ids may repeat: every row gets its own segments.
-
-    One pass: one shuffle of whole rows by (id, digest) -> pieces -> LEFT join
-    with the broadcast term table (keeps every piece) -> one window per row
-    ordered by (piece, match length) marks boundaries and segment ids ->
-    aggregate per (row, segment), which re-uses the partitioning (no further
-    shuffle).
+    Ids may repeat: every row gets its own segments.  With at most ``max_rows`` terms nothing is exchanged.
+    """
+    index = TermIndex.of(terms, max_rows)
+    if index is None:
+        return _tag_by_join(docs, terms, doc, text, start)
+    df = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text"), (F.col(start) if start else F.lit("")).alias("__start"))
+    df = with_segments(df, index, "__text", F.col("__start")).select("__doc", F.posexplode("__segs").alias("seg", "s"))
+    return df.select(F.col("__doc").alias(doc), F.col("seg").cast("bigint").alias("seg"), "s.ticker", "s.text")
+
+
+def _tag_by_join(docs: DataFrame, terms: DataFrame, doc: str, text: str, start: str | None) -> DataFrame:
+    """:func:`tag_segments` for a term table of any size: one shuffle of whole rows by (id, digest, running number among
+    equal rows) -> pieces -> LEFT join with the terms (keeps every piece) -> one window per row ordered by (piece, match
+    length) marks boundaries and segment ids -> aggregate per (row, segment), which re-uses the partitioning.
     """
     k = _max_start_chars(terms) + 2
     st = F.coalesce(F.col(start), F.lit("")) if start else F.lit("")

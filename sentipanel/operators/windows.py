@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import _c, safe_div
+from .moments import Frame, rolling
 
 UNB_P = Window.unboundedPreceding
 UNB_F = Window.unboundedFollowing
@@ -97,8 +98,7 @@ def _guard(value: Column, c: str, w, min_periods: int) -> Column:
 
 
 def _rolling(kind: str, c: str, n: int, min_periods: int, key, order) -> Column:
-    """Plain sliding frame at every length: each frame's own one-pass moments, so a large offset or a
-    constant stretch loses no digits.  Costs rows x n; n is a fixed parameter, not a share of the data."""
+    """Plain sliding frame, for short n inside a larger select: costs rows x n.  ``moments.rolling`` costs the same at every n."""
     w = series_window(key, order).rowsBetween(-(n - 1), 0)
     agg = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp}[kind](c).over(w)
     return _guard(agg, c, w, min_periods)
@@ -145,6 +145,26 @@ def rolling_zscore_clip(c: str, n: int = 365, lo: float = 0.0, hi: float = 5.0,
     return F.when(z.isNull(), z).otherwise(F.least(F.greatest(z, F.lit(lo)), F.lit(hi)))
 
 
+def with_momentum_fixed(df: DataFrame, c: str, out: str, key="symbol", order="dt") -> DataFrame:
+    """:func:`momentum_feature_fixed` from linear rolling moments."""
+    t = {"__m30": Frame("mean", c, 30, 10), "__m90": Frame("mean", c, 90, 10), "__s365": Frame("std", c, 365, 20)}
+    m90 = F.coalesce(F.col("__m90"), F.lit(0.0))
+    return rolling(df, t, key, order).withColumn(out, safe_div(F.col("__m30") - m90, F.col("__s365"))).drop(*t)
+
+
+def with_zscore_clip(df: DataFrame, c: str, out: str, n: int = 365, lo: float = 0.0, hi: float = 5.0,
+                     min_periods: int | None = None, key="symbol", order="dt") -> DataFrame:
+    """:func:`rolling_zscore_clip` from linear rolling moments."""
+    t = {"__m": Frame("mean", c, n, min_periods), "__s": Frame("std", c, n, min_periods)}
+    z = safe_div(F.col(c) - F.col("__m"), F.col("__s"))
+    return rolling(df, t, key, order).withColumn(out, F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(lo)), F.lit(hi)))).drop(*t)
+
+
+def with_detrend(df: DataFrame, c: str, out: str, n: int = 90, min_periods: int | None = None, key="symbol", order="dt") -> DataFrame:
+    """:func:`detrend` from linear rolling moments."""
+    return rolling(df, {"__m": Frame("mean", c, n, min_periods)}, key, order).withColumn(out, F.col(c) - F.col("__m")).drop("__m")
+
+
 def detrend(c: str, n: int = 90, min_periods: int | None = None, key="symbol", order="dt") -> Column:
     return F.col(c) - rolling_mean(c, n, min_periods, key, order)
 
@@ -183,7 +203,8 @@ def resample_mean(df: DataFrame, cols: list[str], days: int = 30, key: str = "sy
 
 def rolling30_then_resample(df: DataFrame, cols: list[str], n: int = 30, days: int = 30,
                             key: str = "symbol", day: str = "dt") -> DataFrame:
-    rolled = df.withColumns({c: rolling_mean(c, n, 1, key, day) for c in cols})
+    means = {f"__{c}": Frame("mean", c, n, 1) for c in cols}
+    rolled = rolling(df, means, key, day).withColumns({c: F.col(f"__{c}") for c in cols}).drop(*means)
     return resample_mean(rolled, cols, days, key, day)
 
 
@@ -263,9 +284,15 @@ def cumulative_by_feature(df: DataFrame, feature: str, target: str, tiebreak: li
 def nav_curve(df: DataFrame, price: str, signal: str, key: str = "strategy", day: str = "dt",
               base: float = 10000.0) -> DataFrame:
     """returns = p(t+1)/p(t) where signal == 1 else 1 (NULL -> 1);
-    nav = base * running product, as exp(running sum of logs)."""
+    nav = base * running product, as exp(running sum of logs), and 0 from a total loss on."""
     w = series_window(key, day)
     r = F.when(F.col(signal) == 1, safe_div(F.lead(price, 1).over(w), F.col(price))).otherwise(F.lit(1.0))
     out = df.withColumn("returns", F.coalesce(r, F.lit(1.0)))
     wc = w.rowsBetween(UNB_P, 0)
-    return out.withColumn("nav", F.lit(base) * F.exp(F.sum(F.log("returns")).over(wc)))
+    return out.withColumn("nav", running_product(F.col("returns"), wc) * F.lit(base))
+
+
+def running_product(factor: Column, w) -> Column:
+    """Product of the factors of a frame; 0 once one of them is 0 or less, which no logarithm tells."""
+    lost = F.max((factor <= 0).cast("int")).over(w) == 1
+    return F.when(lost, F.lit(0.0)).otherwise(F.exp(F.sum(F.when(factor > 0, F.log(factor))).over(w)))

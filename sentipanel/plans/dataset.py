@@ -7,11 +7,14 @@ fills, targets and rolling features.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
 from ..operators import windows as W
+from ..operators.moments import Frame, rolling
 
 PRICE_COLS = ("open", "close", "high", "low", "sp500_open", "sp500_close")
 CHANNELS = ("news", "submissions", "comments")
@@ -54,9 +57,11 @@ def residual_beta(x: str, y: str, key: str = "symbol", beta: str = "reference"):
 
 def build_dataset(panel: DataFrame, target_horizons=(30,), lookback_periods=(30,), residualise_returns: bool = True,
                   start_date=None, end_date=None, sources: bool = False, group_sources: bool = False,
-                  beta: str = "reference") -> DataFrame:
+                  beta: str = "reference", rolled: Collection[str] | None = None) -> DataFrame:
     """Features (ft_*), volatility features (vol_ft_*) and targets (tgt_*, vol_tgt_*, sp_*).
 
+    ``rolled`` names the rolling columns (ft_x_L, vol_ft_x_L) to compute; all of them by default.
+
     The panel (symbols x days, small next to the raw text behind it) is
     materialised once with a reliable checkpoint: the price-coverage bounds
     and the windows both read it, so the upstream aggregation of raw text
@@ -99,12 +104,12 @@ def build_dataset(panel: DataFrame, target_horizons=(30,), lookback_periods=(30,
         df = df.withColumn("ft_combined_abs", F.col("ft_abs_news") + F.col("ft_abs_submissions") + F.col("ft_abs_comments"))
 
     fts = [c for c in df.columns if c.startswith("ft_")]
-    new_cols = {}
+    frames = {}
     for L in lookback_periods:
         for c in fts:
-            new_cols[f"{c}_{L}"] = W.momentum_feature(c, L)
-            new_cols[f"vol_{c}_{L}"] = W.feature_volatility(c, L)
-    return df.withColumns(new_cols)
+            frames[f"{c}_{L}"] = Frame("momentum", c, L)
+            frames[f"vol_{c}_{L}"] = Frame("std", c, L, 0)
+    return rolling(df, frames if rolled is None else {name: f for name, f in frames.items() if name in rolled})
 
 
 def group_source_columns(df: DataFrame, kinds=CHANNELS) -> DataFrame:

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -94,7 +95,7 @@ def test_granger_matches_lstsq(spark):
     for t in range(1, n):
         y[t] = 0.4 * y[t - 1] + 0.5 * x[t - 1] + rng.normal()
     df = spark.createDataFrame([("A", i, float(y[i]), float(x[i])) for i in range(n)], "symbol string, t long, y double, x double")
-    out = {r["lag"]: r for r in S.granger_by_group(df, "y", "x", "symbol", "t", 2).collect()}
+    out = {r["lag"]: r for r in S.granger_by_group(df, [("y", "x")], "symbol", "t", 2).collect()}
     for L in (1, 2):
         Y = y[L:]
         lags_y = np.column_stack([y[L - j:n - j] for j in range(1, L + 1)])
@@ -135,3 +136,84 @@ def test_refuters_deterministic(spark):
     assert a == b and len(a) == 5
     s = CA.refute_subset(df, "x1", "y", ["x2"], ["t"], 0.5, replicates=4, seed=1).collect()
     assert all(150 < r["n"] < 250 for r in s)
+
+
+def _fisher(rows, names, pair, cond, alpha=0.05):
+    x = np.array([[r[names.index(c)] for c in [*pair, *cond]] for r in rows])
+    p = np.linalg.inv(np.corrcoef(x.T))
+    r = -p[0, 1] / math.sqrt(p[0, 0] * p[1, 1])
+    return math.erfc(abs(math.atanh(r) * math.sqrt(len(x) - len(cond) - 3)) / math.sqrt(2)) > alpha
+
+
+def _skeleton(rows, names):
+    """Level-wise search by the rule, straight from the rows."""
+    adjacent = {a: set(names) - {a} for a in names}
+    level = 0
+    while any(len(adjacent[a] - {b}) >= level for a in names for b in adjacent[a]):
+        gone = []
+        for a, b in itertools.combinations(names, 2):
+            if b in adjacent[a]:
+                sets = {s for side in (a, b) for s in itertools.combinations(sorted(adjacent[side] - {a, b}), level)}
+                if any(_fisher(rows, names, (a, b), s) for s in sets):
+                    gone.append((a, b))
+        for a, b in gone:
+            adjacent[a].discard(b)
+            adjacent[b].discard(a)
+        level += 1
+    return {frozenset((a, b)) for a in names for b in adjacent[a]}
+
+
+def test_skeleton_does_not_depend_on_column_order(spark):
+    rng = np.random.default_rng(12)
+    n = 500
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    c = a + b + 0.5 * rng.normal(size=n)
+    d = c + 0.7 * rng.normal(size=n)
+    e = 0.3 * a - d + rng.normal(size=n)
+    f = rng.normal(size=n)
+    rows = np.column_stack([a, b, c, d, e, f])
+    names = list("abcdef")
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{c} double" for c in names))
+    want = _skeleton(rows, names)
+    for order in (names, names[::-1], ["d", "a", "f", "c", "b", "e"]):
+        got = CA.ci_test_table(df, order, 0.05).collect()
+        assert {frozenset((r["x"], r["y"])) for r in got if r["edge_kept"]} == want
+        assert len({(r["x"], r["y"], r["cond"]) for r in got}) == len(got)
+        for r in got[:40]:
+            assert r["independent"] == _fisher(rows, names, (r["x"], r["y"]), [v for v in r["cond"].split(",") if v])
+
+
+def test_granger_four_pairs_against_lstsq_and_a_table(spark):
+    rng = np.random.default_rng(8)
+    x = np.cumsum(rng.normal(size=(90, 3)), axis=0) * 0.1 + rng.normal(size=(90, 3)) + 1e4
+    rows = [("A", i, *map(float, r)) for i, r in enumerate(x)] + [("B", i, float(i % 2), 1.0, float(i)) for i in range(40)] + [("C", i, 1.0 * i, 2.0, 3.0) for i in range(5)]
+    rows.append(("A", 95, None, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "symbol string, t long, n double, s double, c double").repartition(4)
+    pairs = [("n", "s"), ("n", "c"), ("s", "n"), ("c", "n")]
+    got = {(r["symbol"], r["effect"], r["cause"], r["lag"]): r for r in S.granger_by_group(df, pairs, "symbol", "t", 4).collect()}
+    assert {k[0] for k in got} == {"A", "B", "C"} and sum(k[0] == "A" for k in got) == 16
+    for (s, y, c, lag), r in got.items():
+        if s != "A":
+            if "s" in (y, c):
+                assert r["f_stat"] is None  # a constant channel
+            continue
+        v = {"n": x[:, 0], "s": x[:, 1], "c": x[:, 2]}
+        stack = lambda names: np.column_stack([np.ones(90 - lag), *[v[m][lag - j:90 - j] - 1e4 for m in names for j in range(1, lag + 1)]])
+        ssr = [np.linalg.lstsq(stack(m), v[y][lag:] - 1e4, rcond=None)[1][0] for m in ([y], [y, c])]
+        assert [r["ssr_r"], r["ssr_u"]] == [pytest_approx(q) for q in ssr]
+        f = (ssr[0] - ssr[1]) / lag / (ssr[1] / (90 - 3 * lag - 1))
+        assert r["n"] == 90 - lag and r["f_stat"] == pytest_approx(f)
+    # upper tails of F from published tables: 5 % points
+    for f, d1, d2 in ((4.0012, 1, 60), (3.1504, 2, 60), (2.7581, 3, 60), (2.5252, 4, 60)):
+        assert abs(LA.f_sf(f, d1, d2) - 0.05) < 2e-5
+
+
+def pytest_approx(v):
+    import pytest
+    return pytest.approx(v, rel=1e-6)
+
+
+def test_collinear_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([("A", float(i), float(i * i), 1.0) for i in range(9)], "symbol string, y double, x1 double, x2 double")
+    out = S.ols_by_group(df, "y", ["x1", "x2"], "symbol").collect()
+    assert {r["term"] for r in out} == {"const", "x1", "x2"} and all(r["n"] == 9 for r in out)

@@ -85,3 +85,27 @@ def test_repeated_and_empty_urls_stay_apart(spark):
     got = sorted(((r["url"] or "-", r["symbol"], r["text"], r["dt"]) for r in T.tag_news(news, terms, keep=("dt",)).collect()))
     exp = sorted((u or "-", t, x, d) for u, title, body, d in rows for t, x in tag_text(f"{title}\n{body or ''}", "", TERMS) if t)
     assert got == exp
+
+
+def test_a_term_table_beyond_the_bound_is_joined(spark):
+    texts = _texts(5, 120)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, ticker string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(T.tag_segments(docs, terms)) == rows(T.tag_segments(docs, terms, max_rows=0))
+    assert rows(T.find_mentions(docs, terms)) == rows(T.find_mentions(docs, terms, max_rows=0))
+
+
+def test_no_text_is_exchanged(spark):
+    docs = spark.createDataFrame(list(enumerate(_texts(6, 20))), "doc_id long, text string")
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, ticker string")
+    for df in (T.tag_segments(docs, terms), T.find_mentions(docs, terms)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_null_texts_and_empty_tables(spark):
+    terms = spark.createDataFrame(list(TERMS.items()), "term string, ticker string")
+    docs = spark.createDataFrame([(1, None), (2, "AOS"), (2, "MMM")], "doc_id long, text string")
+    assert sorted(map(tuple, T.tag_segments(docs, terms).collect())) == [(2, 0, "AOS", "AOS"), (2, 0, "MMM", "MMM")]
+    assert T.tag_segments(docs.limit(0), terms).count() == 0
+    assert [r["ticker"] for r in T.tag_segments(docs, terms.limit(0)).collect()] == ["", ""]
