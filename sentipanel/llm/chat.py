@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, skew_join, text_of
 
+MOST_NESTED = 200  # levels of lists and objects
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -76,12 +77,48 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _depth(value) -> int:
+    """Levels of lists and objects, found without recursion."""
+    most, open_ = 0, [(value, 1)]
+    while open_:
+        v, level = open_.pop()
+        if isinstance(v, (dict, list)):
+            most = max(most, level)
+            open_ += [(x, level + 1) for x in (v.values() if isinstance(v, dict) else v)]
+    return most
+
+
+def _finite(digits: str) -> float:
+    x = float(digits)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError("number out of range")
+    return x
+
+
+def _constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def load(text: str):
+    """The JSON value of a text.  ValueError if it is not JSON, holds NaN, an infinity, a number out of range or half a surrogate pair, or has more
+    than MOST_NESTED levels."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_constant)
+    except RecursionError:
+        raise ValueError("too many levels") from None
+    if _depth(value) > MOST_NESTED:
+        raise ValueError("too many levels")
+    json.dumps(value, ensure_ascii=False).encode("utf-8")  # a lone surrogate is a UnicodeEncodeError, which is a ValueError
+    return value
+
+
 def _parse(role: str | None, text: str, schemas: dict[str, dict] | None) -> list[tuple]:
-    """Parts of a turn: (part, kind, call_id, status, references, json)."""
+    """Parts of a turn: (part, kind, call_id, status, references, json).  A turn whose text :func:`load` refuses is a plain message, a call with such
+    arguments is malformed."""
     role = role or ""
     try:
-        obj = json.loads(text) if text[:1] == "{" else None
-    except (ValueError, RecursionError):
+        obj = load(text) if text[:1] == "{" else None
+    except ValueError:
         obj = None
     if isinstance(obj, dict) and role == "tool" and isinstance(obj.get("tool_call_id"), str):
         body = {"content": obj.get("content"), "role": "tool", "tool_call_id": obj["tool_call_id"]}
@@ -95,7 +132,7 @@ def _parse(role: str | None, text: str, schemas: dict[str, dict] | None) -> list
         cid, name, args = c.get("id"), c.get("name"), c.get("arguments", {})
         if isinstance(args, str):
             try:
-                args = json.loads(args)
+                args = load(args)
             except ValueError:
                 args = None
         if not isinstance(cid, str) or not isinstance(name, str) or not isinstance(args, dict):
