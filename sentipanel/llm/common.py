@@ -48,7 +48,8 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     execution then splits a hot partition of ``rows`` (or broadcasts small groups).
     """
     h = F.xxhash64(*[F.col(k) for k in keys])
-    return rows.withColumn("__h", h).join(groups.withColumn("__h", h), [*keys, "__h"], how).drop("__h")
+    name = "__skew_key"
+    return rows.withColumn(name, h).join(groups.withColumn(name, h), [*keys, name], how).drop(name)
 
 
 

@@ -250,18 +250,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     p = drop_clashing(pages, RESULTS)
     keep = [c for c in p.columns if c != html_col]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    p = p.select(*keep, text_of(html_col).alias("__h"), host.alias("host")).withColumn("page", F.xxhash64("__h"))
-    found = cut_lineage(host_templates(p.select("host", "page", "__h"))).withColumnRenamed("host", "__host")
+    p = p.select(*keep, text_of(html_col).alias("__h"), host.alias("__host"))
+    found = cut_lineage(host_templates(p.select(F.col("__host").alias("host"), F.xxhash64("__h").alias("page"), "__h")))
+    found = found.withColumnsRenamed({"host": "__host", "template": "__template"})
     found, small = broadcast_if_small(found, broadcast_hosts)
-    p = p.withColumnRenamed("host", "__host")
-    p = (p.join(found, "__host", "left") if small else skew_join(p, found, ["__host"], "left")).select(*keep, "__h", "__host", "template")
+    p = (p.join(found, "__host", "left") if small else skew_join(p, found, ["__host"], "left")).select(*keep, "__h", "__host", "__template")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in p.schema.fields if f.name in keep] + ["text string, n_chars long"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates: dict = {}
         for b in it:
             out = []
-            for html, host, template in zip(b.column("__h"), b.column("__host").to_pylist(), b.column("template")):
+            for html, host, template in zip(b.column("__h"), b.column("__host").to_pylist(), b.column("__template")):
                 if host not in templates:
                     if len(templates) >= 1000:
                         templates.clear()
