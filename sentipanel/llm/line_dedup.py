@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut_lineage, drop_clashing, skew_join, text_of
+from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, skew_join, text_of
 from .components import components
 
 RESULTS = ["n_lines", "n_removed", "removed"]
@@ -107,7 +107,7 @@ def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, __id, pos, line, name) of the lines that are compared."""
-    return (docs.select("doc", "__id", F.posexplode(F.split("__t", "\n")).alias("pos", "line"))
+    return (docs.select("__doc", "__id", F.posexplode(F.split("__t", "\n")).alias("pos", "line"))
                 .where((F.length("line") >= min_chars) & (F.ltrim("line", F.lit(" \t\v\f\r")) != "")).withColumn("name", F.xxhash64("line")))
 
 
@@ -154,6 +154,12 @@ def near_lines(lines: DataFrame, edits: int, near_chars: int, broadcast_rows: in
     return components(links.unionByName(verify(rest.join(done, ["a", "b"], "left_anti"))))
 
 
+def _once(lines: DataFrame, names: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(name, line) of different lines: those that repeat only at one of their places (rows that repeat id and text count as one place)."""
+    again = names.where("n > 1").select("name", "place")
+    return join_bounded(lines, again, ["name"], "left", broadcast_rows).where("place is null or place = own").select("name", "line")
+
+
 def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, near_chars: int = 40, id_col: str = "doc_id",
                text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Remove lines that repeat an earlier line, exactly or within ``edits`` edits.
@@ -169,28 +175,31 @@ def line_dedup(docs: DataFrame, edits: int = 2, min_chars: int = 20, near_chars:
     """
     d = drop_clashing(docs, RESULTS)
     keep = d.columns
-    d = d.withColumns({"__id": F.col(id_col), "__t": text_of(text_col)}).withColumn("doc", F.xxhash64("__id", "__t"))
-    lines = _lines(d, min_chars)
-    near = near_lines(lines, edits, near_chars, broadcast_rows)
-    lines = cut_lineage(lines.select("doc", "__id", "pos", "name"))
-    exact = cut_lineage(lines.groupBy("name").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"))
-                             .join(near, F.col("name") == F.col("node"), "left").where("n > 1 or node is not null")
+    d = d.withColumns({"__id": F.col(id_col), "__t": text_of(text_col)}).withColumn("__doc", F.xxhash64("__id", "__t"))
+    texts = _lines(d, min_chars).withColumn("own", F.xxhash64("__doc", "pos"))
+    lines = cut_lineage(texts.select("__doc", "__id", "pos", "name"))
+    names = cut_lineage(lines.groupBy("name").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("__doc", "pos")).alias("place")))
+    near = near_lines(_once(texts, names, broadcast_rows), edits, near_chars, broadcast_rows)
+    exact = cut_lineage(names.join(near, F.col("name") == F.col("node"), "left").where("n > 1 or node is not null")
                              .select("name", F.coalesce("label", "name").alias("label"), "first"))
     first = exact.groupBy("label").agg(F.min("first").alias("keep_doc"))
     classes = exact.select("name", "label").join(first, "label")
 
     at = skew_join(lines, classes, ["name"])
     mine = F.col("__id").eqNullSafe(F.col("keep_doc"))
-    per = at.groupBy("doc", "label", mine.alias("mine"), "keep_doc").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    per = at.groupBy("__doc", "label", mine.alias("mine"), "keep_doc").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     gone = F.when(F.col("mine"), F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0)))).otherwise(F.col("at"))
     gone = F.transform(gone, lambda p: F.struct(p.alias("pos"), F.col("keep_doc").alias("keep_doc")))
-    removed = (per.select("doc", gone.alias("gone")).where(F.size("gone") > 0)
-                  .groupBy("doc").agg(F.array_sort(F.flatten(F.collect_list("gone"))).alias("removed")))
+    removed = (per.select("__doc", gone.alias("gone")).where(F.size("gone") > 0)
+                  .groupBy("__doc").agg(F.array_sort(F.flatten(F.collect_list("gone"))).alias("removed")))
     removed, _ = broadcast_if_small(cut_lineage(removed), broadcast_rows // 4)
-    d = d.join(removed, "doc", "left")
-    all_lines = F.split("__t", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("removed.pos"))
-    short = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    d = d.join(removed, "__doc", "left")
+    # a generated row: the lines are split once, not anew for every line that a lambda takes
+    split = F.split("__t", "\n")
+    row = F.struct(F.when(F.col("removed").isNotNull(), split).alias("lines"), F.size(split).alias("n"))
+    d = d.select(*keep, "removed", F.explode(F.array(row)).alias("__parts"))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("__parts.n") - 1), F.col("removed.pos"))
+    short = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts.lines"), i)), "\n"))
     none = F.array().cast(removed.schema["removed"].dataType)
-    return d.select(*[short.alias(c) if c == text_col else F.col(c) for c in keep], F.size(all_lines).cast("long").alias("n_lines"),
+    return d.select(*[short.alias(c) if c == text_col else F.col(c) for c in keep], F.col("__parts.n").cast("long").alias("n_lines"),
                     F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", none).alias("removed"))
