@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..session import cut_lineage, ensure_checkpoint_dir
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
-__all__ = ["SPACE", "WORD", "cut_lineage", "ensure_checkpoint_dir", "read", "text_of", "drop_clashing",
+__all__ = ["SPACE", "WORD", "cut_lineage", "ensure_checkpoint_dir", "read", "release", "text_of", "drop_clashing",
            "broadcast_if_small", "skew_join", "join_bounded"]
 
 
@@ -24,6 +26,16 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles deleted whose tables are no longer held.
+
+    Spark deletes a shuffle's files when the driver's garbage collector finds its table unused, which on an idle driver may be
+    long after.  An operator of many steps calls this between them, so that disk holds a step and not their sum.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_clashing(df: DataFrame, results: list[str]) -> DataFrame:
     """Input columns named like a result column give way to the result."""
     taken = {r.lower() for r in results}

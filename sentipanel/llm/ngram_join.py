@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, skew_join, text_of
+from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, release, skew_join, text_of
 from .components import components
 
 BAND_BITS = 0xFFF  # of a signature, for the number of its size band
@@ -238,7 +238,10 @@ def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     each = join_bounded(tokens, names.select("name"), ["name"]).select("name", F.explode("tokens").alias("token"))
     own = each.groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("hi")).where("name = hi").groupBy("name").agg(F.count(F.lit(1)).alias("own"))
     able = names.join(own, "name", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * p.den >= F.col("n") * p.num)
-    spokes = cut_lineage(join_bounded(spokes, cut_lineage(able.select("name")), ["name"]))
+    able = cut_lineage(able.select("name"))
+    del each, own
+    release(spokes.sparkSession)
+    spokes = cut_lineage(join_bounded(spokes, able, ["name"]))
     mixed = spokes.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("hub")
     return cut_lineage(join_bounded(spokes, cut_lineage(mixed), ["hub"]))
 
@@ -255,20 +258,27 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> Data
     d = cut_lineage(d)
     each = d.select("hub", "name", F.explode("d").alias("token"))
     often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # of every difference what other members have too, rarest first; only that can be in an intersection
     shared = skew_join(each, often, ["hub", "token"]).groupBy("hub", "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"))
     size, reach = F.size("d"), F.floor(F.col("n") * (den - num) / num)
     need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
-    x = d.join(shared, ["hub", "name"]).join(least, "hub")
     alone = size - F.size("s")  # shingles of no other member come first in the order
-    # only what other members have too can be in an intersection
-    x = x.select("hub", "name", "n", "label", size.alias("size"), F.col("s.token").alias("d"), F.slice("s", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")).alias("s"))
-    x = cut_lineage(x.select("hub", "name", "n", "label", "size", "d", F.explode("s.token").alias("token")))
-    one = lambda t: x.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size", "d")])
+    index = F.slice("s.token", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int"))
+    x = d.join(shared, ["hub", "name"]).join(least, "hub").select("hub", "name", "n", "label", size.cast("int").alias("size"), F.col("s.token").alias("d"), index.alias("s"))
+    x = cut_lineage(x.where(F.size("s") > 0))
+    del d, each, often, shared, least
+    release(x.sparkSession)
+    # the index is narrow: a row per indexed shingle without the differences, which travel once per pair
+    key = x.select("hub", "name", "n", "label", "size", F.explode("s").alias("token"))
+    one = lambda t: key.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size")])
+    bound = F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & bound)
+    pairs = cut_lineage(pairs.select("hub", "name_a", "name_b", F.col("n_a") + F.col("n_b")).toDF("hub", "name_a", "name_b", "n").distinct())
+    side = lambda t: x.select("hub", F.col("name").alias(f"name_{t}"), F.col("size").alias(f"size_{t}"), F.col("d").alias(f"d_{t}"))
+    both = skew_join(skew_join(pairs, side("a"), ["hub", "name_a"]), side("b"), ["hub", "name_b"])
     apart = F.col("size_a") + F.col("size_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    linked = apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & linked)
-    return pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).distinct()
+    return both.where(apart * (den + num) <= F.col("n") * (den - num)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
@@ -288,12 +298,15 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     sig = _one_each(sets, reps, broadcast_rows).select("name", F.explode("keys").alias("key"))
     # every set is there once, so a signature that occurs twice is live
     members = cut_lineage(_members(sig, sig.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), broadcast_rows))
+    del per_id
+    release(d.sparkSession)
 
     band = F.col("key").bitwiseAND(F.lit(BAND_BITS))
     load = members.groupBy("key").count().groupBy(band.alias("band")).agg(F.sum(F.col("count") - 1).alias("rows"))
     load = {r["band"]: r["rows"] for r in load.collect()}  # one row per size band, at most some seventy
     if load:
-        spans = {b: (p.low[b], p.low[b + 1] - 1) for b in load}
+        # the sets that index themselves in a band: its own, and those near the top of the one below
+        spans = {b: (min(p.low[b], -(-p.num * p.low[b] // p.den)) if b else p.low[b], p.low[b + 1] - 1) for b in load}
         mass = reps.agg(*[F.sum(F.when(F.col("n").between(lo, hi), F.col("n"))).alias(f"b{b}") for b, (lo, hi) in spans.items()]).first()
         hot = frozenset(b for b in load if load[b] > merge_ratio * (mass[f"b{b}"] or 0))
         if hot:
@@ -301,6 +314,8 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
             # one of the sets must be there in full
             live = near.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("full").alias("any_full")).where("lo < hi and any_full")
             members = cut_lineage(members.where(~band.isin(sorted(hot))).unionByName(cut_lineage(_members(near, live, broadcast_rows).distinct())))
+            del near, live
+            release(d.sparkSession)
 
     names = cut_lineage(members.groupBy("name").agg(F.count(F.lit(1)).alias("live")).join(reps, "name"))
     ids, _ = broadcast_if_small(names.select(F.col("rep").alias("__id"), "name"), broadcast_rows)
@@ -314,12 +329,17 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     m = cut_lineage(skew_join(m, hubs, ["key"]).where("name <> hub").select("key", "name", "n", "hub", "hub_n"))
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
     links = cut_lineage(_verify(cut_lineage(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()), tokens, p))
+    release(d.sparkSession)
     label = components(links)
 
     m = join_bounded(m, label.withColumnRenamed("node", "name"), ["name"], "left", broadcast_rows).withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     spokes = join_bounded(m, cut_lineage(mixed), ["key"], max_rows=broadcast_rows).select("hub", "name", "n", "label").distinct()
-    more = cut_lineage(_between_members(_partnered(cut_lineage(spokes), tokens, p), tokens, p))
+    spokes = _partnered(cut_lineage(spokes), tokens, p)
+    release(d.sparkSession)
+    more = cut_lineage(_between_members(spokes, tokens, p))
+    del spokes, tokens, members, m
+    release(d.sparkSession)
     label = components(links.unionByName(more))
 
     comp = label.join(reps.select(F.col("name").alias("node"), "rep"), "node")
