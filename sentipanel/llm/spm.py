@@ -34,8 +34,9 @@ TABLE_CHARS = 32      # longer units are not kept
 class PieceModel:
     """A merge-type sentencepiece model: vocabulary and settings from the library, merging done here."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table_rows: int = TABLE_ROWS):
         import sentencepiece
+        self.table_rows = table_rows
         self.lib = lib = sentencepiece.SentencePieceProcessor(model_file=path)
         n = lib.get_piece_size()
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
@@ -130,27 +131,29 @@ class PieceModel:
                 ids = old.get(u) or self.merge(u)
                 if len(u) <= TABLE_CHARS:
                     young[u] = ids
-                    if len(young) >= TABLE_ROWS:
+                    if len(young) >= self.table_rows:
                         self.old, self.young = young, {}
                         young, old = self.young, self.old
             out.extend(ids)
         return out
 
 
-_MODELS: dict[str, PieceModel] = {}
+_MODELS: dict[tuple[str, int], PieceModel] = {}
 
 
-def model(path: str) -> PieceModel:
+def model(path: str, table_rows: int = TABLE_ROWS) -> PieceModel:
     """The model at ``path``, loaded once in each Python worker."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
+    if (path, table_rows) not in _MODELS:
+        _MODELS[path, table_rows] = PieceModel(path, table_rows)
+    return _MODELS[path, table_rows]
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  check_texts: int = 1, ids_out: bool = True) -> DataFrame:
+                  check_texts: int = 1, ids_out: bool = True, table_rows: int = TABLE_ROWS) -> DataFrame:
     """Encode and decode every whole text.
 
+    A worker remembers the ids of up to twice ``table_rows`` units (it keeps them for its next task); that bounds memory and changes no result.
+
     Returns the id column, ``n_tokens``, ``ids`` (array, if ``ids_out``), ``ids_sha256`` (of the decimal ids joined by
     commas) and ``decoded_sha256`` (of the decoded text in UTF-8); one row per input row, in any
     order, repeated rows too.  Null text counts as empty and has no ids.  Other input columns are
@@ -162,7 +165,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     schema = f"__id {d.schema['__id'].dataType.simpleString()}, {fields}"
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(model_path)
+        m = model(model_path, table_rows)
         for b in it:
             n, sha, decoded, all_ids = [], [], [], []
             for k, text in enumerate(b.column("__t")):
