@@ -17,8 +17,16 @@ from sentipanel.llm.common import WORD, ensure_checkpoint_dir, read
 from sentipanel.llm.registry import piece_model
 
 
+BATCH_ROWS = "1000"  # rows of an Arrow batch: whole texts are wide, and two workers of an executor hold a batch each, on both sides
+
+
+def _narrow_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    _narrow_batches(spark)
     return quality.quality_rules(docs, carry_text=True).where("kept").select(*docs.columns)
 
 
@@ -33,6 +41,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, Jaccard 0.8) one document stays."""
+    _narrow_batches(spark)
     return ngram_join.keep_one(docs, shingle_words=5, num=80, den=100).select(*docs.columns)
 
 
@@ -42,8 +51,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return spm.encode_decode(docs, piece_model())
+    """Token ids of every document.  A smaller table of remembered units than alone: the workers of earlier stages stay alive."""
+    _narrow_batches(spark)
+    return spm.encode_decode(docs, piece_model(), table_rows=100_000)
 
 
 STAGES = [
