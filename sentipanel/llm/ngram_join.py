@@ -21,6 +21,9 @@ hub, and be in one component.  They are therefore found by an index on the rares
 filter), and the join's own condition is the exact similarity: it returns links, not candidates.
 Component ids are exact.
 
+What moves every signature, shingle or token set goes in ``passes``: by slices of its keys, one after the other, whose shuffle files
+are released before the next, so that disk holds a slice of it.
+
 Equal sets are one node, named by a 64-bit hash of its shingles (64-bit hashes as well): a false link
 needs two different sets with equal names, about 3 expected among 10^10 sets.
 """
@@ -28,12 +31,13 @@ needs two different sets with equal names, about 3 expected among 10^10 sets.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, cut_lineage, drop_clashing, join_bounded, release, skew_join, text_of
@@ -166,13 +170,20 @@ def _listed(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
-def _one_each(sets: DataFrame, reps: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(name, keys) once per name: only the rows of names that occur again are shuffled to find their first."""
+def _in_passes(step: Callable[[Column], DataFrame], key: Column, passes: int) -> DataFrame:
+    """All rows of ``step``, which gets a condition on hashed keys and returns its rows for them; a slice of the keys at a time."""
+    parts = []
+    for k in range(passes):
+        parts.append(cut_lineage(step(F.pmod(F.shiftrightunsigned(key, 40), F.lit(passes)) == k)))
+        release(parts[0].sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_each(sets: DataFrame, reps: DataFrame, broadcast_rows: int, mine: Column) -> DataFrame:
+    """(name, key) once per name, of the keys that are ``mine``: only the rows of names that occur again are shuffled."""
     again = reps.where("copies > 1").select("name")
-    rows = sets.select("name", "keys")
-    once = join_bounded(rows, again, ["name"], "left_anti", broadcast_rows)
-    first = join_bounded(rows, again, ["name"], "left_semi", broadcast_rows).groupBy("name").agg(F.first("keys").alias("keys"))
-    return once.unionByName(first)
+    keys = lambda how: join_bounded(sets.select("name", "keys"), again, ["name"], how, broadcast_rows).select("name", F.explode("keys").alias("key")).where(mine)
+    return keys("left_anti").unionByName(keys("left_semi").distinct())
 
 
 def _signatures(d: DataFrame, size: int, p: Partition, merged: frozenset[int], only: frozenset[int] | None = None) -> DataFrame:
@@ -223,20 +234,26 @@ def _joined(pairs: DataFrame, tokens: DataFrame, broadcast_rows: int = 1_000_000
     return skew_join(rows, one("a").join(hubs, "a", "left_semi"), ["a"])
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def _verify(pairs: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
+    """The pairs (a, b) of a materialised table whose sets reach the similarity."""
+    return _in_passes(lambda mine: _similar(pairs.where(mine), tokens, p), F.xxhash64("a"), passes)
+
+
+def _similar(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     both = _joined(pairs, tokens).select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("o"), (F.size("ta") + F.size("tb")).alias("s"))
     return both.where(F.col("o") * p.den >= (F.col("s") - F.col("o")) * p.num).select("a", "b")
 
 
-def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
+def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
     """The spokes that can have a link in another component.
 
     A set whose shingles of its own, among all sets of the spokes, are too many reaches the similarity with none of them.
     """
     names = cut_lineage(spokes.select("name", "n").distinct())
     each = join_bounded(tokens, names.select("name"), ["name"]).select("name", F.explode("tokens").alias("token"))
-    own = each.groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("hi")).where("name = hi").groupBy("name").agg(F.count(F.lit(1)).alias("own"))
+    one = lambda mine: each.where(mine).groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("hi")).where("name = hi")
+    own = _in_passes(lambda mine: one(mine).groupBy("name").agg(F.count(F.lit(1)).alias("own")), F.col("token"), passes)
+    own = own.groupBy("name").agg(F.sum("own").alias("own"))
     able = names.join(own, "name", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * p.den >= F.col("n") * p.num)
     able = cut_lineage(able.select("name"))
     del each, own
@@ -246,16 +263,18 @@ def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     return cut_lineage(join_bounded(spokes, cut_lineage(mixed), ["hub"]))
 
 
-def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
+def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
     """Links (a, b) between members of a hub that are in different components.
 
     ``spokes`` holds (hub, name, n, label).  Of D(name) only the rarest shingles are indexed, as many as leave out fewer than any
     partner must share; a shingle that one member of the hub has is no key.
     """
     num, den = p.num, p.den
-    d = _joined(spokes.withColumnsRenamed({"hub": "a", "name": "b"}), tokens).withColumnsRenamed({"a": "hub", "b": "name"})
-    d = d.select("hub", "name", "n", "label", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
-    d = cut_lineage(d)
+    def differences(mine: Column) -> DataFrame:
+        d = _joined(spokes.where(mine).withColumnsRenamed({"hub": "a", "name": "b"}), tokens).withColumnsRenamed({"a": "hub", "b": "name"})
+        return d.select("hub", "name", "n", "label", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
+
+    d = _in_passes(differences, F.xxhash64("hub"), passes)
     each = d.select("hub", "name", F.explode("d").alias("token"))
     often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # of every difference what other members have too, rarest first; only that can be in an intersection
@@ -282,23 +301,29 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition) -> Data
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
-                       text_col: str = "text", merge_ratio: float = 4.0, broadcast_rows: int = 1_000_000) -> DataFrame:
+                       text_col: str = "text", merge_ratio: float = 4.0, broadcast_rows: int = 1_000_000, passes: int = 4) -> DataFrame:
     """Component of every document under links of Jaccard similarity num / den or more.
 
     Returns the id column, ``n_shingles`` and ``component_id`` (smallest id reachable, itself included); one row per
     input row.  Fewer words than a shingle are one shingle; null and empty texts and texts of white space have no
     shingles and no links.  Repeated rows link with each other; null ids are passed over in component ids.
-    An empty table gives an empty result; other input columns are dropped.
+    An empty table gives an empty result; other input columns are dropped.  More ``passes`` need less disk and change no result.
     """
     p = Partition(num, den)
     d = _narrow(docs, id_col, text_col)
-    sets = cut_lineage(_sets(d, shingle_words, p).withColumn("name", F.coalesce("name", F.xxhash64(F.lit("empty"), "__id"))))
+    keyed = cut_lineage(_sets(d, shingle_words, p).withColumn("name", F.coalesce("name", F.xxhash64(F.lit("empty"), "__id"))))
+    sets = cut_lineage(keyed.drop("keys"))
     per_id = sets.groupBy("name", "__id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     reps = cut_lineage(per_id.groupBy("name").agg(F.min("__id").alias("rep"), F.max("n").alias("n"), F.sum("rows").alias("copies"), F.max("rows").alias("rows")))
-    sig = _one_each(sets, reps, broadcast_rows).select("name", F.explode("keys").alias("key"))
-    # every set is there once, so a signature that occurs twice is live
-    members = cut_lineage(_members(sig, sig.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), broadcast_rows))
     del per_id
+
+    def live_members(mine: Column) -> DataFrame:
+        sig = _one_each(keyed, reps, broadcast_rows, mine)
+        # every set is there once, so a signature that occurs twice is live
+        return _members(sig, sig.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), broadcast_rows)
+
+    members = _in_passes(live_members, F.col("key"), passes)
+    del keyed, live_members
     release(d.sparkSession)
 
     band = F.col("key").bitwiseAND(F.lit(BAND_BITS))
@@ -328,16 +353,16 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     hubs = m.groupBy("key").agg(F.max(F.struct("live", "name", "n")).alias("h")).select("key", F.col("h.name").alias("hub"), F.col("h.n").alias("hub_n"))
     m = cut_lineage(skew_join(m, hubs, ["key"]).where("name <> hub").select("key", "name", "n", "hub", "hub_n"))
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
-    links = cut_lineage(_verify(cut_lineage(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()), tokens, p))
+    links = cut_lineage(_verify(cut_lineage(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()), tokens, p, passes))
     release(d.sparkSession)
     label = components(links)
 
     m = join_bounded(m, label.withColumnRenamed("node", "name"), ["name"], "left", broadcast_rows).withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     spokes = join_bounded(m, cut_lineage(mixed), ["key"], max_rows=broadcast_rows).select("hub", "name", "n", "label").distinct()
-    spokes = _partnered(cut_lineage(spokes), tokens, p)
+    spokes = _partnered(cut_lineage(spokes), tokens, p, passes)
     release(d.sparkSession)
-    more = cut_lineage(_between_members(spokes, tokens, p))
+    more = cut_lineage(_between_members(spokes, tokens, p, passes))
     del spokes, tokens, members, m
     release(d.sparkSession)
     label = components(links.unionByName(more))
