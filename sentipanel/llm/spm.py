@@ -7,8 +7,9 @@ neighbour pairs; entries whose symbols have changed since are skipped.
 A merge can only span characters that some piece holds next to each other.  No piece of such a
 vocabulary has a space mark after another character (checked when the model is loaded), so a text
 falls into units, a run of space marks with the characters up to the next mark, that can be encoded
-on their own.  Frequent units are looked up.  Work runs in Arrow batches (``mapInArrow``), rows stay
-in their partition, and memory is bounded by a batch, one text's agenda and two generations of the table.
+on their own.  Frequent units are looked up; the new ones of some texts are merged together, a column of a matrix
+being the agenda of a unit, which merges its best pair a round.  Work runs in Arrow batches (``mapInArrow``), rows stay
+in their partition, and memory is bounded by a batch, the units of some texts or one, and two generations of the table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,32 @@ TABLE_ROWS = 300_000  # units kept in each of two generations
 NEVER = float("inf")
 SHORT = 24            # longer units keep their agenda in a heap
 TABLE_CHARS = 32      # longer units are not kept
+GROUP_CHARS = 2_000_000  # characters of the texts whose new units are merged together
+
+
+class Known(dict):
+    """Ids of units in two generations; a unit asked for the first time gets an empty list, which is filled before ``close``."""
+
+    def __init__(self):
+        self.old: dict[str, list[int]] = {}
+        self.new: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, unit: str) -> list[int]:
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = []
+            self.new.append((unit, ids))
+        self[unit] = ids
+        return ids
+
+    def close(self, rows: int) -> None:
+        for u, _ in self.new:
+            if len(u) > TABLE_CHARS:
+                del self[u]
+        self.new.clear()
+        if len(self) >= rows:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceModel:
@@ -44,38 +73,87 @@ class PieceModel:
         self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}  # best score first
         self.bytes = {b: lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.unk = lib.unk_id()
+        # symbols are piece ids, n + code point for a character without a piece, and a pad that joins with nothing
+        self.n, self.pad = n, n + 0x110000
+        self.char = np.arange(n, n + 0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        symbol = lambda p: int(self.char[ord(p)]) if len(p) == 1 else self.ids.get(p)
+        pairs = [(symbol(p[:k]), symbol(p[k:]), i) for p, i in self.ids.items() for k in range(1, len(p))]
+        pairs = sorted((a * (self.pad + 1) + b, i) for a, b, i in pairs if a is not None and b is not None)
+        self.pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max])
+        self.joined = np.array([i for _, i in pairs] + [n], dtype=np.int32)  # n: no piece
+        cost = np.full(n + 1, NEVER)
+        for p, i in self.ids.items():
+            cost[i] = self.rank[p]
+        self.cost = np.unique(cost, return_inverse=True)[1].astype(np.int32)  # equal scores stay equal
+        self.decimal = [str(i) for i in range(n)]
         self.byte_fallback = all(lib.is_byte(i) for i in self.bytes.values())
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece spans a space mark: texts of this model do not fall into units")
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         cut = "" if "\n" in joined else "\n"  # a line feed that no longer piece holds is a unit by itself
         self.units = re.compile(f"{cut}|{MARK}*[^{MARK}{cut}]+|{MARK}+" if cut else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known = Known()
         probe = "  a\n b  c. ☃ "
         if self.encode(probe) != lib.encode(probe):
             raise ValueError("the model's settings are not a plain merge vocabulary with a space put before the text")
 
-    def merge(self, unit: str) -> tuple[int, ...]:
-        """Ids of one unit by the agenda of adjacent pairs."""
-        if unit in self.ids and len(unit) == 1:
-            return (self.ids[unit],)
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols joins to, n if none."""
+        key = left.astype(np.int64) * (self.pad + 1) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.joined[at], np.int32(self.n))
+
+    def merge(self, units: list[tuple[str, list[int]]]) -> None:
+        """Put the ids of each unit into its list."""
+        by_width: dict[int, list[tuple[str, list[int]]]] = {}
+        for x in units:
+            by_width.setdefault((len(x[0]) + 3) // 4 * 4, []).append(x)
+        for width, group in by_width.items():
+            names, into = zip(*group)
+            if width > SHORT:
+                for u, ids in group:
+                    ids.extend(self._merge_long(u))
+                continue
+            lens = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+            sym = np.full((len(names), width + 2), self.pad, dtype=np.int32)
+            sym[:, 1:-1][np.arange(width) < lens[:, None]] = self.char[np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            sym = np.ascontiguousarray(sym.T)  # a unit is a column
+            agenda = self._join(sym[:-1], sym[1:])
+            unit = np.arange(len(names))
+            while True:
+                cost = self.cost[agenda]
+                low, i = cost[0].copy(), np.zeros(len(unit), dtype=np.int32)
+                for k in range(1, len(cost)):  # the leftmost of the best
+                    i[cost[k] < low] = k
+                    np.minimum(low, cost[k], out=low)
+                live = low < self.cost[self.n]
+                self._done(sym[:, ~live].T, unit[~live], into)
+                if not live.any():
+                    break
+                at = np.flatnonzero(live)
+                sym, agenda, unit, i = sym.take(at, axis=1), agenda.take(at, axis=1), unit[at], i[at]
+                cols, row = np.arange(len(at)), np.arange(len(sym) - 1, dtype=np.int32)[:, None]
+                sym[i, cols] = new = agenda[i, cols]
+                sym = np.where(row <= i, sym[:-1], sym[1:])
+                agenda = np.where(row[:-1] < i, agenda[:-1], agenda[1:])
+                agenda[i - 1, cols] = self._join(sym[i - 1, cols], new)  # a pad comes first and last, so both are there
+                agenda[i, cols] = self._join(new, sym[i + 1, cols])
+
+    def _done(self, sym: np.ndarray, unit: np.ndarray, into: tuple[list[int], ...]) -> None:
+        real = sym != self.pad
+        ends = real.sum(axis=1).cumsum().tolist()
+        flat, odd = sym[real].tolist(), ((sym >= self.n) & real).any(axis=1).tolist()
+        for u, start, end, other in zip(unit.tolist(), [0, *ends], ends, odd):
+            ids = flat[start:end]
+            into[u].extend(self._ids([chr(x - self.n) if x >= self.n else x for x in ids]) if other else ids)
+
+    def _merge_long(self, unit: str) -> list[int]:
+        """Ids of one unit by a heap of adjacent pairs."""
         rank, sym = self.rank.get, list(unit)
         n = len(sym)
-        if n <= SHORT:  # a short agenda is a list with an entry for each pair
-            agenda = [rank(a + b, NEVER) for a, b in zip(sym, sym[1:])]
-            while agenda:
-                best = min(agenda)
-                if best == NEVER:
-                    break
-                i = agenda.index(best)
-                sym[i] += sym.pop(i + 1)
-                del agenda[i]
-                if i < len(agenda):
-                    agenda[i] = rank(sym[i] + sym[i + 1], NEVER)
-                if i:
-                    agenda[i - 1] = rank(sym[i - 1] + sym[i], NEVER)
-            return self._ids(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -106,36 +184,41 @@ class PieceModel:
                     push(agenda, (r, k, both))
         return self._ids(sym)
 
-    def _ids(self, symbols: list[str]) -> tuple[int, ...]:
+    def _ids(self, symbols: list[str | int]) -> list[int]:
+        """Ids of symbols that are ids or strings, empty ones left out."""
         out: list[int] = []
         for p in symbols:
-            if not p:
+            if p == "":
                 continue
-            i = self.ids.get(p)
+            i = p if isinstance(p, int) else self.ids.get(p)
             if i is not None:
                 out.append(i)
             elif self.byte_fallback:
                 out.extend(self.bytes[b] for b in p.encode("utf-8"))
             else:
                 out.append(self.unk)
-        return tuple(out)
+        return out
+
+    def _encode_group(self, texts: list[str]) -> list[list[int]]:
+        known, get = self.known, self.known.__getitem__
+        found = [list(map(get, self.units(MARK + t.replace(" ", MARK)))) if t else [] for t in texts]
+        self.merge(known.new)
+        known.close(self.table_rows)
+        return [list(chain.from_iterable(f)) for f in found]
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text; the texts are taken in groups of some GROUP_CHARS characters."""
+        group, chars = [], 0
+        for t in texts:
+            group.append(t)
+            chars += len(t)
+            if chars >= GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, chars = [], 0
+        yield from self._encode_group(group)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        young, old = self.young, self.old
-        for u in self.units(MARK + text.replace(" ", MARK)):
-            ids = young.get(u)
-            if ids is None:
-                ids = old.get(u) or self.merge(u)
-                if len(u) <= TABLE_CHARS:
-                    young[u] = ids
-                    if len(young) >= self.table_rows:
-                        self.old, self.young = young, {}
-                        young, old = self.young, self.old
-            out.extend(ids)
-        return out
+        return list(self.encode_all([text]))[0]
 
 
 _MODELS: dict[tuple[str, int], PieceModel] = {}
@@ -168,13 +251,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         m = model(model_path, table_rows)
         for b in it:
             n, sha, decoded, all_ids = [], [], [], []
-            for k, text in enumerate(b.column("__t")):
-                text = text.as_py()
-                ids = m.encode(text)
+            texts = b.column("__t").to_pylist()
+            for k, (text, ids) in enumerate(zip(texts, m.encode_all(texts))):
                 if (check_texts < 0 or k < check_texts) and ids != m.lib.encode(text):
                     raise ValueError(f"ids differ from the library's for a text of {len(text)} characters")
                 n.append(len(ids))
-                sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                sha.append(hashlib.sha256(",".join(map(m.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(m.lib.decode(ids).encode("utf-8")).hexdigest())
                 if ids_out:
                     all_ids.append(pa.array(ids, pa.int32()))
