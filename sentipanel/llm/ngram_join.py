@@ -13,12 +13,14 @@ segments say little.  A set differs from any partner in a number of shingles tha
 as lie beyond that bound agree; if all of them could be empty, the set indexes itself once more under another seed.  Two
 sets that agree in empty segments only both do so, and the argument holds for any seed.
 
-Candidates share a signature.  They are not paired off.  Each signature names a hub, its set with the most live
+Candidates share a signature.  A set with too many shingles that no other candidate has can have no link and goes, before any
+sets are joined.  Candidates are not paired off.  Each signature names a hub, its set with the most live
 signatures; hub and members are verified exactly, which joins true groups of copies in a linear number of
 pairs.  What is left are links between two members of different components.  With D the symmetric difference from the
 hub, |X ^ Y| = |D(X)| + |D(Y)| - 2 |D(X) & D(Y)|, so two such members that share nothing in D would both be linked with the
 hub, and be in one component.  They are therefore found by an index on the rarest shingles of D (prefix
-filter), and the join's own condition is the exact similarity: it returns links, not candidates.
+filter).  Only pairs whose common keys, and what may follow the last of them, suffice get their differences
+(positional filter), and the condition of that join is the exact similarity: it returns links, not candidates.
 Component ids are exact.
 
 What moves every signature, shingle or token set goes in ``passes``: by slices of its keys, one after the other, whose shuffle files
@@ -244,19 +246,23 @@ def _similar(pairs: DataFrame, tokens: DataFrame, p: Partition) -> DataFrame:
     return both.where(F.col("o") * p.den >= (F.col("s") - F.col("o")) * p.num).select("a", "b")
 
 
-def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
-    """The spokes that can have a link in another component.
+def _able(names: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
+    """The names, of a materialised table (name, n), whose sets can have a link among these sets.
 
-    A set whose shingles of its own, among all sets of the spokes, are too many reaches the similarity with none of them.
+    A set whose shingles of its own, among all the sets, are too many reaches the similarity with none of them.
     """
-    names = cut_lineage(spokes.select("name", "n").distinct())
-    each = join_bounded(tokens, names.select("name"), ["name"]).select("name", F.explode("tokens").alias("token"))
+    each = tokens.select("name", F.explode("tokens").alias("token"))
     one = lambda mine: each.where(mine).groupBy("token").agg(F.min("name").alias("name"), F.max("name").alias("hi")).where("name = hi")
     own = _in_passes(lambda mine: one(mine).groupBy("name").agg(F.count(F.lit(1)).alias("own")), F.col("token"), passes)
     own = own.groupBy("name").agg(F.sum("own").alias("own"))
     able = names.join(own, "name", "left").where((F.col("n") - F.coalesce("own", F.lit(0))) * p.den >= F.col("n") * p.num)
-    able = cut_lineage(able.select("name"))
-    del each, own
+    return cut_lineage(able.select("name"))
+
+
+def _partnered(spokes: DataFrame, tokens: DataFrame, p: Partition, passes: int = 1) -> DataFrame:
+    """The spokes that can have a link in another component."""
+    names = cut_lineage(spokes.select("name", "n").distinct())
+    able = _able(names, join_bounded(tokens, names.select("name"), ["name"]), p, passes)
     release(spokes.sparkSession)
     spokes = cut_lineage(join_bounded(spokes, able, ["name"]))
     mixed = spokes.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("hub")
@@ -270,34 +276,47 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition, passes:
     partner must share; a shingle that one member of the hub has is no key.
     """
     num, den = p.num, p.den
-    def differences(mine: Column) -> DataFrame:
+
+    def indexed(mine: Column) -> DataFrame:
         d = _joined(spokes.where(mine).withColumnsRenamed({"hub": "a", "name": "b"}), tokens).withColumnsRenamed({"a": "hub", "b": "name"})
-        return d.select("hub", "name", "n", "label", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d"))
-
-    d = _in_passes(differences, F.xxhash64("hub"), passes)
-    each = d.select("hub", "name", F.explode("d").alias("token"))
-    often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # of every difference what other members have too, rarest first; only that can be in an intersection
-    shared = skew_join(each, often, ["hub", "token"]).groupBy("hub", "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"))
-    size, reach = F.size("d"), F.floor(F.col("n") * (den - num) / num)
-    need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
-    alone = size - F.size("s")  # shingles of no other member come first in the order
-    index = F.slice("s.token", 1, F.greatest(size - need + 1 - alone, F.lit(0)).cast("int"))
-    x = d.join(shared, ["hub", "name"]).join(least, "hub").select("hub", "name", "n", "label", size.cast("int").alias("size"), F.col("s.token").alias("d"), index.alias("s"))
-    x = cut_lineage(x.where(F.size("s") > 0))
-    del d, each, often, shared, least
-    release(x.sparkSession)
+        d = cut_lineage(d.select("hub", "name", "n", "label", F.concat(F.array_except("ta", "tb"), F.array_except("tb", "ta")).alias("d")))
+        release(d.sparkSession)
+        each = d.select("hub", "name", F.explode("d").alias("token"))
+        often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        # of every difference what other members have too, rarest first; only that can be in an intersection
+        shared = skew_join(each, often, ["hub", "token"]).groupBy("hub", "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+        least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"))
+        size, reach = F.size("d"), F.floor(F.col("n") * (den - num) / num)
+        need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
+        alone = size - F.size("s")  # shingles of no other member come first in the order
+        keys = F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")
+        x = d.select("hub", "name", "n", "label", "d").join(shared, ["hub", "name"]).join(least, "hub")
+        return x.select("hub", "name", "n", "label", size.cast("int").alias("size"), F.col("s.token").alias("d"), keys.alias("keys")).where("keys > 0")
+
+    x = _in_passes(indexed, F.xxhash64("hub"), passes)
     # the index is narrow: a row per indexed shingle without the differences, which travel once per pair
-    key = x.select("hub", "name", "n", "label", "size", F.explode("s").alias("token"))
-    one = lambda t: key.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size")])
+    key = x.select("hub", "name", "n", "label", "size", F.size("d").alias("len"), F.posexplode(F.slice("d", F.lit(1), F.col("keys"))).alias("pos", "token"))
+    key = key.withColumn("after", F.col("len") - F.col("pos") - 1)
+    one = lambda t: key.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size", "after")])
     bound = F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
     pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & bound)
-    pairs = cut_lineage(pairs.select("hub", "name_a", "name_b", F.col("n_a") + F.col("n_b")).toDF("hub", "name_a", "name_b", "n").distinct())
-    side = lambda t: x.select("hub", F.col("name").alias(f"name_{t}"), F.col("size").alias(f"size_{t}"), F.col("d").alias(f"d_{t}"))
-    both = skew_join(skew_join(pairs, side("a"), ["hub", "name_a"]), side("b"), ["hub", "name_b"])
-    apart = F.col("size_a") + F.col("size_b") - 2 * F.size(F.array_intersect("d_a", "d_b"))
-    return both.where(apart * (den + num) <= F.col("n") * (den - num)).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+    # both lists are in one order: what two differences share is what they share in the index and, beyond their last common key, the rest of the shorter at most
+    pairs = pairs.groupBy("hub", "name_a", "name_b").agg(
+        F.max(F.col("n_a") + F.col("n_b")).alias("n"), F.max(F.col("size_a") + F.col("size_b")).alias("size"),
+        F.count(F.lit(1)).alias("both"), F.min(F.least("after_a", "after_b")).alias("after"))
+    near = lambda both: (F.col("size") - 2 * both) * (den + num) <= F.col("n") * (den - num)
+    pairs = pairs.where(near(F.col("both") + F.col("after")))
+    # any hub of a pair tells its exact similarity
+    pairs = cut_lineage(pairs.groupBy("name_a", "name_b").agg(F.min(F.struct("hub", "n", "size")).alias("h")).select("h.*", "name_a", "name_b"))
+    release(x.sparkSession)
+
+    def linked(mine: Column) -> DataFrame:
+        part = pairs.where(mine)
+        side = lambda t: x.select("hub", F.col("name").alias(f"name_{t}"), F.col("d").alias(f"d_{t}"))
+        both = skew_join(skew_join(part, side("a").where(mine), ["hub", "name_a"]), side("b"), ["hub", "name_b"])
+        return both.where(near(F.size(F.array_intersect("d_a", "d_b")))).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))
+
+    return _in_passes(linked, F.xxhash64("name_a"), passes)
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
@@ -348,6 +367,10 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     if names.where("rows > 1").limit(1).count():  # a kept id has equal texts in several rows
         tokens = tokens.dropDuplicates(["name"])
     tokens = cut_lineage(tokens)
+    able = _able(names, tokens, p, passes)
+    names = cut_lineage(join_bounded(names, able, ["name"], max_rows=broadcast_rows))
+    tokens = cut_lineage(join_bounded(tokens, able, ["name"], max_rows=broadcast_rows))
+    release(d.sparkSession)
 
     m = join_bounded(members, names.select("name", "n", "live"), ["name"], max_rows=broadcast_rows)
     hubs = m.groupBy("key").agg(F.max(F.struct("live", "name", "n")).alias("h")).select("key", F.col("h.name").alias("hub"), F.col("h.n").alias("hub_n"))
@@ -396,4 +419,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """
     comp = jaccard_components(docs, id_col=id_col, **how).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     kept = drop_clashing(docs, ["__gone"])
-    return kept.join(comp, kept[id_col] == comp["__gone"], "left_anti")
+    gone, _ = broadcast_if_small(cut_lineage(comp), 1_000_000)
+    return kept.join(gone, kept[id_col] == gone["__gone"], "left_anti")
