@@ -19,12 +19,14 @@ signatures; hub and members are verified exactly, which joins true groups of cop
 pairs.  What is left are links between two members of different components.  With D the symmetric difference from the
 hub, |X ^ Y| = |D(X)| + |D(Y)| - 2 |D(X) & D(Y)|, so two such members that share nothing in D would both be linked with the
 hub, and be in one component.  They are therefore found by an index on the rarest shingles of D (prefix
-filter).  Only pairs whose common keys, and what may follow the last of them, suffice get their differences
-(positional filter), and the condition of that join is the exact similarity: it returns links, not candidates.
-Component ids are exact.
+filter).  In a group of copies that drifted apart most members share some of that, so the index also holds every set's
+sketch, a parity bit for each of its buckets of shingles: two sketches differ in no more bits than their sets in shingles, and
+the index joins only pairs whose sketches allow a link.  Only pairs whose common keys, and what may follow the last of them,
+suffice get their differences (positional filter), and the condition of that join is the exact similarity: it returns links,
+not candidates.  Component ids are exact.
 
 What moves every signature, shingle or token set goes in ``passes``: by slices of its keys, one after the other, whose shuffle files
-are released before the next, so that disk holds a slice of it.
+are released before the next, so that disk holds a slice of it.  Small tables need fewer slices, and small tables of links fewer tasks.
 
 Equal sets are one node, named by a 64-bit hash of its shingles (64-bit hashes as well): a false link
 needs two different sets with equal names, about 3 expected among 10^10 sets.
@@ -47,6 +49,9 @@ from .components import components
 
 BAND_BITS = 0xFFF  # of a signature, for the number of its size band
 LEVELS = 6  # seeds tried in place of empty segments
+SKETCH = 16  # words of a sketch, a power of two; groups of smaller sets fold it
+PASSES, PASS_SHINGLES = 4, 12_000_000  # slices of the keys at most, and shingles to a slice
+TASK_EDGES = 100_000  # links to a task of the components' rounds
 U = np.uint64
 MULT = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]
 
@@ -84,6 +89,25 @@ def shingles(text: str, size: int, words: WordHash) -> np.ndarray:
     return np.unique(x)
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity bits of the shingles' buckets.  A shingle that only one of two sets has flips one bit, so they differ in as many bits at most."""
+    odd = np.bincount((s & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(words: Column, width: Column) -> Column:
+    """A sketch of fewer buckets, of ``width`` words (a power of two): word i takes all words that leave i."""
+    zero = F.lit(0).cast("long")
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.aggregate(
+        F.filter(words, lambda _, k: F.pmod(k, width) == i), zero, lambda x, y: x.bitwiseXOR(y)))
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two sketches of one width differ: no more than their sets in shingles."""
+    bits = [F.coalesce(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))), F.lit(0)) for k in range(SKETCH)]
+    return reduce(lambda x, y: x + y, bits)
+
+
 def set_name(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
@@ -273,7 +297,7 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition, passes:
     """Links (a, b) between members of a hub that are in different components.
 
     ``spokes`` holds (hub, name, n, label).  Of D(name) only the rarest shingles are indexed, as many as leave out fewer than any
-    partner must share; a shingle that one member of the hub has is no key.
+    partner must share; a shingle that one member of the hub has is no key.  Keys join only pairs whose sketches allow a link.
     """
     num, den = p.num, p.den
 
@@ -285,21 +309,26 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition, passes:
         often = each.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # of every difference what other members have too, rarest first; only that can be in an intersection
         shared = skew_join(each, often, ["hub", "token"]).groupBy("hub", "name").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-        least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"))
+        # two buckets a shingle tell most sets apart that differ in a quarter more than a link allows
+        width = F.least(F.lit(SKETCH), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.max("n") / 32, F.lit(1))))).cast("int"))
+        least = d.groupBy("hub").agg(F.min(F.size("d")).alias("least"), width.alias("width"))
         size, reach = F.size("d"), F.floor(F.col("n") * (den - num) / num)
         need = F.greatest(F.lit(1), size - reach, F.ceil((size + F.col("least") - reach) / 2))  # shingles that any partner shares
         alone = size - F.size("s")  # shingles of no other member come first in the order
         keys = F.greatest(size - need + 1 - alone, F.lit(0)).cast("int")
         x = d.select("hub", "name", "n", "label", "d").join(shared, ["hub", "name"]).join(least, "hub")
-        return x.select("hub", "name", "n", "label", size.cast("int").alias("size"), F.col("s.token").alias("d"), keys.alias("keys")).where("keys > 0")
+        return x.select("hub", "name", "n", "label", size.cast("int").alias("size"), F.col("s.token").alias("d"), keys.alias("keys"), "width").where("keys > 0")
 
     x = _in_passes(indexed, F.xxhash64("hub"), passes)
+    sketches = tokens.select("name", "sketch")
     # the index is narrow: a row per indexed shingle without the differences, which travel once per pair
-    key = x.select("hub", "name", "n", "label", "size", F.size("d").alias("len"), F.posexplode(F.slice("d", F.lit(1), F.col("keys"))).alias("pos", "token"))
+    key = skew_join(x, sketches, ["name"]).withColumn("sketch", _folded(F.col("sketch"), F.col("width")))
+    key = key.select("hub", "name", "n", "label", "size", "sketch", F.size("d").alias("len"), F.posexplode(F.slice("d", F.lit(1), F.col("keys"))).alias("pos", "token"))
     key = key.withColumn("after", F.col("len") - F.col("pos") - 1)
-    one = lambda t: key.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size", "after")])
+    one = lambda t: key.select("hub", "token", *[F.col(c).alias(f"{c}_{t}") for c in ("name", "n", "label", "size", "after", "sketch")])
     bound = F.abs(F.col("size_a") - F.col("size_b")) * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
-    pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & bound)
+    able = _apart("sketch_a", "sketch_b") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    pairs = one("a").join(one("b"), ["hub", "token"]).where((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & bound & able)
     # both lists are in one order: what two differences share is what they share in the index and, beyond their last common key, the rest of the shorter at most
     pairs = pairs.groupBy("hub", "name_a", "name_b").agg(
         F.max(F.col("n_a") + F.col("n_b")).alias("n"), F.max(F.col("size_a") + F.col("size_b")).alias("size"),
@@ -320,13 +349,14 @@ def _between_members(spokes: DataFrame, tokens: DataFrame, p: Partition, passes:
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id",
-                       text_col: str = "text", merge_ratio: float = 4.0, broadcast_rows: int = 1_000_000, passes: int = 4) -> DataFrame:
+                       text_col: str = "text", merge_ratio: float = 4.0, broadcast_rows: int = 1_000_000, passes: int | None = None) -> DataFrame:
     """Component of every document under links of Jaccard similarity num / den or more.
 
     Returns the id column, ``n_shingles`` and ``component_id`` (smallest id reachable, itself included); one row per
     input row.  Fewer words than a shingle are one shingle; null and empty texts and texts of white space have no
     shingles and no links.  Repeated rows link with each other; null ids are passed over in component ids.
-    An empty table gives an empty result; other input columns are dropped.  More ``passes`` need less disk and change no result.
+    An empty table gives an empty result; other input columns are dropped.  More ``passes`` need less disk and change no result;
+    none gives one to every 12 million shingles of different sets, 4 at most.
     """
     p = Partition(num, den)
     d = _narrow(docs, id_col, text_col)
@@ -335,6 +365,8 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     per_id = sets.groupBy("name", "__id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"))
     reps = cut_lineage(per_id.groupBy("name").agg(F.min("__id").alias("rep"), F.max("n").alias("n"), F.sum("rows").alias("copies"), F.max("rows").alias("rows")))
     del per_id
+    if passes is None:
+        passes = max(1, min(PASSES, -(-(reps.agg(F.sum("n")).first()[0] or 0) // PASS_SHINGLES)))
 
     def live_members(mine: Column) -> DataFrame:
         sig = _one_each(keyed, reps, broadcast_rows, mine)
@@ -378,7 +410,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     fits = F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * num
     links = cut_lineage(_verify(cut_lineage(m.where(fits).select(F.col("hub").alias("a"), F.col("name").alias("b")).distinct()), tokens, p, passes))
     release(d.sparkSession)
-    label = components(links)
+    label = components(links, TASK_EDGES)
 
     m = join_bounded(m, label.withColumnRenamed("node", "name"), ["name"], "left", broadcast_rows).withColumn("label", F.coalesce("label", "name"))
     mixed = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -388,7 +420,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
     more = cut_lineage(_between_members(spokes, tokens, p, passes))
     del spokes, tokens, members, m
     release(d.sparkSession)
-    label = components(links.unionByName(more))
+    label = components(links.unionByName(more), TASK_EDGES)
 
     comp = label.join(reps.select(F.col("name").alias("node"), "rep"), "node")
     comp = skew_join(comp, comp.groupBy("label").agg(F.min("rep").alias("component_id")), ["label"])
@@ -398,7 +430,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 3, num: int = 9, de
 
 
 def _token_sets(d: DataFrame, size: int) -> DataFrame:
-    """(name, tokens) of the rows (__t, name) whose text has the set of that name."""
+    """(name, tokens, sketch) of the rows (__t, name) whose text has the set of that name."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in it:
@@ -408,8 +440,8 @@ def _token_sets(d: DataFrame, size: int) -> DataFrame:
                 if len(s) and set_name(s) == name:
                     names.append(name)
                     sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _listed(sets)], ["name", "tokens"])
-    return d.mapInArrow(run, "name long, tokens array<long>")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _listed(sets), _listed([sketch(s) for s in sets])], ["name", "tokens", "sketch"])
+    return d.mapInArrow(run, "name long, tokens array<long>, sketch array<long>")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
